@@ -22,7 +22,7 @@ BITS = 6
 #: Metric -> (numerator, denominator, scale, least spread, has a lower fence).
 METRICS = {
     "symbols": ("n_symbols", "word_chars", 10_000, 60, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 600, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 1_250, False),
     "repeats": ("n_repeat_words", "n_words", 10_000, 400, False),
     "word_length": ("word_chars", "n_words", 100, 60, True),
     "capitals": ("n_capitals", "word_chars", 10_000, 400, False),
