@@ -8,7 +8,9 @@ cuts the lineage, which ``localCheckpoint`` would not.
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,14 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers on this host import the package from where it lies.
+
+    On a cluster the package is given to executors as usual (``--py-files``).
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
