@@ -112,6 +112,65 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over ``first[i]:first[i+1]``, empty ones 0."""
+    if values.dtype.kind == "f":  # differences of long running sums would lose digits
+        rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        return np.bincount(rows, values, len(first) - 1)
     sums = np.zeros(len(values) + 1, values.dtype)
     np.cumsum(values, out=sums[1:])
     return sums[first[1:]] - sums[first[:-1]]
+
+
+class HashIndex:
+    """Positions of 64-bit keys: an open-addressing table, looked up in array passes."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(2 * max(len(keys), 1)).bit_length() + 1)
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.where = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(keys), dtype=np.int64)
+        slot = self._slot(keys)
+        while len(left):
+            free = self.where[slot] < 0
+            self.where[slot[free]] = left[free]  # of several, one stays
+            self.keys[slot[free]] = keys[left[free]]
+            out = self.where[slot] != left
+            left, slot = left[out], (slot[out] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            at = self.where[slot]
+            hit = (self.keys[slot] == keys[left]) & (at >= 0)
+            out[left[hit]] = at[hit]
+            on = ~hit & (at >= 0)
+            left, slot = left[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return out
+
+
+class Tally:
+    """Counts of 64-bit keys, merged before they are handed on."""
+
+    def __init__(self, limit: int = 2_000_000):
+        self.limit, self.parts, self.size = limit, [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        self.parts.append((keys, np.ones(len(keys), np.int64) if counts is None else counts))
+        self.size += len(keys)
+
+    def full(self) -> bool:
+        return self.size >= self.limit
+
+    def take(self) -> pa.RecordBatch:
+        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in self.parts)])
+        counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in self.parts)])
+        self.parts, self.size = [], 0
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(counts, first) if len(first) else counts
+        return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(sums)], ["key", "n"])

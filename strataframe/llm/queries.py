@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from strataframe.llm import near_dedup, packing, quality_rules, sharding
+from strataframe.llm import near_dedup, packing, quality_rules, sharding, suffix_tree_lm
 from strataframe.llm._spark import documents
 
 
@@ -21,6 +21,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir).select("doc_id")).select("doc_id", "slot", "shard_id")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(documents(spark, sf_dir))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=2)
 
@@ -30,5 +34,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op5_sharding, op8_near_dedup, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op5_sharding, op7_lm_scoring, op8_near_dedup, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
