@@ -16,6 +16,8 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space, controls and ASCII punctuation, for words of letters and digits.
+PUNCTUATION = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -56,13 +58,13 @@ class Texts:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
 
-    def split(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of words in ``data``, and per document the first word's number."""
+    def split(self, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of words (runs of bytes outside ``gap``), and per document the first word's number."""
         size = len(self.data)
         if not size:
             empty = np.zeros(0, np.int64)
             return empty, empty, np.zeros(self.n + 1, np.int64)
-        word = ~SPACE[self.data]
+        word = ~gap[self.data]
         start = word.copy()
         start[1:] &= ~word[:-1]
         end = word.copy()
