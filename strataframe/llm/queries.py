@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from strataframe.llm import decontamination, near_dedup, packing, quality_rules, sharding, suffix_tree_lm
+from strataframe.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, sharding, suffix_tree_lm
 from strataframe.llm._spark import documents
 
 
@@ -17,6 +17,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.score(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -38,5 +43,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_decontamination, op5_sharding, op7_lm_scoring, op8_near_dedup, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op4_decontamination, op5_sharding, op7_lm_scoring, op8_near_dedup, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
