@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from strataframe.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, sharding, suffix_tree_lm
+from strataframe.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_tree_lm
 from strataframe.llm._spark import documents
 
 
@@ -43,5 +43,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op4_decontamination, op5_sharding, op7_lm_scoring, op8_near_dedup, op9_packing)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", substring_dedup.span_bytes().alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op4_decontamination, op5_sharding, op7_lm_scoring, op8_near_dedup, op9_packing, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
