@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from strataframe.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_tree_lm
+from strataframe.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_tree_lm, token_counts
 from strataframe.llm._spark import documents
 
 
@@ -30,6 +30,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir).select("doc_id")).select("doc_id", "slot", "shard_id")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.load_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(documents(spark, sf_dir))
 
@@ -48,5 +52,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", substring_dedup.span_bytes().alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op4_decontamination, op5_sharding, op7_lm_scoring, op8_near_dedup, op9_packing, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op4_decontamination, op5_sharding, op6_token_counts, op7_lm_scoring, op8_near_dedup, op9_packing, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
