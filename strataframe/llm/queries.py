@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from strataframe.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_tree_lm, token_counts
+from strataframe.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, suffix_tree_lm, token_counts
 from strataframe.llm._spark import documents
 
 
@@ -22,6 +22,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(documents(spark, sf_dir))
+    counts = [secret_scan.count_of(k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.told("base").cast("binary"), 256).alias("base_sha256"), secret_scan.told("spans").alias("spans"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -52,5 +58,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", substring_dedup.span_bytes().alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op4_decontamination, op5_sharding, op6_token_counts, op7_lm_scoring, op8_near_dedup, op9_packing, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_secret_scan, op4_decontamination, op5_sharding, op6_token_counts, op7_lm_scoring, op8_near_dedup, op9_packing, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
