@@ -172,3 +172,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     out = signed.select("doc_id", "n_shingles").join(named, F.col("doc_id") == F.col("m_id"), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, that of the least doc_id.
+
+    Rows that repeat a doc_id are one document and stay together; rows with a
+    null doc_id stay.
+    """
+    copies = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
