@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder (tests, local mode).
 FALLBACK_DIR = "/tmp/checkpoints"
+#: Bytes of an Arrow batch after which it is handed on.
+BATCH_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +34,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches small: texts can be very long, rows are not a size."""
+    """Keep Arrow batches small, in rows and in bytes: texts can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))

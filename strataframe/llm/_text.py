@@ -123,20 +123,36 @@ def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class HashIndex:
-    """Positions of 64-bit keys: an open-addressing table, looked up in array passes."""
+    """Positions of distinct 64-bit keys: an open-addressing table, used in array passes."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(2 * max(len(keys), 1)).bit_length() + 1)
+        self.size = 0
+        self._reserve(len(keys))
+        self.add(keys)
+
+    def _reserve(self, n: int) -> None:
+        self.bits = max(4, int(2 * max(n, 1)).bit_length() + 1)
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.where = np.full(1 << self.bits, -1, np.int32)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Give new keys the next positions."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            held = self.where >= 0
+            old = np.empty(self.size, np.uint64)
+            old[self.where[held]] = self.keys[held]
+            self._reserve(self.size + len(keys))
+            self.size = 0
+            self.add(old)
         left = np.arange(len(keys), dtype=np.int64)
         slot = self._slot(keys)
         while len(left):
             free = self.where[slot] < 0
-            self.where[slot[free]] = left[free]  # of several, one stays
+            self.where[slot[free]] = left[free] + self.size  # of several, one stays
             self.keys[slot[free]] = keys[left[free]]
-            out = self.where[slot] != left
+            out = self.where[slot] != left + self.size
             left, slot = left[out], (slot[out] + 1) & (len(self.keys) - 1)
+        self.size += len(keys)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)

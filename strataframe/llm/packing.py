@@ -10,6 +10,8 @@ shuffled and only piece records are held, ``FLUSH`` remainders at most.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from strataframe.llm._spark import bounded_batches, ship_package
-from strataframe.llm._text import Texts, slices
+from strataframe.llm._text import HashIndex, Texts, slices
 
 #: Remainders that a task packs together at most.
 FLUSH = 200_000
@@ -35,54 +37,77 @@ class WordTokenizer:
     """
 
     MARKS = ("<|startoftext|>", "<|endoftext|>")
+    #: ASCII punctuation that makes a token group of its own after letters.
+    TAIL = frozenset('.,;:!?"()[]{}|&%$#*+-/<=>@')
+    #: Characters that stand for the bytes which don't stand for themselves.
+    BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
-    def __init__(self, path: str):
+    def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(definition)
         self.mark = self.tokenizer.token_to_id(self.MARKS[1])
+        self.model = self.tokenizer.model
+        self.tail = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in self.TAIL}
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = HashIndex(np.zeros(0, np.uint64))
         self.ids = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.first = np.zeros(1 << 14, np.int64)
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        plain = [k for k, w in enumerate(words) if "<|" not in w]
-        found: list[list[int] | np.ndarray] = [[]] * len(words)
+    def _letters(self, word: str) -> list[int] | None:
+        """Ids of Latin letters with up to one mark after them: one group for the model, or two."""
+        tail = word[-1] if word[-1] in self.TAIL else ""
+        core = word[:-1] if tail else word
+        if not core.isalpha():
+            return None
+        if not core.isascii():
+            if max(core) >= "\u0250" or "\u0130" in core:  # may lower or compose by context
+                return None
+            core = core.lower().encode().decode("latin-1").translate(self.BYTES)
+        else:
+            core = core.lower()
+        ids = [x.id for x in self.model.tokenize(core)]
+        return ids + self.tail[tail] if tail else ids
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        found: list[list[int] | np.ndarray] = [self._letters(w) for w in words]
+        others = [k for k, x in enumerate(found) if x is None]
+        plain = [k for k in others if "<|" not in words[k]]
         for at in range(0, len(plain), 2048):
             part = plain[at : at + 2048]
             ids = np.asarray(self.tokenizer.encode(self.MARKS[1].join(words[k] for k in part), add_special_tokens=False).ids, np.int64)
             for k, x in zip(part, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
                 found[k] = x[1:] if k != part[0] else x
-        for k in set(range(len(words))) - set(plain):
+        for k in set(others) - set(plain):
             found[k] = self.tokenizer.encode(words[k], add_special_tokens=False).ids
-        n = len(self.known)
+        n = self.known.size
         if n + len(keys) + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros(n + len(keys) + len(self.first), np.int64)])
         ends = self.first[n] + np.cumsum([len(x) for x in found])
         if len(keys) and ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(int(ends[-1]) + len(self.ids), self.ids.dtype)])
         if len(keys):
-            self.ids[self.first[n] : ends[-1]] = np.concatenate([np.asarray(x, np.int64) for x in found])
+            self.ids[self.first[n] : ends[-1]] = np.fromiter(chain.from_iterable(found), np.int64, int(ends[-1] - self.first[n]))
             self.first[n + 1 : n + 1 + len(keys)] = ends
-        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.known.add(keys)
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, and where each document starts."""
         starts, ends, first = texts.split()
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(texts.n + 1, np.int64)
-        distinct, at, which = np.unique(texts.hashes(starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > CACHED_WORDS:
+        keys = texts.hashes(starts, ends)
+        if self.known.size > CACHED_WORDS:
             self.clear()
-        keys = distinct.tolist()
-        fresh = [k for k, x in enumerate(keys) if x not in self.known]
-        raw = texts.data.tobytes()
-        s, e = starts[at].tolist(), ends[at].tolist()
-        self._learn([keys[k] for k in fresh], [raw[s[k] : e[k]].decode("utf-8", "replace") for k in fresh])
-        slot = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
+        slot = self.known.find(keys)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            distinct, at = np.unique(keys[new], return_index=True)
+            raw = texts.data.tobytes()
+            self._learn(distinct, [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[new[at]].tolist(), ends[new[at]].tolist(), strict=True)])
+            slot[new] = self.known.find(keys[new])
         begin, size = self.first[slot], self.first[slot + 1] - self.first[slot]
         past = np.concatenate([[0], np.cumsum(size)])
         source = np.arange(past[-1]) + np.repeat(begin - past[:-1], size)
@@ -143,12 +168,6 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], lis
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, key: str = "doc_id") -> DataFrame:
     """Pieces of all documents with their places in sequences of ``capacity`` tokens.
 
@@ -162,9 +181,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     spark = docs.sparkSession
     ship_package(spark)
     bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _tokenizer(tokenizer)
+        if tokenizer not in _tokenizers:
+            _tokenizers[tokenizer] = WordTokenizer(shared.value)
+        words = _tokenizers[tokenizer]
         next_id = TaskContext.get().partitionId() << 40
         rest: list[tuple] = []
 
