@@ -32,8 +32,8 @@ ENCODINGS = (
     ("base36", "^(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base64", "^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
-#: How many times likelier two characters are equal in natural text than in random text.
-NATURAL = 1.73
+#: How many times likelier two characters are equal in natural text than in random text, of at most 26 letters.
+NATURAL, LETTERS = 1.73, 26
 #: Greatest deviation of runs and serial correlation, in standard deviations.
 CHANCE = 3.0
 #: Rate of false discoveries held, and classes of length.
@@ -107,10 +107,11 @@ def test_battery(tokens: DataFrame) -> DataFrame:
         F.aggregate(pairs, zero, lambda a, p: a + p["a"] * p["b"]).alias("products"), F.get("x", F.lit(0)).alias("x0"), F.element_at("x", -1).alias("x9"),
     )
     n, m, above = F.col("n"), F.col("m"), F.col("above")
-    # Chi-squared against equal shares is m / n * (equal + n) - n; under natural shares its mean is NATURAL times larger in ``equal``.
+    # Chi-squared against equal shares is m / n * (equal + n) - n, ``equal`` counting ordered pairs of equal characters.
+    natural = n * (n - 1) * NATURAL / F.least(m, F.lit(LETTERS))
     chi = m / n * (F.col("equal") + n) - n
-    mean_chi = m / n * (n * (n - 1) * NATURAL / m + n) - n
-    sd_chi = m / n * F.sqrt(2 * n * (n - 1) * NATURAL / m)
+    mean_chi = m / n * (natural + n) - n
+    sd_chi = m / n * F.sqrt(2 * natural)
     expected = 2 * above * (n - above) / n
     spread = F.sqrt(F.greatest(expected * (2 * above * (n - above) - n) / (n * (n - 1)), F.lit(1e-9)))
     variance = F.col("squares") - n * F.col("mean") * F.col("mean")
