@@ -1,0 +1,129 @@
+"""Ordered-interval operators: paths, policies, quality of sequences, injected errors."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from decimal import Decimal
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+PATH_SCHEMA = "doc bigint, place bigint, page bigint, y double, top double, bottom double, node_score double"
+
+
+def continuity_edge(a: tuple, b: tuple) -> float | None:
+    """Score of b directly after a (page, y, top, bottom); None where it can't follow."""
+    if (b[0], b[1]) < (a[0], a[1]) or b[2] < a[2]:
+        return None
+    gap = b[2] - a[3]
+    if gap < -1.0:
+        return None
+    if abs(gap) <= 0.05:
+        return 5.0
+    return 2.0 - abs(gap) if abs(gap) <= 1.0 else -min(6.0, gap)
+
+
+def best_path(nodes: list[tuple], edge: Callable[[tuple, tuple], float | None] = continuity_edge) -> list[int]:
+    """Indices of the path of greatest weight; within 1e-9 the longer one, then the first.
+
+    Nodes are (page, y, top, bottom, node_score); a path starts with its
+    node's score less 0.0005 of its top.
+    """
+    order = sorted(range(len(nodes)), key=lambda k: (*nodes[k][:4], k))
+    best: dict[int, tuple[float, int, int]] = {}
+    for at, k in enumerate(order):
+        value, length, before = nodes[k][4] - 0.0005 * nodes[k][2], 1, -1
+        for j in order[:at]:
+            if (e := edge(nodes[j], nodes[k])) is None:
+                continue
+            other = (best[j][0] + e + nodes[k][4], best[j][1] + 1)
+            if other[0] > value + 1e-9 or abs(other[0] - value) <= 1e-9 and other[1] > length:
+                value, length, before = other[0], other[1], j
+        best[k] = (value, length, before)
+    if not order:
+        return []
+    last = order[0]
+    for k in order[1:]:
+        if best[k][0] > best[last][0] + 1e-9 or abs(best[k][0] - best[last][0]) <= 1e-9 and best[k][1] > best[last][1]:
+            last = k
+    out = []
+    while last >= 0:
+        out.append(last)
+        last = best[last][2]
+    return out[::-1]
+
+
+def select_sequence(candidates: DataFrame) -> DataFrame:
+    """The best path of each document (columns of ``PATH_SCHEMA``), numbered along it.
+
+    A document's candidates travel as one row, so the search runs through
+    batches of documents rather than once per group.
+    """
+    fields = ("page", "y", "top", "bottom", "node_score")
+    node = F.struct(F.col("page").cast("long"), *(F.col(f).cast("double") for f in fields[1:]))
+    per = candidates.groupBy("doc").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for doc, nodes in zip(frame["doc"], frame["nodes"], strict=True):
+                rows = [tuple(n[f] for f in fields) for n in nodes]
+                out += [(doc, place, *rows[k]) for place, k in enumerate(best_path(rows))]
+            yield pd.DataFrame(out, columns=["doc", "place", *fields])
+
+    return per.mapInPandas(run, PATH_SCHEMA)
+
+
+def add_without_overlap(kept: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """All kept intervals, and candidates of at least the score that overlap nothing chosen, best first.
+
+    A document's candidates are folded over inside one row: (top, bottom)
+    pairs in order of score, ties by top and bottom.
+    """
+    own = kept.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom")))).alias("own"))
+    fit = candidates.where(F.col("score") >= threshold)
+    new = fit.groupBy(F.col("doc").alias("n_doc")).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom")))).alias("new"))
+    both = own.join(new, F.col("doc") == F.col("n_doc"), "left")
+
+    def step(chosen: Column, c: Column) -> Column:
+        free = ~F.exists(chosen, lambda x: (x["top"] < c["bottom"]) & (c["top"] < x["bottom"]))
+        return F.when(free, F.concat(chosen, F.array(F.struct(c["top"].alias("top"), c["bottom"].alias("bottom"))))).otherwise(chosen)
+
+    chosen = F.when(F.col("new").isNull(), F.col("own")).otherwise(F.aggregate("new", F.col("own"), step))
+    return both.select("doc", F.inline(F.array_sort(chosen)))
+
+
+def monotone_subset(intervals: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Greedy fold in order of seq: an interval stays if it starts no higher than the last one ended."""
+    per = intervals.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom")))).alias("i"))
+    start = F.struct(F.lit(float("-inf")).alias("end"), F.array().cast("array<bigint>").alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        ok = (x["top"] >= 0) & (x["bottom"] > x["top"]) & (x["top"] >= acc["end"] - tolerance)
+        return F.struct(F.when(ok, x["bottom"]).otherwise(acc["end"]).alias("end"), F.when(ok, F.concat(acc["kept"], F.array(x["seq"]))).otherwise(acc["kept"]).alias("kept"))
+
+    return per.select("doc", F.aggregate("i", start, step, lambda a: a["kept"]).alias("kept"))
+
+
+def complete(intervals: DataFrame, tolerance: str = "0.05") -> DataFrame:
+    """Per document: starts at 0, no break over the tolerance, and the share of neighbours that join."""
+    order = Window.partitionBy("doc").orderBy("seq")
+    tol = F.lit(Decimal(tolerance))
+    near = intervals.withColumns({"gap": F.lead("top").over(order) - F.col("bottom"), "first": F.lag("seq").over(order).isNull()})
+    joins = F.abs("gap") <= tol
+    return near.groupBy("doc").agg(
+        F.bool_or(F.col("first") & (F.abs("top") <= tol)).alias("from_zero"), F.coalesce(F.bool_and(joins), F.lit(True)).alias("contiguous"), F.try_divide(F.count_if(joins).cast("double"), F.count("gap").cast("double")).alias("share"), F.count("*").alias("n"),
+    )
+
+
+def first_of(rows: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
+    """The first row of each key in an order: deduplication with a stated winner."""
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_place = 1").drop("_place")
+
+
+def split_runs(rows: DataFrame, group: str, order: str, gap: float) -> DataFrame:
+    """``rows`` with ``run``: a new one wherever the order column jumps by more than ``gap``."""
+    w = Window.partitionBy(group).orderBy(order)
+    jump = F.coalesce((F.col(order) - F.lag(order).over(w) > gap).cast("int"), F.lit(0))
+    return rows.withColumn("_jump", jump).withColumn("run", F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_jump")

@@ -123,3 +123,31 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     w = review.windowed_counts(stream, "1 day").writeStream.format("memory").queryName("days").outputMode("complete").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert spark.table("days").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_best_path_by_enumeration():
+    from strataframe.operators.sequences import best_path, continuity_edge
+
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        nodes = sorted((int(p), float(y), float(t), float(t + h), float(s)) for p, y, t, h, s in zip(rng.integers(0, 2, 6), rng.integers(0, 5, 6), rng.integers(0, 6, 6), rng.integers(1, 3, 6), rng.integers(1, 4, 6), strict=True))
+        best = -np.inf
+        for n in range(1, 7):
+            for path in itertools.combinations(range(6), n):
+                edges = [continuity_edge(nodes[a], nodes[b]) for a, b in itertools.pairwise(path)]
+                if None not in edges:
+                    best = max(best, sum(edges) + sum(nodes[k][4] for k in path) - 0.0005 * nodes[path[0]][2])
+        path = best_path(nodes)
+        got = sum(continuity_edge(nodes[a], nodes[b]) for a, b in itertools.pairwise(path)) + sum(nodes[k][4] for k in path) - 0.0005 * nodes[path[0]][2]
+        assert abs(got - best) < 1e-6
+
+
+def test_policies(spark):
+    from strataframe.operators import sequences
+
+    kept = intervals(spark, [(1, 0, 0, 1), (2, 0, 0, 5)])
+    c = spark.createDataFrame([(1, 1.0, 2.0, 0.9), (1, 1.5, 2.5, 0.8), (1, 3.0, 4.0, 0.1), (2, 4.0, 6.0, 0.9)], "doc long, top double, bottom double, score double")
+    got = sorted(tuple(r) for r in sequences.add_without_overlap(kept, c, 0.5).collect())
+    assert got == [(1, 0.0, 1.0), (1, 1.0, 2.0), (2, 0.0, 5.0)]
+    rows = intervals(spark, [(1, 0, 0, 1), (1, 1, 0.5, 2), (1, 2, 1, 2)])
+    assert sequences.monotone_subset(rows).first()["kept"] == [0, 2]
