@@ -61,7 +61,7 @@ def select_sequence(candidates: DataFrame) -> DataFrame:
     batches of documents rather than once per group.
     """
     fields = ("page", "y", "top", "bottom", "node_score")
-    node = F.struct(F.col("page").cast("long"), *(F.col(f).cast("double") for f in fields[1:]))
+    node = F.struct(F.col("page").cast("long").alias("page"), *(F.col(f).cast("double").alias(f) for f in fields[1:]))
     per = candidates.groupBy("doc").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
