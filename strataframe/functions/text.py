@@ -25,7 +25,7 @@ def ranges(text: Column) -> Column:
 
 
 def widest_range(text: Column) -> Column:
-    return F.element_at(F.array_sort(F.transform(ranges(text), lambda r: F.struct((r["high"] - r["low"]).alias("span"), r["low"].alias("low"), r["high"].alias("high")))), -1)
+    return F.try_element_at(F.array_sort(F.transform(ranges(text), lambda r: F.struct((r["high"] - r["low"]).alias("span"), r["low"].alias("low"), r["high"].alias("high")))), F.lit(-1))
 
 
 def normalize_name(text: Column) -> Column:
