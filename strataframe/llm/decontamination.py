@@ -149,28 +149,33 @@ def retrieve(index: Index, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
     return d, win - first_window[d], item, score
 
 
+def held_items(known: Index, texts: Texts, overlap: float) -> dict[tuple[int, int], tuple[float, float, float, int]]:
+    """(text, item) of a slice whose overlap is verified: score, both shares, first word of the best window."""
+    starts, ends, first = texts.split(PUNCTUATION)
+    words = texts.hashes(starts, ends, lower=True)
+    step = (known.window + 1) // 2
+    best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
+    for d, w, item, score in zip(*(x.tolist() for x in retrieve(known, known.find(words), first)), strict=True):
+        around = int(known.length[item])
+        lo = max(first[d], first[d] + w * step - around)
+        near = words[lo : min(first[d + 1], first[d] + w * step + known.window + around)]
+        share = [float(np.isin(x, shingles(near, n)).mean()) for n, x in known.parts[item]]
+        share = [1.0, *share][-2:]  # a single word is the answer alone
+        if min(share) >= overlap and (score, *share) > best.get((d, item), (0.0,))[:3]:
+            best[d, item] = (score, *share, int(w * step))
+    return best
+
+
 def _search(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value.open()
-        step = (known.window + 1) // 2
         for batch in batches:
             keys = batch.column(0).to_pylist()
             rows: list[tuple] = []
             for at, _, texts in slices(batch.column(1)):
-                starts, ends, first = texts.split(PUNCTUATION)
-                words = texts.hashes(starts, ends, lower=True)
-                best: dict[tuple[int, int], tuple] = {}
-                for d, w, item, score in zip(*(x.tolist() for x in retrieve(known, known.find(words), first)), strict=True):
-                    around = int(known.length[item])
-                    lo = max(first[d], first[d] + w * step - around)
-                    near = words[lo : min(first[d + 1], first[d] + w * step + known.window + around)]
-                    share = [float(np.isin(x, shingles(near, n)).mean()) for n, x in known.parts[item]]
-                    share = [1.0, *share][-2:]  # a single word is the answer alone
-                    if min(share) >= overlap and (score, *share) > best.get((d, item), (0.0,))[:3]:
-                        best[d, item] = (score, *share, int(w * step))
-                rows += [(keys[at + d], int(known.items[item]), *x) for (d, item), x in sorted(best.items())]
+                rows += [(keys[at + d], int(known.items[item]), *x) for (d, item), x in sorted(held_items(known, texts, overlap).items())]
             if rows:
                 names = ("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "at_word")
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
@@ -179,6 +184,17 @@ def _search(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
+def _indexes(benchmark: DataFrame, threshold: float) -> Iterator[Index]:
+    """Indexes of bounded size over all items, one after the other."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-n // INDEX_ITEMS), -(-size // INDEX_BYTES))
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text")
+        if index := build_index([tuple(r) for r in part.collect()], threshold):
+            yield index
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """Every (doc_id, item_id) of a document that holds a test item, with its evidence.
 
@@ -193,19 +209,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     spark = docs.sparkSession
     ship_package(spark)
     bounded_batches(spark, 256)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    passes = max(1, -(-n // INDEX_ITEMS), -(-size // INDEX_BYTES))
-    out = spark.createDataFrame([], SCHEMA)
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text") if passes > 1 else items.orderBy("item_id", "text")
-        if index := build_index([tuple(r) for r in part.collect()], threshold):
-            found = _search(docs, index, overlap)
-            out = found if not k else out.unionByName(found)
-    return out
+    out = None
+    for index in _indexes(benchmark, threshold):
+        found = _search(docs, index, overlap)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a test item; rows with a null doc_id stay."""
-    held = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(held, docs["doc_id"] == held["_leaking"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """``docs`` without those that hold a test item; rows with a null doc_id stay.
+
+    Rows are judged as they pass by: nothing is joined or shuffled.
+    """
+    ship_package(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 256)
+    for index in _indexes(benchmark, threshold):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = shared.value.open()
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for at, _, texts in slices(batch.column("text")):
+                    keep[[at + d for d, _ in held_items(known, texts, overlap)]] = False
+                yield batch.filter(pa.array(keep | np.array([k is None for k in batch.column("doc_id").to_pylist()], bool)))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

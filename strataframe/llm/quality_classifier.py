@@ -180,6 +180,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tupl
     return fit(np.concatenate([np.zeros((0, RAW), np.float32), *lines]), first, np.array([r[1] for r in rows], np.int64))
 
 
+def text_scores(texts: Texts, weights: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of lines of each text."""
+    raw, length, first = line_features(texts)
+    ahead, back = messages(expand(raw, first) @ weights, trans, first)
+    value = segment_sums(sigmoid(ahead + back) * length, first) / segment_sums(length, first)
+    return np.clip(value, 0, 1), np.diff(first)
+
+
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1), predicted (score >= 0.3), n_lines.
 
@@ -196,16 +204,27 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, texts in slices(batch.column(1)):
-                raw, length, first = line_features(texts)
-                ahead, back = messages(expand(raw, first) @ weights, trans, first)
-                value = segment_sums(sigmoid(ahead + back) * length, first) / segment_sums(length, first)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array(np.clip(value, 0, 1)), pa.array(np.diff(first))], ["doc_id", "score", "n_lines"])
+                value, lines = text_scores(texts, weights, trans)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array(value), pa.array(lines)], ["doc_id", "score", "n_lines"])
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, score double, n_lines bigint")
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"), "n_lines")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those whose score is below the bound; rows with a null doc_id stay."""
-    bad = score(docs, labels).where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """``docs`` without those whose score is below the bound; rows with a null doc_id stay.
+
+    Rows are judged as they pass by: nothing is joined or shuffled.
+    """
+    ship_package(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+    weights, trans = train(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.array([k is None for k in batch.column("doc_id").to_pylist()], bool)
+            for at, to, texts in slices(batch.column("text")):
+                keep[at:to] |= text_scores(texts, weights, trans)[0] >= ACCEPT
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
