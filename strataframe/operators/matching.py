@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
@@ -55,21 +56,25 @@ def match_intervals(reference: DataFrame, prediction: DataFrame, tolerance: str)
     """Order-preserving one-to-one matches of each document: doc, r_seq, p_seq, errors.
 
     Documents whose band pairs are one-to-one and in order are matched by the
-    join alone; only the others go to the path search, document by document.
+    join alone; only the others go to the path search, a row each, in batches.
     """
     pairs = band_pairs(reference, prediction, tolerance)
     ordered = F.array_sort(F.collect_list(F.struct("r_seq", "p_seq", "top_error", "bottom_error")))
     docs = pairs.groupBy("doc").agg(ordered.alias("pairs"))
     ties = F.exists(F.zip_with(F.slice("pairs", 1, F.size("pairs") - 1), F.slice("pairs", 2, F.size("pairs") - 1), lambda a, b: (a["r_seq"] >= b["r_seq"]) | (a["p_seq"] >= b["p_seq"])), lambda x: x)
     docs = docs.withColumn("ties", (F.size("pairs") > 1) & ties)
-    rows = docs.select("doc", "ties", F.inline("pairs"))
-
-    def path(frame: pd.DataFrame) -> pd.DataFrame:
-        chosen = set(_best_path(list(zip(frame["r_seq"], frame["p_seq"], frame["top_error"] + frame["bottom_error"], strict=True))))
-        return frame[[k in chosen for k in zip(frame["r_seq"], frame["p_seq"], strict=True)]]
-
-    plain = rows.where("not ties").drop("ties")
-    return plain.unionByName(rows.where("ties").drop("ties").groupBy("doc").applyInPandas(path, plain.schema))
+    plain = docs.where("not ties").select("doc", F.inline("pairs"))
+    columns = plain.columns
+
+    def paths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for doc, pairs in zip(frame["doc"], frame["pairs"], strict=True):
+                chosen = set(_best_path([(p["r_seq"], p["p_seq"], p["top_error"] + p["bottom_error"]) for p in pairs]))
+                out += [(doc, *(p[c] for c in columns[1:])) for p in pairs if (p["r_seq"], p["p_seq"]) in chosen]
+            yield pd.DataFrame(out, columns=columns)
+
+    return plain.unionByName(docs.where("ties").select("doc", "pairs").mapInPandas(paths, plain.schema))
 
 
 def interval_metrics(reference: DataFrame, prediction: DataFrame, matches: DataFrame) -> DataFrame:
