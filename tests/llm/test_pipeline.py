@@ -5,7 +5,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline
 from strataframe.llm import decontamination, near_dedup, quality_classifier
-from strataframe.llm._spark import materialize
+from strataframe.llm._spark import discard, materialize
 
 
 def test_stages(spark, sf_dir):
@@ -27,3 +27,11 @@ def test_stages(spark, sf_dir):
     pieces = seen[5].toPandas()
     assert (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all()
     assert corpus_pipeline.run(spark, sf_dir).count() == len(pieces)
+
+
+def test_discard(spark):
+    table = materialize(spark.range(3), "test-discard")
+    path = table.inputFiles()[0]
+    discard(spark)
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        spark.read.parquet(path).count()
