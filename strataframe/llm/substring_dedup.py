@@ -183,7 +183,7 @@ def _cut(pieces: DataFrame, width: int, limit: int) -> tuple[DataFrame, list[Dat
     span = WIDTH
     now = now.withColumns({"from": F.lit(0).cast("long"), "past": F.lit(width).cast("long")})
     while True:
-        sizes = now.groupBy("group").agg(F.count("*").alias("n"))
+        sizes = materialize(now.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "group-sizes")
         large = sizes.where(F.col("n") > limit).select(F.col("group").alias("g"))
         fine = sizes.where((F.col("n") > 1) & (F.col("n") <= limit)).select(F.col("group").alias("g"))
         small.append(now.join(fine, F.col("group") == F.col("g"), "left_semi"))
@@ -275,6 +275,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int =
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "texts")
     entries = classes.select("cid", F.posexplode("names").alias("number", "name"))
     shared = entries.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.col("name").alias("s_name"))
+    shared = materialize(shared, "shared-names")  # a join of two tables: a hot name's side can be split
     wanted = entries.join(shared, F.col("name") == F.col("s_name"), "left_semi").groupBy("cid").agg(F.collect_list("number").alias("wanted"))
     wanted = wanted.withColumnRenamed("cid", "w_cid")
     asked = classes.join(wanted, F.col("cid") == F.col("w_cid")).select("cid", F.col("key").alias("c_key"), "doc", "wanted")
@@ -285,6 +286,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int =
     contents = materialize(pieces.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("cid", "first")).alias("at")), "contents")
     copied = pieces.join(contents.where("n > 1").select(*same), same, "left_semi").select("cid", "first", (F.col("first") + F.col("windows")).alias("past"))
     several = contents.groupBy("name").agg(F.count("*").alias("d")).where("d > 1").select(F.col("name").alias("s_name"))
+    several = materialize(several, "names-of-several")
     heads = contents.join(several, F.col("name") == F.col("s_name"), "left_semi").select(F.col("at.cid").alias("h_cid"), F.col("at.first").alias("h_first"))
     apart = pieces.join(heads, (F.col("cid") == F.col("h_cid")) & (F.col("first") == F.col("h_first")), "left_semi").withColumnRenamed("name", "group")
     small, ranges = _cut(materialize(apart, "apart"), width, group)
