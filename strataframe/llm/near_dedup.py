@@ -123,6 +123,7 @@ def _meetings(members: DataFrame) -> DataFrame:
     """For each member of a bucket a pair with one of another component in it."""
     least = F.min(F.struct("component", "doc", "n"))
     ends = members.groupBy("key").agg(least.alias("lo"), F.max(F.struct("component", F.negate("doc").alias("doc"), "n")).alias("hi"))
+    ends = materialize(ends, "bucket-ends")  # a join of two tables: a hot bucket's side can be split
     met = members.join(ends, "key").withColumn("with", F.when(F.col("component") != F.col("lo.component"), F.col("lo")).otherwise(F.struct(F.col("hi.component").alias("component"), F.negate("hi.doc").alias("doc"), F.col("hi.n").alias("n"))))
     return met.select(F.least("doc", "with.doc").alias("u"), F.greatest("doc", "with.doc").alias("v"), "n", F.col("with.n").alias("o_n"))
 
@@ -157,6 +158,7 @@ def _remaining(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     sums = members.groupBy("key", "component").agg(F.sum("n").alias("n"))
     main = sums.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("all_n")).withColumnRenamed("key", "m_key")
+    main = materialize(main, "main-components")
     sided = members.join(main, F.col("key") == F.col("m_key")).withColumn("other", F.col("component") != F.col("main"))
     blocks = F.ceil(F.when(F.col("other"), F.col("all_n") - F.col("main_n")).otherwise(F.col("main_n")) / BLOCK)
     placed = sided.withColumn("block", F.pmod(F.xxhash64("doc"), blocks)).select("key", "other", "block", "doc", "component")
@@ -199,6 +201,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     heads = real.join(stands.select("doc"), F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"])
     entries = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = materialize(shared, "shared-keys")
     members = materialize(entries.join(shared, "key", "left_semi"), "buckets")
     candidates = members.select("doc").distinct()
     sets = materialize(_sets(docs.join(candidates, F.col("doc_id") == F.col("doc"), "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
