@@ -64,13 +64,18 @@ def _found(text: Column, pattern: str, hint: Column, keep=None) -> Column:
     return F.when(hint, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
+def _digest(text: Column) -> Column:
+    """SHA-256 of a text, on which alone its spans depend; null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base spans by kind and candidate tokens of whole texts; no shuffle, no Python."""
+    """row, doc_id, digest of the text, base spans by kind and candidate tokens of whole texts; no shuffle, no Python."""
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.lower(text)
     keyword = F.contains(low, F.lit("passw")) | F.contains(low, F.lit("secret")) | F.contains(low, F.lit("token")) | F.contains(low, F.lit("key"))
     spans = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("doc_id").cast("long").alias("doc_id"), _digest(text).alias("digest"),
         _found(text, ASSIGN, keyword, lambda v: F.length(v) >= 6).alias("assign"),
         F.filter(_found(text, ACCESS, F.contains(text, F.lit("AKIA"))), lambda x: x["e"] - x["s"] >= 20).alias("access"),
         _found(text, HEX, text.rlike(HEX)).alias("hex"),
@@ -140,7 +145,7 @@ def discoveries(tested: DataFrame, rate: float = RATE) -> DataFrame:
 
 
 def secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """Per document: row, doc_id and arrays ``base`` and ``spans`` of (s, k, e).
+    """Per document: row, doc_id, digest and arrays ``base`` and ``spans`` of (s, k, e).
 
     s and e are code points, e exclusive; k numbers ``KINDS``; both arrays are
     in order.  Random tokens that overlap a base span aren't told again.  Null
@@ -156,7 +161,7 @@ def secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     extra = discoveries(tested, rate).groupBy(F.col("row").alias("x_row")).agg(F.collect_list(F.struct("s", F.lit(3).alias("k"), "e")).alias("extra"))
     none = F.array().cast("array<struct<s: int, k: int, e: int>>")
     joined = base.join(extra, F.col("row") == F.col("x_row"), "left")
-    return joined.select("row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("extra", none))).alias("spans"))
+    return joined.select("row", "doc_id", "digest", "base", F.array_sort(F.concat("base", F.coalesce("extra", none))).alias("spans"))
 
 
 def told(spans: str) -> Column:
@@ -172,13 +177,12 @@ def count_of(kind: str) -> Column:
 def redact(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """``docs`` with each secret's span replaced by a mark, overlapping ones by one; n_chars follows.
 
-    All columns and rows stay.  Rows are told apart by doc_id and text, so
-    repeated rows are treated alike.
+    All columns and rows stay.  Rows are told apart by their text, so rows with
+    a null or repeated doc_id each lose their own secrets.
     """
-    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
-    spans = secrets(docs, rate).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    spans = spans.dropDuplicates(["_id"])
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    spans = secrets(docs, rate).where(F.size("spans") > 0).select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans"))
+    spans = spans.dropDuplicates(["_digest"])
+    joined = docs.join(spans, _digest(F.col("text")) == F.col("_digest"), "left")
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

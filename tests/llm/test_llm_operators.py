@@ -121,6 +121,13 @@ def test_secret_scan(docs, rows, empty):
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+def test_each_row_loses_its_own_secrets(spark):
+    texts = [(None, "first password = alpha99alpha here"), (None, "second one, password = beta77beta"), (None, "nothing to hide in this row at all"), (7, "token: gamma55gamma"), (7, "x then token: delta33delta"), (8, None)]
+    got = secret_scan.redact(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    want = [(None, "first [SECRET] here"), (None, "second one, [SECRET]"), texts[2], (7, "[SECRET]"), (7, "x then [SECRET]"), (8, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_random_tokens_are_told_from_words(spark):
     rng = np.random.default_rng(11)
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
