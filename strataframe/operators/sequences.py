@@ -79,18 +79,25 @@ def add_without_overlap(kept: DataFrame, candidates: DataFrame, threshold: float
     """All kept intervals, and candidates of at least the score that overlap nothing chosen, best first.
 
     A document's candidates are folded over inside one row: (top, bottom)
-    pairs in order of score, ties by top and bottom.
+    pairs in order of score, ties by top and bottom.  Documents without kept
+    intervals take additions too; those whose kept tops fall somewhere (in
+    order of ``seq``, where there is one) take none.
     """
-    own = kept.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom")))).alias("own"))
+    pair = F.struct(F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"))
+    place = "seq" if "seq" in kept.columns else "top"
+    own = kept.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), pair.alias("i")))).alias("raw"))
     fit = candidates.where(F.col("score") >= threshold)
     new = fit.groupBy(F.col("doc").alias("n_doc")).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom")))).alias("new"))
-    both = own.join(new, F.col("doc") == F.col("n_doc"), "left")
+    none = F.array().cast("array<struct<top: double, bottom: double>>")
+    both = own.join(new, F.col("doc").eqNullSafe(F.col("n_doc")), "full_outer").select(
+        F.coalesce("doc", "n_doc").alias("doc"), F.coalesce(F.transform("raw", lambda x: x["i"]), none).alias("own"), "new")
 
     def step(chosen: Column, c: Column) -> Column:
         free = ~F.exists(chosen, lambda x: (x["top"] < c["bottom"]) & (c["top"] < x["bottom"]))
         return F.when(free, F.concat(chosen, F.array(F.struct(c["top"].alias("top"), c["bottom"].alias("bottom"))))).otherwise(chosen)
 
-    chosen = F.when(F.col("new").isNull(), F.col("own")).otherwise(F.aggregate("new", F.col("own"), step))
+    falls = F.exists(F.zip_with("own", F.slice("own", 2, F.greatest(F.size("own"), F.lit(1))), lambda a, b: b["top"] < a["top"]), lambda x: F.coalesce(x, F.lit(False)))
+    chosen = F.when(F.col("new").isNull() | falls, F.col("own")).otherwise(F.aggregate("new", F.col("own"), step))
     return both.select("doc", F.inline(F.array_sort(chosen)))
 
 

@@ -31,7 +31,7 @@ def sequence_completeness(spark: SparkSession, d: str) -> DataFrame:
 def risk_policy_additions(spark: SparkSession, d: str) -> DataFrame:
     _, a, b = channels(spark, d)
     c = b.select("doc", "top", "bottom", (F.col("pk") % 100 / 100).alias("score"))
-    return sequences.add_without_overlap(a.where("seq % 2 = 0"), c, 0.5).groupBy("doc").agg(F.count("*").alias("n"), F.round(F.sum(F.col("bottom") - F.col("top")), 4).alias("depth"))
+    return sequences.add_without_overlap(a, c, 0.5).groupBy("doc").agg(F.count("*").alias("n"), F.round(F.sum(F.col("bottom") - F.col("top")), 4).alias("depth"))
 
 
 @query()

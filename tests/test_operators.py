@@ -4,6 +4,7 @@ import itertools
 from decimal import Decimal
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strataframe.functions import text as T
@@ -151,3 +152,51 @@ def test_policies(spark):
     assert got == [(1, 0.0, 1.0), (1, 1.0, 2.0), (2, 0.0, 5.0)]
     rows = intervals(spark, [(1, 0, 0, 1), (1, 1, 0.5, 2), (1, 2, 1, 2)])
     assert sequences.monotone_subset(rows).first()["kept"] == [0, 2]
+
+
+def brute_additions(raw, proposed, threshold):
+    """The policy of one document in plain Python: raw (seq, top, bottom), proposed (score, top, bottom)."""
+    chosen = [(t, b) for _, t, b in sorted(raw)]
+    if all(right[0] >= left[0] for left, right in zip(chosen, chosen[1:], strict=False)):
+        for _, t, b in sorted(((-s, t, b) for s, t, b in proposed if s >= threshold)):
+            if not any(x < b and t < y for x, y in chosen):
+                chosen.append((t, b))
+    return sorted(chosen)
+
+
+def test_additions_without_kept_intervals_and_to_falling_ones(spark):
+    from strataframe.operators import sequences
+
+    kept = intervals(spark, [(1, 0, 5, 6), (1, 1, 2, 3), (2, 0, 0, 1)])
+    c = spark.createDataFrame([(1, 8.0, 9.0, 0.9), (2, 8.0, 9.0, 0.9), (3, 0.0, 2.0, 0.6), (3, 1.0, 3.0, 0.9), (4, 0.0, 1.0, 0.1)], "doc long, top double, bottom double, score double")
+    got = sorted(tuple(r) for r in sequences.add_without_overlap(kept, c, 0.5).collect())
+    assert got == [(1, 2.0, 3.0), (1, 5.0, 6.0), (2, 0.0, 1.0), (2, 8.0, 9.0), (3, 1.0, 3.0)]
+
+
+@pytest.mark.parametrize("thin", [False, True])
+def test_risk_policy_against_brute_force(spark, sf_dir, thin):
+    """The query itself, and the operator with the first interval of each document gone (some then have none)."""
+    from collections import defaultdict
+
+    from strataframe.operators import sequences
+    from strataframe.plans import catalog, catalog_more  # noqa: F401  (registers the query)
+
+    _, a, b = catalog.channels(spark, sf_dir)
+    a = a.where("seq % 2 = 1") if thin else a
+    raw, proposed = defaultdict(list), defaultdict(list)
+    for r in a.collect():
+        raw[r["doc"]].append((r["seq"], float(r["top"]), float(r["bottom"])))
+    for r in b.collect():
+        proposed[r["doc"]].append((r["pk"] % 100 / 100, float(r["top"]), float(r["bottom"])))
+    want = {d: brute_additions(raw[d], proposed[d], 0.5) for d in set(raw) | set(proposed)}
+    want = {d: x for d, x in want.items() if x}
+    if not thin:
+        got = {r["doc"]: (r["n"], r["depth"]) for r in catalog.QUERIES["risk_policy_additions"](spark, sf_dir).collect()}
+        assert set(got) == set(want)
+        assert all(n == len(want[d]) and abs(depth - sum(b - t for t, b in want[d])) < 1e-3 for d, (n, depth) in got.items())
+        return
+    got = defaultdict(list)
+    c = b.select("doc", "top", "bottom", (F.col("pk") % 100 / 100).alias("score"))
+    for r in sequences.add_without_overlap(a, c, 0.5).collect():
+        got[r["doc"]].append((r["top"], r["bottom"]))
+    assert {d: sorted(x) for d, x in got.items()} == want and any(not raw[d] for d in got)
