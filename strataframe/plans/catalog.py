@@ -186,6 +186,24 @@ def word_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return told(metrics.evaluate(rows, [metrics.word_error_rate("wer", F.col("a"), F.col("b"))]))
 
 
+def all_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn, with any characters, empty or null; DuckDB's levenshtein counts bytes, so there is no SQL for it."""
+    t = F.lower("text")
+    return table(spark, d, "conversations").select(t.alias("a"), F.replace(t, F.lit("e"), F.lit("c")).alias("b"))
+
+
+@query()
+def text_error_rates_all_turns(spark: SparkSession, d: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return told(metrics.evaluate(all_turns(spark, d), [metrics.character_error_rate("cer", a, b), metrics.character_error_rate("numeric_cer", metrics.numeric_text(a), metrics.numeric_text(b)), metrics.edit_similarity("similarity", a, b)]))
+
+
+@query()
+def word_error_rate_all_turns(spark: SparkSession, d: str) -> DataFrame:
+    rows = all_turns(spark, d).withColumn("b", F.replace("a", F.lit("e"), F.lit("~")))
+    return told(metrics.evaluate(rows, [metrics.word_error_rate("wer", F.col("a"), F.col("b"))]))
+
+
 @query("""WITH p AS (SELECT [p_brand, p_type] AS r, CASE WHEN p_partkey % 5 = 0 THEN [] WHEN p_partkey % 3 = 0 THEN [p_brand, 'other'] ELSE [p_brand, p_type] END AS q FROM part),
 s AS (SELECT sum(len(list_intersect(r, q))) AS shared, sum(len(q)) AS predicted, sum(len(r)) AS referred, count(*) FILTER (WHERE r = q) AS exact, count(*) FILTER (WHERE len(q) > 0) AS covered, count(*) AS n FROM p)
 SELECT CAST(shared AS BIGINT) AS shared, CAST(predicted AS BIGINT) AS predicted, CAST(referred AS BIGINT) AS referred, round(shared / predicted, 9) AS "precision", round(shared / referred, 9) AS recall,

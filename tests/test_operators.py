@@ -200,3 +200,25 @@ def test_risk_policy_against_brute_force(spark, sf_dir, thin):
     for r in sequences.add_without_overlap(a, c, 0.5).collect():
         got[r["doc"]].append((r["top"], r["bottom"]))
     assert {d: sorted(x) for d, x in got.items()} == want and any(not raw[d] for d in got)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_error_rates_count_every_turn(spark, tmp_path):
+    from strataframe.plans import catalog
+
+    texts = ["Plain text here", "caf\u00e9 \u65e5\u672c \u2713 e 3.5", "\U0001f600 the end", "", None]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "conv_id long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    low = [t.lower() for t in texts if t]
+    got = {r["metric"]: r for name in ("text_error_rates_all_turns", "word_error_rate_all_turns") for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert (got["cer"]["numerator"], got["cer"]["denominator"]) == (sum(edits(t, t.replace("e", "c")) for t in low), sum(map(len, low)))
+    assert (got["wer"]["numerator"], got["wer"]["denominator"]) == (sum(edits(t.split(), t.replace("e", "~").split()) for t in low), sum(len(t.split()) for t in low))
+    assert got["numeric_cer"]["denominator"] == 3
+    assert 0 < got["similarity"]["value"] < 1
