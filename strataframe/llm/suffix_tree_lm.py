@@ -1,19 +1,27 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 The root is the smoothed distribution of single tokens.  A context (the last
-one to ``DEPTH`` words) is a node if it has at least ``CONTEXT`` of all training
-tokens before it and if its next-token distribution diverges from that of its
-suffix by more than its description costs.  A node lists the next tokens that
-follow it with at least ``ENTRY`` of all training tokens, so that a level has
-at most ``1 / CONTEXT`` nodes and ``1 / ENTRY`` next tokens however large the
-corpus is; the rest of a node's mass goes to its suffix.  These bounded tables
-are broadcast.  Counts of all other words are joined where they lie.
+one or more words) is a node if it comes before at least ``LEAST_CONTEXT``
+training tokens and if its next-token distribution diverges from that of its
+suffix by more than its description costs.  A node lists the next tokens seen
+at least ``LEAST_ENTRY`` times after it; the rest of its mass goes to its
+suffix.  Both are plain counts at every size of the corpus.  A context after
+which only one token comes is not made longer, as longer ones tell the same,
+and the first level without a node ends the tree.
+
+Levels are written tables keyed by context and next token.  A token's gain over
+the root is a sum of one value for each context before it and one for each
+listed pair of context and token, so that texts are joined with one table of
+such values.  Values met by at least a share ``ENTRY`` of the training tokens
+are broadcast instead, a bounded number that spares the join its common keys.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +32,12 @@ from pyspark.sql import functions as F
 from strataframe.llm._spark import bounded_batches, materialize, ship_package
 from strataframe.llm._text import HashIndex, Tally, Texts, mix, segment_sums, slices
 
-#: Least share of the training tokens of a context, and of a listed token after it.
-CONTEXT, ENTRY = 1e-5, 1e-6
-DEPTH = 2
-#: Least counts of both, which hold in small corpora.
+#: Share of the training tokens from which a word's count or a context's value is broadcast rather than joined.
+ENTRY = 1e-6
+#: Least counts of a context, and of a listed token after it.
 LEAST_CONTEXT, LEAST_ENTRY = 10, 3
+#: Bits of the filter that spares the shuffles most keys they don't need; any key it lets through is judged by a join.
+FILTER_BITS = 27
 #: Taken from each listed count for tokens that aren't listed.
 DISCOUNT = 0.75
 #: Key of the end of a document.
@@ -127,8 +136,8 @@ def _bounded(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order].astype(np.int64).view(np.uint64), n[order].astype(np.int64)
 
 
-def grow(docs: DataFrame, counts: DataFrame, depth: int = DEPTH, context: float = CONTEXT, entry: float = ENTRY) -> Tree:
-    """Learn the tree from ``docs``; ``counts`` has each training token's key and n."""
+def grow(docs: DataFrame, counts: DataFrame, depth: int, context: float, entry: float) -> Tree:
+    """Learn a tree of bounded depth in memory, for small corpora; :func:`score` uses :func:`learn`."""
     sc = docs.sparkSession.sparkContext
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words, c = _bounded(counts.where(F.col("n") >= entry * n))
@@ -207,62 +216,175 @@ def training_rows(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 != 1
 
 
-def score(docs: DataFrame, depth: int = DEPTH, context: float = CONTEXT, entry: float = ENTRY) -> DataFrame:
+def context_keys(keys: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth: the tokens with so many words before them, the keys of these contexts and of context and token."""
+    place = np.arange(len(keys)) - np.repeat(first[:-1], np.diff(first))
+    at, context = np.arange(len(keys)), np.full(len(keys), END)
+    for d in range(1, depth + 1):
+        more = place[at] >= d
+        at, context = at[more], context[more]
+        context = mix(context * _STEP + keys[at - d])
+        yield at, context, mix((context ^ END) * _STEP + keys[at])
+
+
+class Filter:
+    """Bits of hashed keys: no false misses, and a size that doesn't grow."""
+
+    def __init__(self, df: DataFrame):
+        key = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+        words = df.select(F.shiftright(key, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - FILTER_BITS}) & 63 AS INT))").alias("bit"))
+        table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().combine_chunks()
+        self.bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        if table.num_rows:
+            self.bits[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - FILTER_BITS)
+        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _pairs(train: DataFrame, d: int, wanted) -> DataFrame:
+    """key, ctx, below, suffix, n of all contexts of depth ``d`` with their next tokens."""
+    names = ["key", "ctx", "below", "suffix"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts, size = wanted.value if wanted else None, [], 0
+
+        def take() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            _, one, n = np.unique(columns[0], return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(c[one].view(np.int64)) for c in columns), pa.array(n.astype(np.int64))], [*names, "n"])
+
+        for batch in batches:
+            for _, _, texts in slices(batch.column(0)):
+                keys, first = tokens(texts)
+                upto = list(context_keys(keys, first, d))
+                at, context, key = upto[-1]
+                if d > 1:
+                    before, suffix, below = upto[-2]
+                    here = np.searchsorted(before, at)
+                    suffix, below = suffix[here], below[here]
+                    use = known(suffix)
+                    key, context, below, suffix = key[use], context[use], below[use], suffix[use]
+                else:
+                    below, suffix = keys[at], np.zeros(len(at), np.uint64)
+                if len(key):
+                    parts.append((key, context, below, suffix))
+                    size += len(key)
+                if size >= 1_000_000:
+                    yield take()
+                    parts, size = [], 0
+        if parts:
+            yield take()
+
+    seen = train.mapInArrow(run, "key bigint, ctx bigint, below bigint, suffix bigint, n bigint")
+    return materialize(seen.groupBy("key").agg(*(F.max(c).alias(c) for c in names[1:]), F.sum("n").alias("n")), f"suffix-tree-pairs-{d}")
+
+
+def learn(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int | None = None, context: float = 0.0) -> list[DataFrame]:
+    """Tables key, value, n of each level: a node's back-off by its context, a listed token's value by context and token."""
+    sc = train.sparkSession.sparkContext
+    below = counts.select("key", ((F.col("n") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("p"))
+    levels, longer, wanted, d = [], None, None, 0
+    while depth is None or d < depth:
+        d += 1
+        pairs = _pairs(train, d, wanted)
+        if wanted:
+            wanted.destroy()
+        contexts = pairs.groupBy("ctx").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.max("suffix").alias("suffix")).where(F.col("total") >= max(context * n, LEAST_CONTEXT))
+        if longer is not None:
+            contexts = contexts.join(longer.withColumnRenamed("key", "suffix"), "suffix", "left_semi")
+        contexts = materialize(contexts.select("ctx", "total", "top"), f"suffix-tree-contexts-{d}")
+        listed = pairs.where(F.col("n") >= LEAST_ENTRY).select("key", "ctx", "below", "n").join(contexts.select("ctx", "total"), "ctx")
+        listed = listed.join(below.select(F.col("key").alias("below"), F.col("p").alias("q")), "below")
+        listed = materialize(listed.select("key", "ctx", "n", "total", ((F.col("n") - DISCOUNT) / F.col("total")).alias("p"), "q"), f"suffix-tree-listed-{d}")
+        told = listed.groupBy("ctx").agg(
+            F.max("total").alias("total"), F.count("*").alias("size"), F.greatest(1 - F.sum("p"), F.lit(1e-12)).alias("rest"),
+            F.least(F.sum("q"), F.lit(1 - 1e-9)).alias("lower"), F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("divergence"),
+        )
+        rest = F.log(F.col("rest") / (1 - F.col("lower")))
+        gain = F.col("total") * (F.col("divergence") + F.col("rest") * rest)
+        nodes = materialize(told.where(gain > 0.5 * (F.col("size") + 1) * F.log(F.col("total") + 1)).select("ctx", "total", (rest / math.log(10)).alias("back_off")), f"suffix-tree-nodes-{d}")
+        if nodes.isEmpty():
+            break
+        told = materialize(listed.join(nodes.select("ctx", "back_off"), "ctx", "left"), f"suffix-tree-level-{d}")
+        values = told.where("back_off is not null").select("key", (F.log10(F.col("p") / F.col("q")) - F.col("back_off")).alias("value"), "n")
+        levels.append(values.unionByName(nodes.select(F.col("ctx").alias("key"), F.col("back_off").alias("value"), F.col("total").alias("n"))))
+        below = told.select("key", F.when(F.col("back_off").isNull(), F.col("q")).otherwise(F.col("p")).alias("p"))
+        longer = contexts.where("top < total").select(F.col("ctx").alias("key"))
+        wanted = sc.broadcast(Filter(longer))
+    return levels
+
+
+def score(docs: DataFrame, depth: int | None = None, context: float = 0.0, entry: float = ENTRY) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts are the end token alone.  A null doc_id counts as the
     empty text in the split.  Repeated rows each get a row and count each.  An
     empty table gives an empty result; without training tokens all
     probabilities are those of an unseen token.  Other columns are ignored.
+    The tree has no greatest depth and no least share of a context unless
+    asked; ``entry`` bears on what is broadcast only, not on results.
     """
     spark = docs.sparkSession
     ship_package(spark)
     bounded_batches(spark)
     train = docs.where(training_rows(F.col("doc_id"))).select("text")
     counts = materialize(_count(train, lambda: lambda texts: tokens(texts)[0]), "word-counts")
-    tree = grow(train, counts, depth, context, entry)
-    shared = spark.sparkContext.broadcast(tree)
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    words, c = _bounded(counts.where(F.col("n") >= entry * n))
+    levels = learn(train, counts, n, v, depth, context)
+    empty = spark.createDataFrame([], "key bigint, value double, n bigint")
+    values = materialize(reduce(DataFrame.unionByName, levels, empty), "suffix-tree-values")
+    # Each level has at most 1 / entry contexts and as many pairs of that share.
+    often = entry * n * max(len(levels), 1)
+    common = values.where(F.col("n") >= often).select("key", "value").toArrow().combine_chunks()
+    few_values = values.where(F.col("n") < often).select("key", "value")
+    keys, worth = np.asarray(common["key"].to_numpy()).view(np.uint64), np.asarray(common["value"].to_numpy())
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((words, np.log10((c + 0.5) / (n + 0.5 * (v + 1))), keys[order], worth[order], Filter(few_values), len(levels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.open()
+        words, word_base, common, worth, wanted, deep = shared.value
+        word_index, index = HashIndex(words), HashIndex(common)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, to, texts in slices(batch.column(1)):
                 keys, first = tokens(texts)
-                ids = known.index.find(keys)
+                ids = word_index.find(keys)
                 rare = ids < 0
-                base = np.where(rare, 0.0, known.base[ids]) if len(known.base) else np.zeros(len(ids))
-                gain = np.zeros(len(keys))
-                nodes = known.states(ids, first)
-                todo = np.arange(len(keys))
-                for d in reversed(range(len(nodes))):
-                    node = nodes[d][todo]
-                    inside = node >= 0
-                    which = known.listed[d].find(pair(np.maximum(node, 0), np.maximum(ids[todo], 0)))
-                    hit = inside & (which >= 0) & (ids[todo] >= 0)
-                    gain[todo[hit]] += known.levels[d].log_p[which[hit]] - base[todo[hit]]
-                    miss = inside & ~hit
-                    gain[todo[miss]] += known.levels[d].back_off[node[miss]]
-                    todo = todo[~hit]
+                base = np.where(rare, 0.0, word_base[ids]) if len(word_base) else np.zeros(len(ids))
+                gain, places, asked = np.zeros(len(keys)), [], []
+                for here, ctx, key in context_keys(keys, first, deep):
+                    for k in (ctx, key):
+                        found = index.find(k)
+                        hit = found >= 0
+                        gain[here[hit]] += worth[found[hit]]
+                        todo = ~hit & wanted(k)
+                        places.append(here[todo])
+                        asked.append(k[todo])
+                places, asked = np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0, np.uint64), *asked])
+                by_place = np.argsort(places, kind="stable")
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(np.flatnonzero(rare), first).astype(np.int32)), pa.array(keys[rare].view(np.int64)))
+                more = pa.ListArray.from_arrays(pa.array(np.searchsorted(places[by_place], first).astype(np.int32)), pa.array(asked[by_place].view(np.int64)))
                 rows = np.arange(row, row + texts.n)
                 row += texts.n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), batch.column(0)[at:to], pa.array(np.diff(first)), pa.array(segment_sums((~rare).astype(np.int64), first)), pa.array(segment_sums(base, first)), pa.array(segment_sums(gain, first)), lists],
-                    ["row", "doc_id", "n_tokens", "known", "base", "gain", "rare"],
+                    [pa.array(rows), batch.column(0)[at:to], pa.array(np.diff(first)), pa.array(segment_sums((~rare).astype(np.int64), first)), pa.array(segment_sums(base, first)), pa.array(segment_sums(gain, first)), lists, more],
+                    ["row", "doc_id", "n_tokens", "known", "base", "gain", "rare", "asked"],
                 )
 
-    schema = "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, gain double, rare array<bigint>"
+    schema = "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, gain double, rare array<bigint>, asked array<bigint>"
     local = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "suffix-tree-scores")
-    n, v = tree.n, tree.v
     rare = local.select("row", F.explode("rare").alias("key"))
     few = counts.where(F.col("n") < entry * n)
-    found = rare.join(few, "key", "left").groupBy("row").agg(
+    found = rare.join(few, "key", "left").groupBy(F.col("row").alias("r_row")).agg(
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(n + 0.5 * (v + 1)))).alias("rare_base"), F.count("n").alias("rare_known")
     )
-    whole = local.select("row", "doc_id", "n_tokens", "known", "base", "gain").join(found.withColumnRenamed("row", "r_row"), F.col("row") == F.col("r_row"), "left")
+    gained = local.select("row", F.explode("asked").alias("key")).join(few_values, "key").groupBy(F.col("row").alias("g_row")).agg(F.sum("value").alias("joined_gain"))
+    whole = local.select("row", "doc_id", "n_tokens", "known", "base", "gain").join(found, F.col("row") == F.col("r_row"), "left").join(gained, F.col("row") == F.col("g_row"), "left")
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
     return whole.select(
         "doc_id", (~training_rows(F.col("doc_id"))).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"),
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("joined_gain", F.lit(0.0))).alias("score"),
     )

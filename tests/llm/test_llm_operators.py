@@ -200,6 +200,61 @@ def test_language_model_base(docs, rows, empty):
     assert suffix_tree_lm.score(empty).count() == 0
 
 
+def brute_tree_scores(train, texts):
+    """Scores by the definition: plain counts, divergence from the suffix, no greatest depth."""
+    c = Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    root = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    nodes, tried, d = {}, {(): False}, 0
+
+    def p(ctx, w):
+        if not ctx:
+            return root(w)
+        if ctx in nodes and w in nodes[ctx][0]:
+            return nodes[ctx][0][w]
+        return nodes.get(ctx, (None, 1.0))[1] * p(ctx[1:], w)
+
+    while True:
+        d += 1
+        after = defaultdict(Counter)
+        for t in train:
+            for i in range(d, len(t)):
+                after[tuple(t[i - d : i])][t[i]] += 1
+        fit = {x: f for x, f in after.items() if f.total() >= 10 and not tried.get(x[1:], True)}
+        grown = {}
+        for x, f in fit.items():
+            total, many = f.total(), {w: k for w, k in f.items() if k >= 3}
+            ps = {w: (k - 0.75) / total for w, k in many.items()}
+            rest, lower = max(1 - sum(ps.values()), 1e-12), min(sum(p(x[1:], w) for w in ps), 1 - 1e-9)
+            gain = sum(q * math.log(q / p(x[1:], w)) for w, q in ps.items()) + rest * math.log(rest / (1 - lower))
+            if ps and total * gain > 0.5 * (len(ps) + 1) * math.log(total + 1):
+                grown[x] = (ps, rest / (1 - lower))
+        if not grown:
+            return d - 1, [sum(math.log10(p(tuple(t[max(0, i - d + 1) : i]), t[i])) for i in range(len(t))) for t in texts]
+        nodes |= grown
+        tried = {x: len(f) == 1 for x, f in fit.items()}
+
+
+def test_suffix_tree_scores_against_brute_force(spark):
+    """Each word leans on the four before it, so two words of context don't do."""
+    rng = np.random.default_rng(3)
+    table = {}
+    for k in range(400):
+        words = [0, 1, 2, 0]
+        for _ in range(70):
+            lean = np.exp([sum(1.2 * (words[-j] == x) * (-1) ** j for j in range(1, 5)) for x in range(3)])
+            words.append(int(rng.choice(3, p=lean / lean.sum())))
+        table[k] = " ".join(f"a{x}" for x in words)
+    docs = spark.createDataFrame([*table.items(), (1000, None)], "doc_id long, text string")
+    ids = [*table, 1000]
+    texts = [tokens_of(table.get(k)) for k in ids]
+    deep, want = brute_tree_scores([t for k, t in zip(ids, texts, strict=True) if zlib.crc32(str(k).encode()) % 5 != 1], texts)
+    assert deep >= 4
+    for entry in (1e-6, 0.02):  # all values broadcast, and most of them joined
+        got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(docs, entry=entry).collect()}
+        assert all(abs(got[k] - s) < 1e-6 for k, s in zip(ids, want, strict=True))
+
+
 def test_suffix_tree_is_a_distribution(docs):
     train = docs.select("text")
     counts = suffix_tree_lm._count(train, lambda: lambda t: suffix_tree_lm.tokens(t)[0])
