@@ -216,15 +216,21 @@ def training_rows(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 != 1
 
 
-def context_keys(keys: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth: the tokens with so many words before them, the keys of these contexts and of context and token."""
+def context_keys(keys: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth: the tokens with so many words before them; keys of these contexts, of context and token, and of the latter without its first word.
+
+    A context's key is that of the run of tokens it is, so that the count of
+    a listed pair is the count of the longer context it makes.
+    """
     place = np.arange(len(keys)) - np.repeat(first[:-1], np.diff(first))
-    at, context = np.arange(len(keys)), np.full(len(keys), END)
+    run = keys
     for d in range(1, depth + 1):
-        more = place[at] >= d
-        at, context = at[more], context[more]
-        context = mix(context * _STEP + keys[at - d])
-        yield at, context, mix((context ^ END) * _STEP + keys[at])
+        at = np.flatnonzero(place >= d)
+        longer = np.zeros(len(keys), np.uint64)
+        context, below = run[at - 1], run[at]
+        longer[at] = mix((context ^ END) * _STEP + keys[at])
+        run = longer
+        yield at, context, run[at], below
 
 
 class Filter:
@@ -243,79 +249,74 @@ class Filter:
         return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _pairs(train: DataFrame, d: int, wanted) -> DataFrame:
-    """key, ctx, below, suffix, n of all contexts of depth ``d`` with their next tokens."""
-    names = ["key", "ctx", "below", "suffix"]
+def _pairs(train: DataFrame, d: int, filters) -> DataFrame:
+    """key, ctx, below, n of the pairs of a context of depth ``d`` and a next token seen often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts, size = wanted.value if wanted else None, [], 0
+        (tried, often), parts, size = filters.value, [], 0
 
         def take() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
             _, one, n = np.unique(columns[0], return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(pa.array(c[one].view(np.int64)) for c in columns), pa.array(n.astype(np.int64))], [*names, "n"])
+            return pa.RecordBatch.from_arrays([*(pa.array(c[one].view(np.int64)) for c in columns), pa.array(n.astype(np.int64))], ["key", "ctx", "below", "n"])
 
         for batch in batches:
             for _, _, texts in slices(batch.column(0)):
-                keys, first = tokens(texts)
-                upto = list(context_keys(keys, first, d))
-                at, context, key = upto[-1]
-                if d > 1:
-                    before, suffix, below = upto[-2]
-                    here = np.searchsorted(before, at)
-                    suffix, below = suffix[here], below[here]
-                    use = known(suffix)
-                    key, context, below, suffix = key[use], context[use], below[use], suffix[use]
-                else:
-                    below, suffix = keys[at], np.zeros(len(at), np.uint64)
-                if len(key):
-                    parts.append((key, context, below, suffix))
-                    size += len(key)
+                *_, (_, ctx, key, below) = context_keys(*tokens(texts), d)
+                use = tried(ctx) & often(below)
+                if use.any():
+                    parts.append((key[use], ctx[use], below[use]))
+                    size += len(parts[-1][0])
                 if size >= 1_000_000:
                     yield take()
                     parts, size = [], 0
         if parts:
             yield take()
 
-    seen = train.mapInArrow(run, "key bigint, ctx bigint, below bigint, suffix bigint, n bigint")
-    return materialize(seen.groupBy("key").agg(*(F.max(c).alias(c) for c in names[1:]), F.sum("n").alias("n")), f"suffix-tree-pairs-{d}")
+    seen = train.mapInArrow(run, "key bigint, ctx bigint, below bigint, n bigint").groupBy("key").agg(F.max("ctx").alias("ctx"), F.max("below").alias("below"), F.sum("n").alias("n"))
+    return materialize(seen.where(F.col("n") >= LEAST_ENTRY), f"suffix-tree-pairs-{d}")
 
 
 def learn(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int | None = None, context: float = 0.0) -> list[DataFrame]:
     """Tables key, value, n of each level: a node's back-off by its context, a listed token's value by context and token."""
     sc = train.sparkSession.sparkContext
-    below = counts.select("key", ((F.col("n") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("p"))
-    levels, longer, wanted, d = [], None, None, 0
+    least = max(context * n, LEAST_CONTEXT)
+    below = counts.where(F.col("n") >= LEAST_ENTRY).select("key", ((F.col("n") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("p"))
+    contexts = counts.where(F.col("n") >= least).select(F.col("key").alias("ctx"), F.col("n").alias("total"))
+    levels, d = [], 0
     while depth is None or d < depth:
         d += 1
-        pairs = _pairs(train, d, wanted)
-        if wanted:
-            wanted.destroy()
-        contexts = pairs.groupBy("ctx").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.max("suffix").alias("suffix")).where(F.col("total") >= max(context * n, LEAST_CONTEXT))
-        if longer is not None:
-            contexts = contexts.join(longer.withColumnRenamed("key", "suffix"), "suffix", "left_semi")
-        contexts = materialize(contexts.select("ctx", "total", "top"), f"suffix-tree-contexts-{d}")
-        listed = pairs.where(F.col("n") >= LEAST_ENTRY).select("key", "ctx", "below", "n").join(contexts.select("ctx", "total"), "ctx")
-        listed = listed.join(below.select(F.col("key").alias("below"), F.col("p").alias("q")), "below")
-        listed = materialize(listed.select("key", "ctx", "n", "total", ((F.col("n") - DISCOUNT) / F.col("total")).alias("p"), "q"), f"suffix-tree-listed-{d}")
+        filters = sc.broadcast((Filter(contexts.select(F.col("ctx").alias("key"))), Filter(below)))
+        pairs = _pairs(train, d, filters)
+        filters.destroy()
+        listed = pairs.join(contexts, "ctx").join(below.select(F.col("key").alias("below"), F.col("p").alias("q")), "below")
+        listed = materialize(listed.select("key", "ctx", "below", "n", "total", ((F.col("n") - DISCOUNT) / F.col("total")).alias("p"), "q"), f"suffix-tree-listed-{d}")
         told = listed.groupBy("ctx").agg(
-            F.max("total").alias("total"), F.count("*").alias("size"), F.greatest(1 - F.sum("p"), F.lit(1e-12)).alias("rest"),
+            F.max("total").alias("total"), F.max("n").alias("top"), F.count("*").alias("size"), F.greatest(1 - F.sum("p"), F.lit(1e-12)).alias("rest"),
             F.least(F.sum("q"), F.lit(1 - 1e-9)).alias("lower"), F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("divergence"),
         )
         rest = F.log(F.col("rest") / (1 - F.col("lower")))
         gain = F.col("total") * (F.col("divergence") + F.col("rest") * rest)
-        nodes = materialize(told.where(gain > 0.5 * (F.col("size") + 1) * F.log(F.col("total") + 1)).select("ctx", "total", (rest / math.log(10)).alias("back_off")), f"suffix-tree-nodes-{d}")
+        kept = gain > 0.5 * (F.col("size") + 1) * F.log(F.col("total") + 1)
+        tried = materialize(told.select("ctx", "total", "top", F.when(kept, rest / math.log(10)).alias("back_off")), f"suffix-tree-contexts-{d}")
+        nodes = tried.where("back_off is not null")
         if nodes.isEmpty():
             break
         told = materialize(listed.join(nodes.select("ctx", "back_off"), "ctx", "left"), f"suffix-tree-level-{d}")
         values = told.where("back_off is not null").select("key", (F.log10(F.col("p") / F.col("q")) - F.col("back_off")).alias("value"), "n")
-        levels.append(values.unionByName(nodes.select(F.col("ctx").alias("key"), F.col("back_off").alias("value"), F.col("total").alias("n"))))
+        levels.append(values.unionByName(nodes.select(_context_value(F.col("ctx")).alias("key"), F.col("back_off").alias("value"), F.col("total").alias("n"))))
         below = told.select("key", F.when(F.col("back_off").isNull(), F.col("q")).otherwise(F.col("p")).alias("p"))
-        longer = contexts.where("top < total").select(F.col("ctx").alias("key"))
-        wanted = sc.broadcast(Filter(longer))
+        # A context with a single next token isn't made longer, nor is what was not tried for that; one without a listed token makes no longer listed pair.
+        open_ = tried.where("top < total").select(F.col("ctx").alias("below"))
+        contexts = told.where(F.col("n") >= least).join(open_, "below", "left_semi").select(F.col("key").alias("ctx"), F.col("n").alias("total"))
     return levels
 
 
+def _context_value(key):
+    """Key of a context's own value, apart from that of the pair of the same tokens (a column or an array)."""
+    return key.bitwiseXOR(F.lit(int(END))) if isinstance(key, Column) else key ^ END
+
+
 def score(docs: DataFrame, depth: int | None = None, context: float = 0.0, entry: float = ENTRY) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -355,8 +356,8 @@ def score(docs: DataFrame, depth: int | None = None, context: float = 0.0, entry
                 rare = ids < 0
                 base = np.where(rare, 0.0, word_base[ids]) if len(word_base) else np.zeros(len(ids))
                 gain, places, asked = np.zeros(len(keys)), [], []
-                for here, ctx, key in context_keys(keys, first, deep):
-                    for k in (ctx, key):
+                for here, ctx, key, _ in context_keys(keys, first, deep):
+                    for k in (_context_value(ctx), key):
                         found = index.find(k)
                         hit = found >= 0
                         gain[here[hit]] += worth[found[hit]]

@@ -239,12 +239,13 @@ def test_suffix_tree_scores_against_brute_force(spark):
     """Each word leans on the four before it, so two words of context don't do."""
     rng = np.random.default_rng(3)
     table = {}
-    for k in range(400):
+    for k in range(250):
         words = [0, 1, 2, 0]
         for _ in range(70):
             lean = np.exp([sum(1.2 * (words[-j] == x) * (-1) ** j for j in range(1, 5)) for x in range(3)])
             words.append(int(rng.choice(3, p=lean / lean.sum())))
         table[k] = " ".join(f"a{x}" for x in words)
+    table |= {500 + k: f"a{k % 3} x y z then a{k % 2} a{k % 3} x y q" for k in range(60)}  # single next tokens after x and before them
     docs = spark.createDataFrame([*table.items(), (1000, None)], "doc_id long, text string")
     ids = [*table, 1000]
     texts = [tokens_of(table.get(k)) for k in ids]
