@@ -1,4 +1,4 @@
-"""Ordered-interval operators: paths, policies, quality of sequences, injected errors."""
+"""Ordered-interval operators: paths, policies, quality of sequences."""
 
 from __future__ import annotations
 
