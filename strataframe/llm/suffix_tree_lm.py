@@ -14,6 +14,8 @@ the root is a sum of one value for each context before it and one for each
 listed pair of context and token, so that texts are joined with one table of
 such values.  Values met by at least a share ``ENTRY`` of the training tokens
 are broadcast instead, a bounded number that spares the join its common keys.
+Passes follow a context only as far as it was tried, by filters of hashed keys
+whose false hits cost a lookup and change nothing.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,7 @@ DISCOUNT = 0.75
 #: Key of the end of a document.
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
+_GAIN = 0x2545F4914F6CDD1D
 
 
 def tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -216,33 +220,47 @@ def training_rows(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 != 1
 
 
-def context_keys(keys: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth: the tokens with so many words before them; keys of these contexts, of context and token, and of the latter without its first word.
+def context_keys(keys: np.ndarray, first: np.ndarray, tried=None, open_=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth: the tokens after a tried context; keys of these contexts, of context and token, and of the latter without its first word.
 
     A context's key is that of the run of tokens it is, so that the count of
-    a listed pair is the count of the longer context it makes.
+    a listed pair is the count of the longer context it makes.  A longer
+    context is followed only where its suffix is open and its other words
+    are a tried context; ``tried`` and ``open_`` may let others through, but
+    miss none.  Without them all contexts are told.
     """
-    place = np.arange(len(keys)) - np.repeat(first[:-1], np.diff(first))
-    run = keys
-    for d in range(1, depth + 1):
-        at = np.flatnonzero(place >= d)
-        longer = np.zeros(len(keys), np.uint64)
-        context, below = run[at - 1], run[at]
-        longer[at] = mix((context ^ END) * _STEP + keys[at])
-        run = longer
-        yield at, context, run[at], below
+    at = np.delete(np.arange(len(keys)), first[:-1])
+    held = np.zeros(len(keys), bool)
+    context, below, words = keys[at - 1], keys[at], np.zeros(len(keys), np.uint64)
+    while len(at):
+        if tried is not None:
+            use = tried(context)
+            at, context, below = at[use], context[use], below[use]
+        pair_ = mix((context ^ END) * _STEP + keys[at])
+        yield at, context, pair_, below
+        # The pair of the token before is the next longer context, its ``below`` what that is without its first word.
+        held[:] = False
+        held[at] = True
+        words[at] = pair_
+        go = held[at - 1] if open_ is None else held[at - 1] & open_(context)
+        at, below = at[go], pair_[go]
+        context = words[at - 1]
 
 
 class Filter:
     """Bits of hashed keys: no false misses, and a size that doesn't grow."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame | None = None):
+        self.bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        if df is not None:
+            self.add(df)
+
+    def add(self, df: DataFrame) -> None:
         key = F.shiftrightunsigned("key", 64 - FILTER_BITS)
         words = df.select(F.shiftright(key, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - FILTER_BITS}) & 63 AS INT))").alias("bit"))
         table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().combine_chunks()
-        self.bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
         if table.num_rows:
-            self.bits[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+            self.bits[table["word"].to_numpy()] |= table["bits"].to_numpy().view(np.uint64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         at = keys >> np.uint64(64 - FILTER_BITS)
@@ -253,7 +271,7 @@ def _pairs(train: DataFrame, d: int, filters) -> DataFrame:
     """key, ctx, below, n of the pairs of a context of depth ``d`` and a next token seen often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (tried, often), parts, size = filters.value, [], 0
+        (tried, open_, often), parts, size = filters.value, [], 0
 
         def take() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
@@ -262,8 +280,11 @@ def _pairs(train: DataFrame, d: int, filters) -> DataFrame:
 
         for batch in batches:
             for _, _, texts in slices(batch.column(0)):
-                *_, (_, ctx, key, below) = context_keys(*tokens(texts), d)
-                use = tried(ctx) & often(below)
+                found = next(islice(context_keys(*tokens(texts), tried, open_), d - 1, None), None)
+                if found is None:
+                    continue
+                _, ctx, key, below = found
+                use = often(below)
                 if use.any():
                     parts.append((key[use], ctx[use], below[use]))
                     size += len(parts[-1][0])
@@ -274,23 +295,27 @@ def _pairs(train: DataFrame, d: int, filters) -> DataFrame:
             yield take()
 
     seen = train.mapInArrow(run, "key bigint, ctx bigint, below bigint, n bigint").groupBy("key").agg(F.max("ctx").alias("ctx"), F.max("below").alias("below"), F.sum("n").alias("n"))
-    return materialize(seen.where(F.col("n") >= LEAST_ENTRY), f"suffix-tree-pairs-{d}")
+    return seen.where(F.col("n") >= LEAST_ENTRY)
 
 
-def learn(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int | None = None, context: float = 0.0) -> list[DataFrame]:
-    """Tables key, value, n of each level: a node's back-off by its context, a listed token's value by context and token."""
+def learn(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int | None = None, context: float = 0.0) -> tuple[list[DataFrame], Filter, Filter]:
+    """Tables key, value, n of each level, and filters of all tried and all open contexts.
+
+    A table has a node's back-off by its context, and a listed token's value
+    by context and token.
+    """
     sc = train.sparkSession.sparkContext
     least = max(context * n, LEAST_CONTEXT)
     below = counts.where(F.col("n") >= LEAST_ENTRY).select("key", ((F.col("n") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("p"))
     contexts = counts.where(F.col("n") >= least).select(F.col("key").alias("ctx"), F.col("n").alias("total"))
-    levels, d = [], 0
+    levels, d, known, open_ = [], 0, Filter(), Filter()
     while depth is None or d < depth:
         d += 1
-        filters = sc.broadcast((Filter(contexts.select(F.col("ctx").alias("key"))), Filter(below)))
-        pairs = _pairs(train, d, filters)
-        filters.destroy()
-        listed = pairs.join(contexts, "ctx").join(below.select(F.col("key").alias("below"), F.col("p").alias("q")), "below")
+        known.add(contexts.select(F.col("ctx").alias("key")))
+        filters = sc.broadcast((known, open_, Filter(below)))
+        listed = _pairs(train, d, filters).join(contexts, "ctx").join(below.select(F.col("key").alias("below"), F.col("p").alias("q")), "below")
         listed = materialize(listed.select("key", "ctx", "below", "n", "total", ((F.col("n") - DISCOUNT) / F.col("total")).alias("p"), "q"), f"suffix-tree-listed-{d}")
+        filters.destroy()
         told = listed.groupBy("ctx").agg(
             F.max("total").alias("total"), F.max("n").alias("top"), F.count("*").alias("size"), F.greatest(1 - F.sum("p"), F.lit(1e-12)).alias("rest"),
             F.least(F.sum("q"), F.lit(1 - 1e-9)).alias("lower"), F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("divergence"),
@@ -307,9 +332,10 @@ def learn(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int | None
         levels.append(values.unionByName(nodes.select(_context_value(F.col("ctx")).alias("key"), F.col("back_off").alias("value"), F.col("total").alias("n"))))
         below = told.select("key", F.when(F.col("back_off").isNull(), F.col("q")).otherwise(F.col("p")).alias("p"))
         # A context with a single next token isn't made longer, nor is what was not tried for that; one without a listed token makes no longer listed pair.
-        open_ = tried.where("top < total").select(F.col("ctx").alias("below"))
-        contexts = told.where(F.col("n") >= least).join(open_, "below", "left_semi").select(F.col("key").alias("ctx"), F.col("n").alias("total"))
-    return levels
+        longer = tried.where("top < total").select(F.col("ctx").alias("below"))
+        open_.add(longer.select(F.col("below").alias("key")))
+        contexts = told.where(F.col("n") >= least).join(longer, "below", "left_semi").select(F.col("key").alias("ctx"), F.col("n").alias("total"))
+    return levels, known, open_
 
 
 def _context_value(key):
@@ -317,6 +343,21 @@ def _context_value(key):
     return key.bitwiseXOR(F.lit(int(END))) if isinstance(key, Column) else key ^ END
 
 
+def _gain_key(key):
+    """Key of a context's or pair's value, apart from a word's (a column or an array)."""
+    return key.bitwiseXOR(F.lit(_GAIN)) if isinstance(key, Column) else key ^ np.uint64(_GAIN)
+
+
+def _share(values: DataFrame, least: float, limit: int) -> float:
+    """The first of ``least``, twice it, four times it ... from which at most ``limit`` values are met as often."""
+    step = F.floor(F.log2(F.col("n") / F.lit(max(least, 1e-9)))).cast("int")
+    sizes = dict(tuple(r) for r in values.where(F.col("n") >= least).groupBy(step.alias("step")).agg(F.count("*")).collect())
+    k = 0
+    while sum(c for s, c in sizes.items() if s >= k) > limit:
+        k += 1
+    return least * 2**k
+
+
 def score(docs: DataFrame, depth: int | None = None, context: float = 0.0, entry: float = ENTRY) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -325,7 +366,8 @@ def score(docs: DataFrame, depth: int | None = None, context: float = 0.0, entry
     empty table gives an empty result; without training tokens all
     probabilities are those of an unseen token.  Other columns are ignored.
     The tree has no greatest depth and no least share of a context unless
-    asked; ``entry`` bears on what is broadcast only, not on results.
+    asked; ``entry`` bears on what is broadcast only, not on results: words
+    met by so large a share of the tokens, and at most ``2 / entry`` values.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -334,19 +376,21 @@ def score(docs: DataFrame, depth: int | None = None, context: float = 0.0, entry
     counts = materialize(_count(train, lambda: lambda texts: tokens(texts)[0]), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words, c = _bounded(counts.where(F.col("n") >= entry * n))
-    levels = learn(train, counts, n, v, depth, context)
+    levels, tried, open_ = learn(train, counts, n, v, depth, context)
     empty = spark.createDataFrame([], "key bigint, value double, n bigint")
     values = materialize(reduce(DataFrame.unionByName, levels, empty), "suffix-tree-values")
-    # Each level has at most 1 / entry contexts and as many pairs of that share.
-    often = entry * n * max(len(levels), 1)
+    often = _share(values, entry * n, int(2 / entry))
     common = values.where(F.col("n") >= often).select("key", "value").toArrow().combine_chunks()
-    few_values = values.where(F.col("n") < often).select("key", "value")
+    smoothed = lambda k: (k + 0.5) / (n + 0.5 * (v + 1))
+    few_words = counts.where(F.col("n") < entry * n).select("key", F.log10(smoothed(F.col("n"))).alias("value"), F.lit(True).alias("base"))
+    few = few_words.unionByName(values.where(F.col("n") < often).select(_gain_key(F.col("key")).alias("key"), "value", F.lit(False).alias("base")))
+    few = materialize(few, "suffix-tree-joined-values")
     keys, worth = np.asarray(common["key"].to_numpy()).view(np.uint64), np.asarray(common["value"].to_numpy())
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((words, np.log10((c + 0.5) / (n + 0.5 * (v + 1))), keys[order], worth[order], Filter(few_values), len(levels)))
+    shared = spark.sparkContext.broadcast((words, np.log10(smoothed(c)), keys[order], worth[order], Filter(few), tried, open_, len(levels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, word_base, common, worth, wanted, deep = shared.value
+        words, word_base, common, worth, wanted, tried, open_, deep = shared.value
         word_index, index = HashIndex(words), HashIndex(common)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -355,37 +399,37 @@ def score(docs: DataFrame, depth: int | None = None, context: float = 0.0, entry
                 ids = word_index.find(keys)
                 rare = ids < 0
                 base = np.where(rare, 0.0, word_base[ids]) if len(word_base) else np.zeros(len(ids))
-                gain, places, asked = np.zeros(len(keys)), [], []
-                for here, ctx, key, _ in context_keys(keys, first, deep):
+                todo = np.flatnonzero(rare & wanted(keys))
+                gain, places, asked = np.zeros(len(keys)), [todo], [keys[todo]]
+                for here, ctx, key, _ in islice(context_keys(keys, first, tried, open_), deep):
                     for k in (_context_value(ctx), key):
                         found = index.find(k)
                         hit = found >= 0
                         gain[here[hit]] += worth[found[hit]]
+                        k = _gain_key(k)
                         todo = ~hit & wanted(k)
                         places.append(here[todo])
                         asked.append(k[todo])
-                places, asked = np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0, np.uint64), *asked])
+                places, asked = np.concatenate(places), np.concatenate(asked)
                 by_place = np.argsort(places, kind="stable")
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(np.flatnonzero(rare), first).astype(np.int32)), pa.array(keys[rare].view(np.int64)))
-                more = pa.ListArray.from_arrays(pa.array(np.searchsorted(places[by_place], first).astype(np.int32)), pa.array(asked[by_place].view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(places[by_place], first).astype(np.int32)), pa.array(asked[by_place].view(np.int64)))
                 rows = np.arange(row, row + texts.n)
                 row += texts.n
+                known = segment_sums((~rare).astype(np.int64), first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), batch.column(0)[at:to], pa.array(np.diff(first)), pa.array(segment_sums((~rare).astype(np.int64), first)), pa.array(segment_sums(base, first)), pa.array(segment_sums(gain, first)), lists, more],
-                    ["row", "doc_id", "n_tokens", "known", "base", "gain", "rare", "asked"],
+                    [pa.array(rows), batch.column(0)[at:to], pa.array(np.diff(first)), pa.array(known), pa.array(segment_sums(base, first)), pa.array(segment_sums(gain, first)), lists],
+                    ["row", "doc_id", "n_tokens", "known", "base", "gain", "asked"],
                 )
 
-    schema = "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, gain double, rare array<bigint>, asked array<bigint>"
+    schema = "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, gain double, asked array<bigint>"
     local = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "suffix-tree-scores")
-    rare = local.select("row", F.explode("rare").alias("key"))
-    few = counts.where(F.col("n") < entry * n)
-    found = rare.join(few, "key", "left").groupBy(F.col("row").alias("r_row")).agg(
-        F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(n + 0.5 * (v + 1)))).alias("rare_base"), F.count("n").alias("rare_known")
+    joined = local.select("row", F.explode("asked").alias("key")).join(few, "key").groupBy(F.col("row").alias("j_row")).agg(
+        F.sum(F.when(F.col("base"), F.col("value"))).alias("j_base"), F.count_if("base").alias("j_known"), F.sum(F.when(~F.col("base"), F.col("value"))).alias("j_gain"),
     )
-    gained = local.select("row", F.explode("asked").alias("key")).join(few_values, "key").groupBy(F.col("row").alias("g_row")).agg(F.sum("value").alias("joined_gain"))
-    whole = local.select("row", "doc_id", "n_tokens", "known", "base", "gain").join(found, F.col("row") == F.col("r_row"), "left").join(gained, F.col("row") == F.col("g_row"), "left")
-    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
+    whole = local.drop("asked").join(joined, F.col("row") == F.col("j_row"), "left")
+    known = F.col("known") + F.coalesce("j_known", F.lit(0))
+    base = F.col("base") + F.coalesce("j_base", F.lit(0.0)) + (F.col("n_tokens") - known) * F.lit(math.log10(smoothed(0)))
     return whole.select(
-        "doc_id", (~training_rows(F.col("doc_id"))).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("joined_gain", F.lit(0.0))).alias("score"),
+        "doc_id", (~training_rows(F.col("doc_id"))).alias("held_out"), "n_tokens", known.alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("j_gain", F.lit(0.0))).alias("score"),
     )
