@@ -5,8 +5,11 @@ distribution per (language, source) is kept in a log-linear histogram: a value
 loses all but its ``BITS`` highest bits, so a quantile is off by under
 2**-(BITS-1) of its value.  Histograms merge by adding counts, so small groups
 fall back to the merged histogram of their language and then of all documents.
-A document is kept if each metric lies within the fences
-``q25 - k*spread .. q75 + k*spread`` of its group.
+A document is kept if each metric lies within the fences of its group,
+``q90 + REACH * (q90 - q50)`` above and ``q10 - REACH * (q50 - q10)`` below.
+Both come from the group's own distribution; a spread narrower than a bucket
+counts as one bucket, as the sketch can't tell it from that.  A document over
+a fence only by a single event (one line, one symbol) is kept.
 """
 
 from __future__ import annotations
@@ -19,16 +22,18 @@ from strataframe.llm._spark import materialize
 SPACES = r"[\x20\x09-\x0D]+"
 #: Highest bits that a histogram bucket keeps.
 BITS = 6
-#: Metric -> (numerator, denominator, scale, least spread, has a lower fence).
+#: Metric -> (numerator, denominator, scale, numerator of a single event, has a lower fence).
 METRICS = {
-    "symbols": ("n_symbols", "word_chars", 10_000, 60, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 1_250, False),
-    "repeats": ("n_repeat_words", "n_words", 10_000, 400, False),
-    "word_length": ("word_chars", "n_words", 100, 60, True),
-    "capitals": ("n_capitals", "word_chars", 10_000, 400, False),
+    "symbols": ("n_symbols", "word_chars", 10_000, 1, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 1, False),
+    "repeats": ("n_repeat_words", "n_words", 10_000, 6, False),
+    "word_length": ("word_chars", "n_words", 100, 0, True),
+    "capitals": ("n_capitals", "word_chars", 10_000, 1, False),
 }
-#: Multiples of the spread between the quartiles and a fence.
-REACH = 4
+#: Multiples of the spread between a tail quantile and its fence.
+REACH = 6
+#: Tenths of the documents below each quantile that is read off a sketch.
+QUANTILES = {"q10": 1, "q50": 5, "q90": 9}
 #: Documents below which a group uses the next wider histogram.
 LEAST_DOCS = 200
 
@@ -82,15 +87,22 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def metric(name: str) -> Column:
-    top, below, scale, _, _ = METRICS[name]
-    return F.expr(f"({scale} * {top}) div greatest({below}, 1)")
+def metric(name: str, without_event: bool = False) -> Column:
+    top, below, scale, event, _ = METRICS[name]
+    return F.expr(f"({scale} * greatest({top} - {event if without_event else 0}, 0)) div greatest({below}, 1)")
+
+
+def _shift(value: Column) -> Column:
+    return F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
 
 
 def bucket(value: Column) -> Column:
     """Lower edge of the value's bucket."""
-    shift = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
+    return F.call_function("shiftleft", F.call_function("shiftright", value, _shift(value)), _shift(value))
+
+
+def bucket_width(value: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), _shift(value))
 
 
 def sketch(stats: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -100,8 +112,8 @@ def sketch(stats: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> Data
     return long.groupBy(*keys, F.col("p.metric").alias("metric"), F.col("p.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quartiles(histogram: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge the histogram down to ``keys`` and read n, q25 and q75 of each metric."""
+def quantiles(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge the histogram down to ``keys`` and read n and ``QUANTILES`` of each metric."""
     merged = histogram.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     up = Window.partitionBy(*keys, "metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = merged.withColumn("below", F.sum("n").over(up))
@@ -109,9 +121,7 @@ def quartiles(histogram: DataFrame, keys: list[str]) -> DataFrame:
     same = [summed[k].eqNullSafe(total[k]) for k in [*keys, "metric"]]
     joined = summed.join(total, on=same).select(*(summed[k] for k in [*keys, "metric"]), "bucket", "below", "total")
     return joined.groupBy(*keys, "metric").agg(
-        F.first("total").alias("n"),
-        F.min(F.when(4 * F.col("below") >= F.col("total"), F.col("bucket"))).alias("q25"),
-        F.min(F.when(4 * F.col("below") >= 3 * F.col("total"), F.col("bucket"))).alias("q75"),
+        F.first("total").alias("n"), *(F.min(F.when(10 * F.col("below") >= tenths * F.col("total"), F.col("bucket"))).alias(q) for q, tenths in QUANTILES.items())
     )
 
 
@@ -121,18 +131,18 @@ def fences(histogram: DataFrame, least_docs: int = LEAST_DOCS, reach: int = REAC
     A group under ``least_docs`` documents takes its language's fences, a
     language under it those of all documents.
     """
-    own, wide, whole = (quartiles(histogram, k) for k in (["lang", "source"], ["lang"], []))
-    wide = wide.select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), F.col("n").alias("l_n"), F.col("q25").alias("l_q25"), F.col("q75").alias("l_q75"))
-    whole = whole.select(F.col("metric").alias("a_metric"), F.col("q25").alias("a_q25"), F.col("q75").alias("a_q75"))
+    own, wide, whole = (quantiles(histogram, k) for k in (["lang", "source"], ["lang"], []))
+    wide = wide.select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), F.col("n").alias("l_n"), *(F.col(q).alias(f"l_{q}") for q in QUANTILES))
+    whole = whole.select(F.col("metric").alias("a_metric"), *(F.col(q).alias(f"a_{q}") for q in QUANTILES))
     all_levels = own.join(wide, own["lang"].eqNullSafe(wide["l_lang"]) & (own["metric"] == wide["l_metric"])).join(whole, own["metric"] == whole["a_metric"])
     pick = lambda q: F.when(F.col("n") >= least_docs, F.col(q)).when(F.col("l_n") >= least_docs, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    chosen = all_levels.select("lang", "source", "metric", pick("q25").alias("q25"), pick("q75").alias("q75"))
+    chosen = all_levels.select("lang", "source", "metric", *(pick(q).alias(q) for q in QUANTILES))
+    spread = lambda a, b, at: F.greatest(F.col(a) - F.col(b), bucket_width(F.col(at)))
     columns = []
-    for m, (*_, least, low) in METRICS.items():
-        spread = F.greatest(F.col("q75") - F.col("q25"), F.lit(least))
-        columns.append(F.max(F.when(F.col("metric") == m, F.col("q75") + reach * spread)).alias(f"hi_{m}"))
+    for m, (*_, low) in METRICS.items():
+        columns.append(F.max(F.when(F.col("metric") == m, F.col("q90") + reach * spread("q90", "q50", "q90"))).alias(f"hi_{m}"))
         if low:
-            columns.append(F.max(F.when(F.col("metric") == m, F.col("q25") - reach * spread)).alias(f"lo_{m}"))
+            columns.append(F.max(F.when(F.col("metric") == m, F.col("q10") - reach * spread("q50", "q10", "q10"))).alias(f"lo_{m}"))
     return chosen.groupBy("lang", "source").agg(*columns)
 
 
@@ -151,7 +161,7 @@ def quality_rules(docs: DataFrame, least_docs: int = LEAST_DOCS, reach: int = RE
     joined = stats.join(limits, stats["lang"].eqNullSafe(limits["f_lang"]) & stats["source"].eqNullSafe(limits["f_source"]), "left")
     inside = F.lit(True)
     for m, (*_, low) in METRICS.items():
-        inside &= metric(m) <= F.col(f"hi_{m}")
+        inside &= metric(m, without_event=True) <= F.col(f"hi_{m}")
         if low:
             inside &= metric(m) >= F.col(f"lo_{m}")
     return joined.select(

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
 from strataframe.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, suffix_tree_lm, token_counts
 from strataframe.llm._spark import documents
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; looked up only by the queries that read one."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -37,7 +42,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.load_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.load_vocabulary(vocabulary("piece_bpe_32k.model")))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -60,20 +65,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_secret_scan, op4_decontamination, op5_sharding, op6_token_counts, op7_lm_scoring, op8_near_dedup, op9_packing, op10_substring_dedup)}
 _METRIC_SQL = " UNION ALL ".join(
-    f"SELECT rid, lang, source, base_failed, '{name}' AS metric, ({scale} * {top}) // greatest({below}, 1) AS v, {least} AS least, {reach} AS reach, {str(low).lower()} AS low FROM stats"
-    for name, (top, below, scale, least, low) in quality_rules.METRICS.items()
-    for reach in (quality_rules.REACH,)
+    f"SELECT rid, lang, source, base_failed, '{name}' AS metric, ({scale} * {top}) // greatest({below}, 1) AS v, ({scale} * greatest({top} - {event}, 0)) // greatest({below}, 1) AS less, {str(low).lower()} AS low FROM stats"
+    for name, (top, below, scale, event, low) in quality_rules.METRICS.items()
 )
 
 
-def _quartile_sql(keys: str) -> str:
-    """n, q25 and q75 of each metric in groups of ``keys``, from the merged histogram."""
+def _quantile_sql(keys: str) -> str:
+    """n and quantiles of each metric in groups of ``keys``, from the merged histogram."""
     by = f"{keys}, metric" if keys else "metric"
-    return f"""(SELECT {by}, max(total) AS n, min(CASE WHEN 4 * below >= total THEN bucket END) AS q25, min(CASE WHEN 4 * below >= 3 * total THEN bucket END) AS q75
+    told = ", ".join(f"min(CASE WHEN 10 * below >= {tenths} * total THEN bucket END) AS {q}" for q, tenths in quality_rules.QUANTILES.items())
+    return f"""(SELECT {by}, max(total) AS n, {told}
 FROM (SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bucket, sum(n) AS n FROM hist GROUP BY {by}, bucket)) GROUP BY {by})"""
 
 
-_SHIFT = f"greatest(length(bin(v)) - {quality_rules.BITS}, 0)"
+def _shift_sql(value: str) -> str:
+    return f"CAST(greatest(length(bin(CAST({value} AS BIGINT))) - {quality_rules.BITS}, 0) AS INT)"
+
+
+_PICK_SQL = ", ".join(f"CASE WHEN o.n >= {quality_rules.LEAST_DOCS} THEN o.{q} WHEN l.n >= {quality_rules.LEAST_DOCS} THEN l.{q} ELSE a.{q} END AS {q}" for q in quality_rules.QUANTILES)
+_HIGH_SQL = f"q90 + {quality_rules.REACH} * greatest(q90 - q50, CAST(1 AS BIGINT) << {_shift_sql('q90')})"
+_LOW_SQL = f"q10 - {quality_rules.REACH} * greatest(q50 - q10, CAST(1 AS BIGINT) << {_shift_sql('q10')})"
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": rf"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -85,11 +96,11 @@ stats AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   CAST(len(l) AS BIGINT) AS n_lines, CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals FROM split LEFT JOIN covered USING (rid))),
 vals AS ({_METRIC_SQL}),
-hist AS (SELECT lang, source, metric, (v >> CAST({_SHIFT} AS INT)) << CAST({_SHIFT} AS INT) AS bucket, count(*) AS n FROM vals WHERE NOT base_failed GROUP BY ALL),
-fences AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.n >= {quality_rules.LEAST_DOCS} THEN o.q25 WHEN l.n >= {quality_rules.LEAST_DOCS} THEN l.q25 ELSE a.q25 END AS q25, CASE WHEN o.n >= {quality_rules.LEAST_DOCS} THEN o.q75 WHEN l.n >= {quality_rules.LEAST_DOCS} THEN l.q75 ELSE a.q75 END AS q75
-  FROM {_quartile_sql("lang, source")} o JOIN {_quartile_sql("lang")} l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN {_quartile_sql("")} a ON o.metric = a.metric),
-verdict AS (SELECT rid, bool_and(coalesce(v <= q75 + reach * greatest(q75 - q25, least) AND (NOT low OR v >= q25 - reach * greatest(q75 - q25, least)), false)) AS inside
-  FROM vals LEFT JOIN fences f ON vals.metric = f.metric AND vals.lang IS NOT DISTINCT FROM f.lang AND vals.source IS NOT DISTINCT FROM f.source GROUP BY rid)
+hist AS (SELECT lang, source, metric, (v >> {_shift_sql("v")}) << {_shift_sql("v")} AS bucket, count(*) AS n FROM vals WHERE NOT base_failed GROUP BY ALL),
+quants AS (SELECT o.lang, o.source, o.metric, {_PICK_SQL}
+  FROM {_quantile_sql("lang, source")} o JOIN {_quantile_sql("lang")} l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN {_quantile_sql("")} a ON o.metric = a.metric),
+verdict AS (SELECT rid, bool_and(coalesce(less <= {_HIGH_SQL} AND (NOT low OR v >= {_LOW_SQL}), false)) AS inside
+  FROM vals LEFT JOIN quants f ON vals.metric = f.metric AND vals.lang IS NOT DISTINCT FROM f.lang AND vals.source IS NOT DISTINCT FROM f.source GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept, n_lines, n_capitals FROM stats JOIN verdict USING (rid)""",
     "op8_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w)),
