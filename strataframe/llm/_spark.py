@@ -14,15 +14,34 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests, local mode).
-FALLBACK_DIR = "/tmp/checkpoints"
+#: Used only by a local session that names no shared folder (tests).
+LOCAL_DIR = "/tmp/checkpoints"
 #: Bytes of an Arrow batch after which it is handed on.
 BATCH_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables of this session."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The shared folder for intermediate tables of this session.
+
+    A cluster has to name one: a folder of one machine is not seen by others.
+    """
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return LOCAL_DIR
+
+
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` doesn't have (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 _written: list[str] = []

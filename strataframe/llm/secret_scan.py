@@ -2,22 +2,26 @@
 
 Tokens of 16 or more letters, digits and ``+/_=-`` with a letter and a digit
 are held for an encoding (hex, base 32, base 36, base 62/64) by the characters
-they have.  Three statistics are taken under that alphabet: the chi-squared
-statistic against equal shares, the number of runs above and below the
-alphabet's middle, and the serial correlation of neighbours.  A token is random
-if its runs and correlation are what chance gives and its chi-squared statistic
-is far below what natural text of that length has; the last is a p-value, and
-within each encoding and length class the rate of false discoveries is held
-(Benjamini-Hochberg, on counts of rounded p-values).  Everything is built from
+they have.  Under the hypothesis of random characters of that alphabet each
+token gets three p-values: chi-squared against equal shares, the number of runs
+above and below the alphabet's middle, and the serial correlation of
+neighbours.  Fisher's method combines them.  A token is told if its combined
+p-value reaches a bound.  The bound is chosen for each encoding and class of
+length so that at most a share ``RATE`` of the told tokens is expected to be
+false: natural text of a token's length passes the bound with a known chance,
+which short tokens have far more of, and the sum of those chances over all
+tokens of the class is held against the number told.  Everything is built from
 DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm._spark import materialize
+from strataframe.llm._spark import fresh_names, materialize
 
 #: The base kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -32,15 +36,15 @@ ENCODINGS = (
     ("base36", "^(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base64", "^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
-#: How many times likelier two characters are equal in natural text than in random text, of at most 26 letters.
+#: Chance that two letters of natural text are equal times their number, and letters that natural text has at most.
 NATURAL, LETTERS = 1.73, 26
-#: Greatest deviation of runs and serial correlation, in standard deviations.
-CHANCE = 3.0
 #: Rate of false discoveries held, and classes of length.
 RATE = 0.05
 LENGTHS = (24, 32, 48, 96)
-#: Rounding of p-values: steps of a tenth of a power of ten, up to this many.
-STEPS = 400
+#: Bounds of the combined p-value that a class may take, loosest first.
+BOUNDS = (0.001, 0.01, 0.05, 0.1, 0.2, 0.4)
+#: Hits after which positions are summed anew, so that a text's work grows with its hits.
+CHUNK = 256
 MASK = "[SECRET]"
 
 
@@ -61,7 +65,21 @@ def _found(text: Column, pattern: str, hint: Column, keep=None) -> Column:
         take = (p["hit"] != "") & (keep(p["value"]) if keep else F.lit(True))
         return F.struct(e.alias("at"), F.when(take, F.concat(acc["out"], F.array(F.struct(a.alias("s"), e.alias("e"), p["hit"].alias("hit"))))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(hint, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(none)
+    def positions(z: Column) -> Column:
+        """Positions are summed within chunks, and the chunks' lengths over chunks."""
+        last = F.floor((F.size(z) - 1) / CHUNK).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.aggregate(F.slice(z, c * CHUNK + 1, CHUNK), start, step))
+        return F.aggregate(
+            chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
+            lambda acc, c: F.struct(
+                (acc["at"] + c["at"]).alias("at"),
+                F.concat(acc["out"], F.array(F.transform(c["out"], lambda x: F.struct((x["s"] + acc["at"]).alias("s"), (x["e"] + acc["at"]).alias("e"), x["hit"].alias("hit"))))).alias("out"),
+            ),
+            lambda acc: F.flatten(acc["out"]),
+        )
+
+    # The matches are bound to a name, so that they are found once.
+    return F.when(hint, F.get(F.transform(F.array(zipped), positions), F.lit(0))).otherwise(none)
 
 
 def _digest(text: Column) -> Column:
@@ -88,10 +106,38 @@ def _index(c: Column) -> Column:
     return F.call_function("locate", c, F.col("alphabet")).cast("double")
 
 
+def _tail(z: Column) -> Column:
+    """Chance of a standard normal value over ``z`` (error below 1e-7)."""
+    x = F.abs(z)
+    t = 1 / (1 + 0.2316419 * x)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.exp(-x * x / 2) * 0.3989422804014327 * poly
+    return F.when(z >= 0, upper).otherwise(1 - upper)
+
+
+def _fisher_half(p: float) -> float:
+    """Sum of the three tests' negative logarithms at which their combined p-value is ``p``."""
+    low, high = 0.0, 100.0
+    for _ in range(100):
+        h = (low + high) / 2
+        low, high = (h, high) if math.exp(-h) * (1 + h + h * h / 2) > p else (low, h)
+    return low
+
+
+def _normal_bound(p: float) -> float:
+    """The value that a standard normal one exceeds with chance ``p``."""
+    low, high = -9.0, 9.0
+    for _ in range(100):
+        z = (low + high) / 2
+        low, high = (z, high) if math.erfc(z / math.sqrt(2)) / 2 > p else (low, z)
+    return low
+
+
 def test_battery(tokens: DataFrame) -> DataFrame:
-    """``tokens`` (row, s, e, hit) with encoding, class, deviations and the rounded p-value ``p10``.
+    """``tokens`` (row, s, e, hit) with encoding, class of length, the three p-values, the combined ``p`` and ``chances``.
 
-    ``p10`` is ``floor(-10 * log10 p)``: the larger, the less natural.
+    ``chances`` holds, for each of ``BOUNDS``, an upper bound of the chance
+    that natural text of the token's length has so great a combined p-value.
     """
     kind, alphabet = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, pattern, letters in reversed(ENCODINGS):
@@ -112,36 +158,49 @@ def test_battery(tokens: DataFrame) -> DataFrame:
         F.aggregate(pairs, zero, lambda a, p: a + p["a"] * p["b"]).alias("products"), F.get("x", F.lit(0)).alias("x0"), F.element_at("x", -1).alias("x9"),
     )
     n, m, above = F.col("n"), F.col("m"), F.col("above")
-    # Chi-squared against equal shares is m / n * (equal + n) - n, ``equal`` counting ordered pairs of equal characters.
-    natural = n * (n - 1) * NATURAL / F.least(m, F.lit(LETTERS))
-    chi = m / n * (F.col("equal") + n) - n
-    mean_chi = m / n * (natural + n) - n
-    sd_chi = m / n * F.sqrt(2 * natural)
-    expected = 2 * above * (n - above) / n
+    # Chi-squared against equal shares is m / n * (2 * pairs + n) - n for so many pairs of equal characters: its upper
+    # tail is that of the pairs, whose mean and variance are known at any length; a gamma law with them, by its cube root.
+    told = told.withColumns({"mean_pairs": n * (n - 1) / (2 * m), "expected": 2 * above * (n - above) / n, "natural": n * (n - 1) / 2 * NATURAL / F.least(m, F.lit(LETTERS))})
+    mean_pairs, expected, natural = F.col("mean_pairs"), F.col("expected"), F.col("natural")
+    told = told.withColumn("shape", mean_pairs / (1 - 1 / m))
+    shape = F.col("shape")
+    chi_z = (F.cbrt(F.greatest((F.col("equal") - 1) / 2, F.lit(0.0)) / mean_pairs) - (1 - 1 / (9 * shape))) * 3 * F.sqrt(shape)
     spread = F.sqrt(F.greatest(expected * (2 * above * (n - above) - n) / (n * (n - 1)), F.lit(1e-9)))
     variance = F.col("squares") - n * F.col("mean") * F.col("mean")
     shared = F.col("products") - F.col("mean") * (2 * n * F.col("mean") - F.col("x0") - F.col("x9")) + (n - 1) * F.col("mean") * F.col("mean")
-    tested = told.withColumns({"chi_z": (chi - mean_chi) / sd_chi, "runs_z": (F.col("changes") - expected) / spread, "serial_z": shared / F.greatest(variance, F.lit(1e-9)) * F.sqrt(n)})
-    z = F.col("chi_z")
-    log_p = F.when(z < -1, -(z * z) / 2 / 2.302585092994046 - F.log10(-z * 2.5066282746310002)).otherwise(0.0)
+    runs_z = F.when((above > 0) & (above < n), (F.col("changes") - expected) / spread).otherwise(9.0)
+    serial_z = (shared / F.greatest(variance, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
+    # A combined p-value over a bound needs a chi-squared one over exp(-half); natural text has so many more equal pairs.
+    limits = {}
+    for k, bound in enumerate(BOUNDS):
+        z = _normal_bound(math.exp(-_fisher_half(bound)))
+        most = mean_pairs * F.pow(F.greatest(1 - 1 / (9 * shape) + z / (3 * F.sqrt(shape)), zero), F.lit(3.0)) + 0.5
+        limits[f"z{k}"] = (natural - most) / F.sqrt(2 * natural)
+    tested = told.withColumns({"chi_z": chi_z, "runs_z": F.abs(runs_z), "serial_z": F.abs(serial_z), **limits})
+    least = lambda p: F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))
+    tested = tested.withColumns({"p_chi": least(_tail(F.col("chi_z"))), "p_runs": least(2 * _tail(F.col("runs_z"))), "p_serial": least(2 * _tail(F.col("serial_z")))})
+    tested = tested.withColumn("half", -F.log(F.col("p_chi") * F.col("p_runs") * F.col("p_serial")))
+    half = F.col("half")
+    combined = F.exp(-half) * (1 + half + half * half / 2)
+    chances = [_tail(F.col(f"z{k}")) for k in range(len(BOUNDS))]
     size = F.lit(0)
     for k, edge in enumerate(LENGTHS):
         size = F.when(n >= edge, k + 1).otherwise(size)
-    chance = (F.abs("runs_z") <= CHANCE) & (F.abs("serial_z") <= CHANCE) & (above > 0) & (above < n)
-    p10 = F.when(chance, F.least(F.floor(-10 * log_p), F.lit(STEPS))).otherwise(0)
-    return tested.select("row", "s", "e", "encoding", size.alias("size"), p10.cast("int").alias("p10"))
+    return tested.select("row", "s", "e", "encoding", size.alias("size"), "p_chi", "p_runs", "p_serial", combined.alias("p"), F.array(*chances).alias("chances"))
 
 
 def discoveries(tested: DataFrame, rate: float = RATE) -> DataFrame:
-    """Rows of ``tested`` that keep the rate of false discoveries in their class."""
-    counts = tested.groupBy("encoding", "size", "p10").agg(F.count("*").alias("k"))
-    down = Window.partitionBy("encoding", "size").orderBy(F.desc("p10")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy("encoding", "size")
-    ranked = counts.withColumns({"least": F.sum("k").over(down), "all": F.sum("k").over(every)})
-    passed = ranked.where(F.pow(F.lit(10.0), -F.col("p10") / 10.0) <= rate * F.col("least") / F.col("all"))
-    bound = passed.groupBy("encoding", "size").agg(F.min("p10").alias("bound"))
+    """Rows of ``tested`` that keep the expected rate of false discoveries in their encoding and class of length.
+
+    Of the bounds that keep the rate a class takes the one that tells most
+    tokens; without one it tells none.
+    """
+    sums = [F.struct(F.lit(b).alias("bound"), F.count_if(F.col("p") >= b).alias("told"), F.sum(F.get("chances", F.lit(k))).alias("false")) for k, b in enumerate(BOUNDS)]
+    per = tested.groupBy("encoding", "size").agg(F.array(*sums).alias("sums"))
+    fit = F.filter("sums", lambda x: (x["told"] > 0) & (x["false"] <= rate * x["told"]))
+    bound = per.select("encoding", "size", F.array_max(F.transform(fit, lambda x: F.struct(x["told"].alias("told"), x["bound"].alias("bound"))))["bound"].alias("bound")).where("bound is not null")
     # At most one row for each encoding and length class.
-    return tested.join(F.broadcast(bound), ["encoding", "size"]).where(F.col("p10") >= F.greatest("bound", F.lit(1)))
+    return tested.join(F.broadcast(bound), ["encoding", "size"]).where(F.col("p") >= F.col("bound"))
 
 
 def secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
@@ -152,7 +211,7 @@ def secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     and empty texts have no spans; repeated rows each get a row, null ids stay
     null, other columns are ignored; an empty table gives an empty result.
     """
-    scanned = materialize(scan(docs), "secret-spans")
+    scanned = materialize(scan(docs.select("doc_id", "text")), "secret-spans")
     numbered = lambda name: F.transform(name, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(name)).alias("k"), x["e"].alias("e")))
     base = scanned.withColumn("base", F.array_sort(F.concat(*map(numbered, KINDS[:3]))))
     fresh = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
@@ -177,22 +236,26 @@ def count_of(kind: str) -> Column:
 def redact(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """``docs`` with each secret's span replaced by a mark, overlapping ones by one; n_chars follows.
 
-    All columns and rows stay.  Rows are told apart by their text, so rows with
-    a null or repeated doc_id each lose their own secrets.
+    All columns and rows stay, whatever the columns are called.  Rows are told
+    apart by their text, so rows with a null or repeated doc_id each lose their
+    own secrets.  Null and empty texts stay as they are.
     """
-    spans = secrets(docs, rate).where(F.size("spans") > 0).select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans"))
-    spans = spans.dropDuplicates(["_digest"])
-    joined = docs.join(spans, _digest(F.col("text")) == F.col("_digest"), "left")
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["s"] >= acc["at"]
-        more = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), more.alias("out"))
-
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(clean))
+    own, found = fresh_names(docs, "digest", "found")
+    cut = F.aggregate(
+        "spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s: int, e: int>>").alias("out")),
+        lambda acc, x: F.struct(
+            F.greatest(acc["at"], x["e"]).alias("at"),
+            F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+            .otherwise(F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(F.element_at(acc["out"], -1)["s"].alias("s"), F.greatest(acc["at"], x["e"]).alias("e"))))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    spans = secrets(docs, rate).where(F.size("spans") > 0).select(F.col("digest").alias(own), cut.alias(found)).dropDuplicates([own])
+    joined = docs.join(spans, _digest(F.col("text")) == F.col(own), "left")
+    text, n = F.col("text"), F.size(found)
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(found, i - 1)["e"])
+    pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(text, begin(i) + 1, F.when(i < n, F.get(found, i)["s"]).otherwise(F.length(text)) - begin(i)))
+    out = joined.withColumn("text", F.when(F.col(found).isNull(), text).otherwise(F.array_join(pieces, MASK)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
