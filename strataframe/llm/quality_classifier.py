@@ -160,10 +160,17 @@ def fold(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on up to ``sample`` labelled documents outside the held-out fold, the first by a hash of their id."""
+    """Fit on up to ``sample`` labelled documents outside the held-out fold, the first by a hash of their id.
+
+    Of conflicting labels of a document the greatest counts, of rows that
+    repeat an id one.
+    """
     known = labels.where("doc_id is not null and quality is not null").where(fold(F.col("doc_id")) != 0)
-    chosen = known.groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("quality").alias("label")).orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", F.col("label").cast("long"))
+    chosen = known.groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("quality").cast("long").alias("label")).orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
+    own = docs.select(F.col("doc_id").cast("long").alias("d_id"), "text")
+    found = own.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id"))
+    # Of rows that repeat an id the one of the least hash counts, so as many texts at most are gathered as are asked for.
+    texts = found.groupBy("l_id").agg(F.min_by(F.struct("text", "label"), F.struct(F.xxhash64("text"), F.col("text"))).alias("one")).select("one.text", "one.label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,9 +219,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those whose score is below the bound; rows with a null doc_id stay.
+    """``docs`` without those whose score is below the bound.
 
-    Rows are judged as they pass by: nothing is joined or shuffled.
+    Each row is judged by its own text as it passes by: nothing is joined or
+    shuffled, and a null or repeated doc_id makes no difference.
     """
     ship_package(docs.sparkSession)
     bounded_batches(docs.sparkSession)
@@ -222,9 +230,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.array([k is None for k in batch.column("doc_id").to_pylist()], bool)
+            keep = np.zeros(batch.num_rows, bool)
             for at, to, texts in slices(batch.column("text")):
-                keep[at:to] |= text_scores(texts, weights, trans)[0] >= ACCEPT
+                keep[at:to] = text_scores(texts, weights, trans)[0] >= ACCEPT
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataframe.llm._spark import fresh_names
+
 #: The table is broadcast, so its size is bounded: at most 16 MB.
 MAX_TABLE = 1 << 20
 
@@ -59,10 +61,11 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", shards: int = 64, size:
     """``docs`` with ``slot`` and ``shard_id`` (0-based); no shuffle.
 
     Rows with equal keys meet in one shard; a null key is placed like the empty
-    text.  Columns of those two names in the input are replaced.  An empty
-    table gives an empty result.
+    text.  Columns of those two names in the input are replaced, all others
+    stay.  An empty table gives an empty result.
     """
     table = lookup_table([f"shard-{k}" for k in range(shards)], size, weights)
-    slots = docs.sparkSession.createDataFrame(pd.DataFrame({"_slot": np.arange(size, dtype=np.int32), "shard_id": table}))
-    placed = docs.drop("slot", "shard_id").withColumn("slot", slot_of(docs[key], size))
-    return placed.join(F.broadcast(slots), placed["slot"] == slots["_slot"]).drop("_slot")
+    (at,) = fresh_names(docs, "at")
+    slots = docs.sparkSession.createDataFrame(pd.DataFrame({at: np.arange(size, dtype=np.int32), "shard_id": table}))
+    placed = docs.withColumn("slot", slot_of(docs[key], size)).drop("shard_id")
+    return placed.join(F.broadcast(slots), placed["slot"] == slots[at]).drop(at)
