@@ -57,6 +57,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("least"))
+    least = materialize(least, "least-neighbours")  # a join of two tables: a hub's side can be split
     joined = near.join(least, near["u"] == least["node"])
     if large:
         moved = joined.where(F.col("v") > F.col("node")).select(F.col("v").alias("u"), F.col("least").alias("v"))

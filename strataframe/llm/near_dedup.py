@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm._spark import bounded_batches, materialize, ship_package
+from strataframe.llm._spark import bounded_batches, fresh_names, materialize, ship_package
 from strataframe.llm._text import Texts, mix, slices
 from strataframe.llm.components import components
 from strataframe.llm.superminhash import band_keys, signatures
@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     and is kept; repeated rows belong together.  Other columns are ignored; an
     empty table gives an empty result.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(set_signatures(docs, width), "signatures")
     real = signed.where("doc_id is not null and n_shingles > 0")
     stands = materialize(real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("doc")), "classes")
@@ -242,5 +243,6 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Rows that repeat a doc_id are one document and stay together; rows with a
     null doc_id stay.
     """
-    copies = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
+    (copy,) = fresh_names(docs, "copy")
+    copies = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(copies, docs["doc_id"].cast("long") == copies[copy], "left_anti")
