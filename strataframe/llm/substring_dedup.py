@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm._spark import bounded_batches, materialize, ship_package
+from strataframe.llm._spark import bounded_batches, fresh_names, materialize, ship_package
 from strataframe.llm._text import Texts, mix, slices, string_buffers
 from strataframe.llm.suffix_array import permuted_prefixes, suffix_array
 
@@ -140,7 +140,7 @@ def _shard_repeats(pieces: DataFrame, width: int) -> DataFrame:
         data = np.frombuffer(_GAP.join(r[3] for r in rows), np.uint8)
         size = np.array([len(r[3]) for r in rows])
         begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-        phi, prefix = permuted_prefixes(data, suffix_array(data, width), 4 * width)
+        phi, prefix = permuted_prefixes(data, suffix_array(data), 4 * width)
         again = prefix >= width
         again[phi[again]] = True
         piece = np.searchsorted(begin, np.arange(len(data)), "right") - 1
@@ -309,13 +309,14 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int =
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with the removed bytes cut out of ``text``; bytes that no longer make a character are dropped."""
-    found = repeats(docs, width).dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("removed").alias("_removed"))
-    joined = docs.withColumn("_own", _key(docs["text"])).join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
+    own, key, cut = fresh_names(docs, "own", "key", "cut")
+    found = repeats(docs.select("doc_id", "text"), width).dropDuplicates(["key"]).select(F.col("key").alias(key), F.col("removed").alias(cut))
+    joined = docs.withColumn(own, _key(docs["text"])).join(found, F.col(own) == F.col(key))  # equal texts lose the same bytes
     raw = F.col("text").cast("binary")
-    left = F.concat(F.array(F.lit(0).cast("long")), F.transform("_removed", lambda s: s["past"]))
-    right = F.concat(F.transform("_removed", lambda s: s["start"]), F.array(F.octet_length("text").cast("long")))
+    left = F.concat(F.array(F.lit(0).cast("long")), F.transform(cut, lambda s: s["past"]))
+    right = F.concat(F.transform(cut, lambda s: s["start"]), F.array(F.octet_length("text").cast("long")))
     kept = F.transform(F.arrays_zip(left.alias("a"), right.alias("b")), lambda p: F.hex(F.substring(raw, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))))
-    text = F.when(F.size("_removed") == 0, F.col("text")).otherwise(F.decode(F.unhex(F.array_join(kept, "")), "UTF-8"))
+    text = F.when(F.size(cut) == 0, F.col("text")).otherwise(F.decode(F.unhex(F.array_join(kept, "")), "UTF-8"))
     return joined.withColumn("text", text).select(*docs.columns)
 
 

@@ -1,10 +1,11 @@
-"""Suffix arrays by induced sorting, in array passes, and permuted common prefixes.
+"""Suffix arrays by induced sorting and permuted common prefixes.
 
 Suffixes are classified as larger (L) or smaller (S) than their successor; the
 leftmost S suffixes (LMS) are sorted by inducing their substrings, naming them
-and sorting the string of names, and all others are induced from them.  The
-scans of textbook induced sorting go bucket by bucket here, each bucket in
-waves, so every step handles whole arrays.
+and sorting the string of names in the same way, and all others are induced
+from them.  On bytes the two scans of induced sorting go bucket by bucket, each
+bucket in waves, so every step handles whole arrays; on strings of names, whose
+alphabets are large, they go element by element.
 """
 
 from __future__ import annotations
@@ -75,52 +76,70 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return sa
 
 
-def _sort_names(names: np.ndarray, step: int, depth: int) -> np.ndarray:
-    """Ranks of the suffixes of a string of names, by pairs of names ``step`` apart."""
-    top = int(names.max())
-    if top == len(names) - 1 or step > depth:
-        return names
-    key = names * np.int64(top + 2)
-    key[:-step] += names[step:] + 1
-    _, ranks = np.unique(key, return_inverse=True)
-    return _sort_names(ranks, 2 * step, depth)
-
-
-def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Starts of the suffixes of the bytes in order.
-
-    With ``depth``, order is right by at least the first ``depth`` bytes.
-    """
-    n = len(data)
-    text = np.zeros(n + 1, np.uint16)
-    text[:n] = data
-    text[:n] += 1
+def _induce_names(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same for any alphabet, an element at a time."""
+    n, size = len(text), np.bincount(text)
+    end = np.cumsum(size)
+    chars, is_small, sa = text.tolist(), small.tolist(), [-1] * n
+    tail = end.tolist()
+    for i in reversed(lms.tolist()):
+        c = chars[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    head = (end - size).tolist()
+    for i in sa:  # sees what it puts ahead of itself
+        if i > 0 and not is_small[i - 1]:
+            c = chars[i - 1]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = end.tolist()
+    for at in range(n - 1, -1, -1):
+        i = sa[at]
+        if i > 0 and is_small[i - 1]:
+            c = chars[i - 1]
+            tail[c] -= 1
+            sa[tail[c]] = i - 1
+    return np.array(sa, np.int64)
+
+
+def _sort(text: np.ndarray, induce) -> np.ndarray:
+    """Suffix array of a string whose last character is its unique least one."""
+    n = len(text)
     small = _types(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    sa = _induce(text, small, lms)
-    is_lms = np.zeros(n + 1, bool)
+    sa = induce(text, small, lms)
+    is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = sa[is_lms[sa]]
-    number = np.empty(n + 1, np.int64)
+    number = np.empty(n, np.int64)
     number[lms] = np.arange(len(lms))
-    length = np.diff(np.append(lms, n + 1))[number[ordered]]  # up to the next LMS suffix
+    length = np.diff(np.append(lms, n))[number[ordered]]  # up to the next LMS suffix
     same = np.zeros(len(ordered), bool)
     pairs = np.flatnonzero(length[1:] == length[:-1]) + 1
     k = 0
     while len(pairs):  # the next LMS character belongs to the substring
         a, b = ordered[pairs] + k, ordered[pairs - 1] + k
-        pairs = pairs[(text[np.minimum(a, n)] == text[np.minimum(b, n)]) & (a <= n) & (b <= n)]
+        inside = (a < n) & (b < n)
+        pairs, a, b = pairs[inside], a[inside], b[inside]
+        pairs = pairs[text[a] == text[b]]
         k += 1
         whole = length[pairs] < k
         same[pairs[whole]] = True
         pairs = pairs[~whole]
     names = np.cumsum(~same) - 1
-    in_text = np.empty(len(lms), np.int64)
-    in_text[number[ordered]] = names
     if len(names) and names[-1] < len(names) - 1:
-        in_text = _sort_names(in_text, 1, len(lms) if depth is None else depth)
-        ordered = lms[np.argsort(in_text, kind="stable")]
-    return _induce(text, small, ordered)[1:]
+        in_text = np.empty(len(lms), np.int64)
+        in_text[number[ordered]] = names
+        ordered = lms[_sort(in_text, _induce_names)]  # the last name is the sentinel's, the least
+    return induce(text, small, ordered)
+
+
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of the bytes in order."""
+    text = np.zeros(len(data) + 1, np.uint16)
+    text[:-1] = data
+    text[:-1] += 1
+    return _sort(text, _induce)[1:]
 
 
 def permuted_prefixes(data: np.ndarray, sa: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
