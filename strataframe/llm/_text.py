@@ -116,7 +116,7 @@ def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over ``first[i]:first[i+1]``, empty ones 0."""
     if values.dtype.kind == "f":  # differences of long running sums would lose digits
         rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        return np.bincount(rows, values, len(first) - 1)
+        return np.bincount(rows, values, len(first) - 1).astype(values.dtype)  # without any value it counts in integers
     sums = np.zeros(len(values) + 1, values.dtype)
     np.cumsum(values, out=sums[1:])
     return sums[first[1:]] - sums[first[:-1]]

@@ -1,7 +1,9 @@
 """Array kernels against plain Python."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -192,22 +194,34 @@ def test_forward_backward_by_enumeration():
         assert np.allclose(np.log(weight[:, 1] / weight[:, 0]), (ahead + back)[a:b])
 
 
-def test_block_max_retrieval_equals_full_scoring():
+@pytest.mark.parametrize("n", [70, 700])
+def test_block_max_retrieval_equals_full_scoring(n):
     rng = random.Random(7)
     vocabulary = [f"w{k}" for k in range(300)]
-    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(3, 40)))) for k in range(70)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(3, 40)))) for k in range(n)]
     index = decontamination.build_index(items).open()
     texts = [" ".join(rng.choices(vocabulary, k=200)) for _ in range(6)] + ["", items[3][1], " ".join(rng.choices(vocabulary, k=50)) + " " + items[9][1] + " end"]
     (at, to, part), = slices(pa.array(texts))
     starts, ends, first = part.split(decontamination.PUNCTUATION)
     words = part.hashes(starts, ends, lower=True)
     ids = index.find(words)
-    got = {(d, w, i) for d, w, i, _ in zip(*(x.tolist() for x in decontamination.retrieve(index, ids, first)), strict=True)}
-    want, step = set(), (index.window + 1) // 2
-    for d in range(len(texts)):
-        own = ids[first[d] : first[d + 1]]
-        for w in range(max(1, -(-len(own) // step) - 1) if len(own) else 0):
-            terms = sorted({int(x) for x in own[w * step : w * step + 2 * step] if x >= 0})
-            scores = index.impact[terms].astype(float).sum(axis=0)
-            want |= {(d, w, i) for i in np.flatnonzero(scores >= index.least * (1 - 1e-6)).tolist()}
-    assert got == want and any(d == 7 for d, _, _ in got) and any(d == 8 for d, _, _ in got)
+    got = {(d, w, i): s for d, w, i, s in zip(*(x.tolist() for x in decontamination.retrieve(index, ids, first)), strict=True)}
+    # BM25 by the textbook, item by item.
+    bags = [t.split() for _, t in items]
+    mean = sum(map(len, bags)) / n
+    df = Counter(w for b in bags for w in set(b))
+    impact = [{w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(b) / mean)) for w, c in Counter(b).items()} for b in bags]
+    want, step = {}, (index.window + 1) // 2
+    for d, t in enumerate(texts):
+        own = t.split()
+        for w in range(max(1, -(-len(own) // step) - 1) if own else 0):
+            inside = set(own[w * step : w * step + 2 * step])
+            for i, x in enumerate(impact):
+                score = sum(v for k, v in x.items() if k in inside)
+                if score >= 0.5 * sum(x.values()) * (1 - 1e-6):
+                    want[d, w, i] = score
+    number = {int(i): k for k, i in enumerate(index.items)}
+    assert set(got) == {(d, w, number[i]) for d, w, i in want}
+    assert all(abs(got[d, w, number[i]] - s) < 1e-9 for (d, w, i), s in want.items())
+    assert any(d == 7 for d, _, _ in got) and any(d == 8 for d, _, _ in got)
+    assert len(index.levels) == (1 if n <= 256 else 2)
