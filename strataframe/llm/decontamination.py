@@ -36,8 +36,8 @@ OVERLAP = 0.8
 SHINGLE = 5
 #: Words of a window at least; longer items make longer windows.  Windows overlap by half.
 WINDOW = 64
-#: Items of a block, and blocks of a block of blocks.
-BLOCK = 16
+#: Items of a block, and blocks of a block of blocks.  Bears on the work alone.
+BLOCK = 4
 #: Items and bytes of text that one broadcast index holds; more items make more passes, with the same scores.
 INDEX_ITEMS, INDEX_BYTES = 1 << 16, 16 << 20
 SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, at_word bigint"
