@@ -41,6 +41,10 @@ def feet_to_metres(feet: Column) -> Column:
     return (feet.cast("decimal(14,4)") * F.lit("0.3048").cast("decimal(5,4)")).cast("decimal(18,6)")
 
 
+def metres_to_feet(metres: Column) -> Column:
+    return (metres.cast("decimal(18,6)") / F.lit("0.3048").cast("decimal(5,4)")).cast("decimal(24,9)")
+
+
 def json_number(text: Column, path: str) -> Column:
     """A number at a path of a JSON text; anything else there is null."""
     value = F.get_json_object(text, path)

@@ -63,13 +63,31 @@ def threshold_curve(rows: DataFrame, p: str, y: str, thresholds: list[float]) ->
     return one.select("threshold", "accepted", "correct", ratio(F.col("accepted"), F.col("n")).alias("coverage"), ratio(F.col("correct"), F.col("accepted")).alias("accuracy"))
 
 
+def running_counts(per: DataFrame, order: str, sums: list[str], cells: int = 64) -> DataFrame:
+    """``per`` with each of ``sums`` replaced by its running total from the greatest ``order`` down.
+
+    Distinct scores are dealt into ranges of about equal size; totals run
+    within a range, and those of the ranges above, one row each, are added.
+    """
+    edges = per.agg(F.percentile_approx(order, [k / cells for k in range(1, cells)], 1000).alias("e")).first()["e"] or []
+    edges = sorted(set(edges))
+    cell = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: F.col(order) >= e)) if edges else F.lit(0)
+    dealt = per.withColumn("_cell", cell)
+    down = Window.partitionBy("_cell").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = Window.orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(F.col("_cell").alias("_c")).agg(*(F.sum(c).alias(c) for c in sums))
+    totals = totals.select("_c", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_above_{c}") for c in sums))  # one row a range
+    inside = dealt.select("_cell", order, *(F.sum(c).over(down).alias(c) for c in sums))
+    return inside.join(F.broadcast(totals), F.col("_cell") == F.col("_c")).select(order, *((F.col(c) + F.col(f"_above_{c}")).alias(c) for c in sums))
+
+
 def select_threshold(rows: DataFrame, p: str, y: str, least_accuracy: float) -> DataFrame:
     """The score whose acceptance is most rows at the accuracy; ties by accuracy, then score.
 
-    Rows are counted per distinct score first; the running sums go over those.
+    Rows are counted per distinct score first; running sums go over ranges of
+    those in parallel.
     """
-    per = rows.groupBy(F.col(p).alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("k"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = per.select("threshold", F.sum("n").over(down).alias("accepted"), F.sum("k").over(down).alias("correct"))
+    per = rows.groupBy(F.col(p).alias("threshold")).agg(F.count("*").alias("accepted"), F.sum(F.col(y).cast("long")).alias("correct"))
+    sums = running_counts(per, "threshold", ["accepted", "correct"])
     fits = sums.withColumn("accuracy", F.col("correct") / F.col("accepted")).where(F.col("accuracy") >= least_accuracy)
     return fits.orderBy(F.desc("accepted"), F.desc("accuracy"), F.desc("threshold")).limit(1)

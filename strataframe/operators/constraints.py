@@ -81,11 +81,30 @@ def coordinate_checks(rows: DataFrame, raw: str, least: int = 4, most: int = 12)
     return rows.select("*", F.col(raw).rlike(r"[0-9][OolIS]|[OolIS][0-9]").alias("confusable"), ((digits < least) | (digits > most)).alias("digit_count"))
 
 
+#: Circled digits from one on.
+CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
+
+
+def stratum_code(code: Column) -> Column:
+    """The number of a simple stratum code: digits alone or one circled digit; null for anything else."""
+    text = F.trim(code)
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("long")).when(text.rlike(f"^[{CIRCLED}]$"), F.call_function("locate", text, F.lit(CIRCLED)).cast("long"))
+
+
 def code_sequence(rows: DataFrame) -> DataFrame:
-    """C9 per document: over the codes that are numbers, repeats and jumps of neighbours."""
-    order = Window.partitionBy("doc").orderBy("seq")
-    parsed = rows.withColumn("number", F.expr("try_cast(code AS bigint)")).where("number is not null").withColumn("next", F.lead("number").over(order))
-    return parsed.groupBy("doc").agg(F.count("next").alias("evaluated"), F.count_if(F.col("next") == F.col("number")).alias("repeats"), F.count_if((F.col("next") != F.col("number")) & (F.col("next") != F.col("number") + 1)).alias("jumps"))
+    """C9 per document: over the codes that are simple numbers, repeats and jumps of neighbours.
+
+    Every document gets a row; one with fewer than two such codes has nothing
+    evaluated and status ``not_evaluated``.
+    """
+    ahead = Window.partitionBy("doc").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    parsed = rows.withColumn("number", stratum_code(F.col("code"))).withColumn("next", F.first("number", ignorenulls=True).over(ahead))
+    known = F.col("number").isNotNull() & F.col("next").isNotNull()
+    per = parsed.groupBy("doc").agg(
+        F.count_if(known).alias("evaluated"), F.count_if(known & (F.col("next") == F.col("number"))).alias("repeats"),
+        F.count_if(known & (F.col("next") != F.col("number")) & (F.col("next") != F.col("number") + 1)).alias("jumps"),
+    )
+    return per.withColumn("status", status(F.col("evaluated"), F.col("repeats") + F.col("jumps")))
 
 
 def type_checks(rows: DataFrame, text: str, number: str) -> DataFrame:

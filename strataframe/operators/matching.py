@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataframe.operators._workers import ship_package
+
 
 def ratio(top: Column, below: Column) -> Column:
     """Quotient as double, null where nothing is counted."""
@@ -23,8 +25,11 @@ def f1(precision: Column, recall: Column) -> Column:
 def band_pairs(reference: DataFrame, prediction: DataFrame, tolerance: str) -> DataFrame:
     """Pairs of one document whose tops and bottoms both lie within the tolerance (inclusive)."""
     tol = F.lit(Decimal(tolerance))
-    p = prediction.select(F.col("doc").alias("p_doc"), F.col("seq").alias("p_seq"), F.col("top").alias("p_top"), F.col("bottom").alias("p_bottom"))
-    near = (F.col("doc") == F.col("p_doc")) & (F.abs(F.col("top") - F.col("p_top")) <= tol) & (F.abs(F.col("bottom") - F.col("p_bottom")) <= tol)
+    # Depths meet by cells of the tolerance's width, so a document's intervals aren't all held against each other.
+    width = float(tolerance) * 1.01 or 0.01
+    cell = lambda c: F.floor(F.col(c).cast("double") / width)
+    p = prediction.select(F.col("doc").alias("p_doc"), F.col("seq").alias("p_seq"), F.col("top").alias("p_top"), F.col("bottom").alias("p_bottom"), F.explode(F.sequence(cell("top") - 1, cell("top") + 1)).alias("p_cell"))
+    near = (F.col("doc") == F.col("p_doc")) & (cell("top") == F.col("p_cell")) & (F.abs(F.col("top") - F.col("p_top")) <= tol) & (F.abs(F.col("bottom") - F.col("p_bottom")) <= tol)
     return reference.join(p, near).select("doc", F.col("seq").alias("r_seq"), "p_seq", (F.abs(F.col("top") - F.col("p_top"))).alias("top_error"), (F.abs(F.col("bottom") - F.col("p_bottom"))).alias("bottom_error"))
 
 
@@ -63,6 +68,7 @@ def match_intervals(reference: DataFrame, prediction: DataFrame, tolerance: str)
     docs = pairs.groupBy("doc").agg(ordered.alias("pairs"))
     ties = F.exists(F.zip_with(F.slice("pairs", 1, F.size("pairs") - 1), F.slice("pairs", 2, F.size("pairs") - 1), lambda a, b: (a["r_seq"] >= b["r_seq"]) | (a["p_seq"] >= b["p_seq"])), lambda x: x)
     docs = docs.withColumn("ties", (F.size("pairs") > 1) & ties)
+    ship_package(docs.sparkSession)
     plain = docs.where("not ties").select("doc", F.inline("pairs"))
     columns = plain.columns
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def hash_number(value: Column, salt: str = "") -> Column:
@@ -15,11 +16,60 @@ def fold(value: Column, folds: int, salt: str = "") -> Column:
     return F.pmod(hash_number(value, salt), F.lit(folds)).cast("int")
 
 
+#: Groups at most that are placed one by one; each holds more than this part of the rows.
+LARGE_GROUPS = 10_000
+
+
+def balanced_split(rows: DataFrame, group: str, shares: dict[str, float], salt: str = "") -> DataFrame:
+    """``rows`` with ``split``: whole groups, the largest first, each to the split that is most under its target.
+
+    Groups with more than a ``LARGE_GROUPS``-th of the rows, a bounded number,
+    are placed one by one in order of size, then of their salted hash; the
+    split of least count less target takes one, of equal ones that of least
+    count, then the first named.  The many small groups that are left are
+    dealt by their hash so that the targets are met.  Shares must add up to 1.
+    A null group is refused.
+    """
+    if not shares or min(shares.values()) < 0 or abs(sum(shares.values()) - 1) > 1e-9:
+        raise ValueError("shares must be non-negative and sum to 1")
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_n"))
+    total, missing = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count_if(F.col("_group").isNull())).first()
+    if missing:
+        raise ValueError(f"rows without the group {group}")
+    large = sizes.where(F.col("_n") * LARGE_GROUPS > total).withColumn("_h", hash_number(F.col("_group"), salt))
+    counts, placed = dict.fromkeys(shares, 0), []
+    for r in large.orderBy(F.desc("_n"), "_h", "_group").collect():
+        to = min(shares, key=lambda s: (counts[s] - total * shares[s], counts[s]))
+        counts[to] += r["_n"]
+        placed.append((r["_group"], to))
+    # What each split lacks, as parts of the unit interval for the small groups.
+    lack = {s: max(total * shares[s] - counts[s], 0.0) for s in shares}
+    left, edge, dealt = sum(lack.values()) or 1.0, 0.0, F.lit(max(lack, key=lack.get))
+    u = hash_number(F.col(group), salt) / F.lit(4294967296.0)
+    steps = []
+    for s in shares:
+        edge += lack[s] / left
+        steps.append((s, edge))
+    for s, e in reversed(steps[:-1]):
+        dealt = F.when(u < e, s).otherwise(dealt)
+    kind = rows.schema[group].dataType
+    if not placed:
+        return rows.withColumn("split", dealt)
+    known = F.broadcast(rows.sparkSession.createDataFrame(placed, StructType([StructField("_group", kind), StructField("_to", StringType())])))
+    return rows.join(known, F.col(group) == F.col("_group"), "left").withColumn("split", F.coalesce("_to", dealt)).drop("_group", "_to")
+
+
+def split_manifest(split: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Per split: rows and groups, beside the hash of all records."""
+    return split.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct(group).alias("groups")).join(F.broadcast(manifest_hash(split, columns)))
+
+
 def group_split(rows: DataFrame, group: str, shares: dict[str, float], salt: str = "") -> DataFrame:
     """``rows`` with ``split``: whole groups, dealt along the unit interval by their hash.
 
     The place of a group depends on nothing but its key, so splits stay as
     they are when rows are added and no order over all groups is needed.
+    :func:`balanced_split` meets the shares more closely.
     """
     u = hash_number(F.col(group), salt) / F.lit(4294967296.0)
     edge, out = 0.0, F.lit(list(shares)[-1])
@@ -46,7 +96,23 @@ def exclude(rows: DataFrame, earlier: DataFrame, key: str) -> DataFrame:
     return rows.join(earlier.select(F.col(key)).distinct(), key, "left_anti")
 
 
+def canonical_json(columns: list[str]) -> Column:
+    """One JSON text of the named columns: keys in order, no spaces, nulls told."""
+    return F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"})
+
+
 def record_hash(columns: list[str]) -> Column:
-    """SHA-256 of the named columns as ``name=value`` in order of name; null is the word null."""
-    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(columns)]
-    return F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)
+    """SHA-256 of the canonical JSON of the named columns."""
+    return F.sha2(canonical_json(columns).cast("binary"), 256)
+
+
+def manifest_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: a hash of all records, whatever their order, and their number.
+
+    Records are hashed where they lie; sorted hashes are hashed in 4,096
+    blocks by their first digits, and the blocks' hashes in order, so no task
+    holds all records.
+    """
+    hashed = rows.select(record_hash(columns).alias("h"))
+    blocks = hashed.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n").cast("binary"), 256).alias("d"), F.count("*").alias("n"))
+    return blocks.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "d"))), "\n").cast("binary"), 256).alias("manifest_sha256"), F.sum("n").alias("records"))

@@ -45,7 +45,10 @@ def match_prf1(spark: SparkSession, d: str) -> DataFrame:
     return m.select("tp", "refs", "preds", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BASE_SQL}, {BAND.format(t="0.20")}, per AS (SELECT doc, list(struct_pack(r := r_seq, p := p_seq) ORDER BY r_seq, p_seq) AS c FROM pairs GROUP BY doc),
+chain AS (SELECT doc, c, 1 AS i, [1] AS best FROM per UNION ALL SELECT doc, c, i + 1, list_append(best, 1 + coalesce(list_max(list_transform(range(1, i + 1), lambda j: CASE WHEN c[j].r < c[i + 1].r AND c[j].p < c[i + 1].p THEN best[j] ELSE 0 END)), 0)) FROM chain WHERE i < len(c)),
+n AS (SELECT CAST((SELECT sum(list_max(best)) FROM chain WHERE i = len(c)) AS BIGINT) AS tp, (SELECT count(*) FROM ref) AS refs, (SELECT count(*) FROM pa) AS preds)
+SELECT tp, refs, preds, round(tp / preds, 9) AS "precision", round(tp / refs, 9) AS recall, round(2.0 * (tp / preds) * (tp / refs) / ((tp / preds) + (tp / refs)), 9) AS f1 FROM n""")
 def match_wide_tolerance(spark: SparkSession, d: str) -> DataFrame:
     ref, a, _ = channels(spark, d)
     m = matching.interval_metrics(ref, a, matching.match_intervals(ref, a, "0.20"))
@@ -147,11 +150,15 @@ def c8_coordinates(spark: SparkSession, d: str) -> DataFrame:
     return constraints.coordinate_checks(table(spark, d, "customer").select(k.alias("id"), raw.alias("raw")), "raw")
 
 
-@query(f"""{WITH}, c AS (SELECT doc, seq, CASE WHEN pk % 10 = 0 THEN NULL ELSE ln END AS n FROM ref), p AS (SELECT doc, n, lead(n) OVER (PARTITION BY doc ORDER BY seq) AS nx FROM c WHERE n IS NOT NULL)
-SELECT doc, count(nx) AS evaluated, count(*) FILTER (WHERE nx = n) AS repeats, count(*) FILTER (WHERE nx <> n AND nx <> n + 1) AS jumps FROM p GROUP BY doc""")
+@query(f"""{WITH}, c AS (SELECT doc, seq, CASE WHEN pk % 10 = 0 THEN NULL ELSE ln END AS n FROM ref), p AS (SELECT doc, n, lead(n) OVER (PARTITION BY doc ORDER BY seq) AS nx FROM c WHERE n IS NOT NULL),
+k AS (SELECT doc, count(nx) AS evaluated, count(*) FILTER (WHERE nx = n) AS repeats, count(*) FILTER (WHERE nx <> n AND nx <> n + 1) AS jumps FROM p GROUP BY doc)
+SELECT doc, coalesce(evaluated, 0) AS evaluated, coalesce(repeats, 0) AS repeats, coalesce(jumps, 0) AS jumps, CASE WHEN coalesce(evaluated, 0) = 0 THEN 'not_evaluated' WHEN repeats + jumps = 0 THEN 'passed' ELSE 'violated' END AS status FROM (SELECT DISTINCT doc FROM ref) LEFT JOIN k USING (doc)""")
 def c9_code_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """Codes are digits or circled digits; a tenth of them are neither (``-5`` among them)."""
     ref = reference_intervals(spark, d)
-    return constraints.code_sequence(ref.select("doc", "seq", F.when(F.col("pk") % 10 == 0, "x").otherwise(F.col("ln").cast("string")).alias("code")))
+    ln = F.col("ln").cast("int")
+    code = F.when(F.col("pk") % 20 == 0, "x").when(F.col("pk") % 10 == 0, "-5").when(F.col("pk") % 3 == 0, F.substring(F.lit(constraints.CIRCLED), ln, F.lit(1))).otherwise(F.concat(F.lit(" "), ln.cast("string")))
+    return constraints.code_sequence(ref.select("doc", "seq", code.alias("code")))
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 8 = 0 THEN CAST(p_size AS VARCHAR) ELSE p_type END AS t, CASE WHEN p_partkey % 6 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS n,
@@ -162,23 +169,25 @@ def c10_field_types(spark: SparkSession, d: str) -> DataFrame:
     return constraints.type_checks(rows, "t", "n")
 
 
-TURNS = "turns AS (SELECT lower(text) AS a, replace(lower(text), 'e', 'c') AS b FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]+$'))"
+#: No letter of the reading is an e, so each e of the turn costs one edit, and one substitution does.
+TURNS = "turns AS (SELECT lower(text) AS a, length(lower(text)) - length(replace(lower(text), 'e', '')) AS edits FROM conversations)"
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn, and a reading of it in which each e is a c."""
     t = F.lower("text")
-    return table(spark, d, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]+$")).select(t.alias("a"), F.replace(t, F.lit("e"), F.lit("c")).alias("b"))
+    return table(spark, d, "conversations").select(t.alias("a"), F.replace(t, F.lit("e"), F.lit("c")).alias("b"))
 
 
 @query(f"WITH {TURNS} " + " UNION ALL ".join((
-    metric_sql("cer", "sum(levenshtein(a, b))", "sum(length(a))", "turns"), metric_sql("numeric_cer", "sum(levenshtein(regexp_replace(a, '[^0-9.+-]', '', 'g'), regexp_replace(b, '[^0-9.+-]', '', 'g')))", "sum(length(regexp_replace(a, '[^0-9.+-]', '', 'g')))", "turns"),
-    metric_sql("similarity", "sum(1 - levenshtein(a, b) / greatest(length(a), length(b)))", "count(*)", "turns"))))
+    metric_sql("cer", "sum(edits)", "sum(length(a))", "turns"), metric_sql("numeric_cer", "sum(0 * edits)", "sum(length(regexp_replace(a, '[^0-9.+-]', '', 'g')))", "turns"),
+    metric_sql("similarity", "sum(CASE WHEN length(a) = 0 THEN 1 ELSE 1 - edits / length(a) END)", "count(*)", "turns"))))
 def text_error_rates(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return told(metrics.evaluate(turns(spark, d), [metrics.character_error_rate("cer", a, b), metrics.character_error_rate("numeric_cer", metrics.numeric_text(a), metrics.numeric_text(b)), metrics.edit_similarity("similarity", a, b)]))
 
 
-@query("""WITH w AS (SELECT list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS a FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]+$')),
+@query("""WITH w AS (SELECT list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS a FROM conversations),
 n AS (SELECT len(list_filter(a, lambda x: contains(x, 'e'))) AS edits, len(a) AS words FROM w)
 SELECT 'wer' AS metric, round(CAST(sum(edits) AS DOUBLE), 6) AS numerator, CAST(sum(words) AS BIGINT) AS denominator, round(CAST(sum(edits) AS DOUBLE) / sum(words), 9) AS value FROM n""")
 def word_error_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -186,24 +195,6 @@ def word_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return told(metrics.evaluate(rows, [metrics.word_error_rate("wer", F.col("a"), F.col("b"))]))
 
 
-def all_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Every turn, with any characters, empty or null; DuckDB's levenshtein counts bytes, so there is no SQL for it."""
-    t = F.lower("text")
-    return table(spark, d, "conversations").select(t.alias("a"), F.replace(t, F.lit("e"), F.lit("c")).alias("b"))
-
-
-@query()
-def text_error_rates_all_turns(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    return told(metrics.evaluate(all_turns(spark, d), [metrics.character_error_rate("cer", a, b), metrics.character_error_rate("numeric_cer", metrics.numeric_text(a), metrics.numeric_text(b)), metrics.edit_similarity("similarity", a, b)]))
-
-
-@query()
-def word_error_rate_all_turns(spark: SparkSession, d: str) -> DataFrame:
-    rows = all_turns(spark, d).withColumn("b", F.replace("a", F.lit("e"), F.lit("~")))
-    return told(metrics.evaluate(rows, [metrics.word_error_rate("wer", F.col("a"), F.col("b"))]))
-
-
 @query("""WITH p AS (SELECT [p_brand, p_type] AS r, CASE WHEN p_partkey % 5 = 0 THEN [] WHEN p_partkey % 3 = 0 THEN [p_brand, 'other'] ELSE [p_brand, p_type] END AS q FROM part),
 s AS (SELECT sum(len(list_intersect(r, q))) AS shared, sum(len(q)) AS predicted, sum(len(r)) AS referred, count(*) FILTER (WHERE r = q) AS exact, count(*) FILTER (WHERE len(q) > 0) AS covered, count(*) AS n FROM p)
 SELECT CAST(shared AS BIGINT) AS shared, CAST(predicted AS BIGINT) AS predicted, CAST(referred AS BIGINT) AS referred, round(shared / predicted, 9) AS "precision", round(shared / referred, 9) AS recall,
@@ -216,11 +207,25 @@ def hier_prf1(spark: SparkSession, d: str) -> DataFrame:
     return m.select("shared", "predicted", "referred", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "exact_share", "coverage")))
 
 
-@query(f"""{WITH}, {PAIRED}, e AS (SELECT CASE WHEN pt IS NULL THEN 'missing_value' WHEN rt = pt THEN NULL ELSE 'boundary_error' END AS l FROM paired), c AS (SELECT l, count(*) AS n FROM e WHERE l IS NOT NULL GROUP BY l),
-t(label) AS (VALUES ('hallucination'), ('missing_value'), ('missing_interval'), ('boundary_error'), ('decimal_point_error'), ('OCR_digit_error'), ('OCR_character_error'), ('lithology_error'), ('normalization_error'), ('unknown'))
-SELECT label, coalesce(n, 0) AS n, round(coalesce(n, 0) / CAST((SELECT sum(n) FROM c) AS DOUBLE), 9) AS rate FROM t LEFT JOIN c ON label = l""")
+TAXONOMY_SQL = "VALUES ('OCR_digit_error'), ('OCR_character_error'), ('decimal_point_error'), ('column_misalignment'), ('row_merge'), ('row_split'), ('interval_boundary_error'), ('missing_interval'), ('duplicate_interval'), ('lithology_semantic_error'), ('normalization_error'), ('hallucination'), ('layout_error'), ('constraint_false_positive'), ('constraint_false_negative'), ('re_read_failure')"
+
+
+@query(f"""WITH e AS (SELECT CASE p_partkey % 8 WHEN 0 THEN 'interval_boundary_error' WHEN 1 THEN CASE WHEN lower(p_type) <> p_type THEN 'lithology_semantic_error' END WHEN 2 THEN 'normalization_error'
+  WHEN 3 THEN CASE WHEN p_partkey % 16 = 3 THEN 'decimal_point_error' END WHEN 4 THEN 'OCR_digit_error' WHEN 5 THEN CASE WHEN p_partkey % 16 = 5 THEN 'OCR_character_error' END WHEN 6 THEN 'hallucination' ELSE CASE WHEN p_partkey % 16 = 7 THEN 'missing_interval' ELSE 'interval_boundary_error' END END AS l FROM part),
+c AS (SELECT coalesce(l, 'UNCLASSIFIED') AS l, count(*) AS n FROM e GROUP BY 1), t(label) AS ({TAXONOMY_SQL})
+SELECT coalesce(label, l) AS label, coalesce(n, 0) AS n, round(coalesce(n, 0) / CAST((SELECT sum(n) FROM c) AS DOUBLE), 9) AS rate, label IS NOT NULL AS known FROM t FULL JOIN c ON label = l""")
 def error_taxonomy_distribution(spark: SparkSession, d: str) -> DataFrame:
-    rows = paired(spark, d).select(metrics.error_label(F.lit("top"), F.col("rt").cast("string"), F.col("pt").cast("string")).alias("label"))
+    """Errors of eight kinds of fields, by part; some are equal and some of no sure label."""
+    k, size, text = F.col("p_partkey"), F.col("p_size").cast("string"), F.concat(F.col("p_partkey").cast("string"), F.lit(".25"))
+    none = F.lit(None).cast("string")
+    cases = [
+        ("top_depth_m", size, F.concat(size, F.lit("1"))), ("lithology_raw", F.col("p_type"), F.lower("p_type")), ("lithology_normalized", F.col("p_type"), F.lit("other")),
+        ("final_depth_m", text, F.when(k % 16 == 3, F.replace(text, F.lit("."), F.lit(""))).otherwise(text)), ("final_depth_m", text, F.concat(F.lit("9"), text)),
+        ("project_name", F.col("p_name"), F.when(k % 16 == 5, F.concat("p_name", F.lit("x")))), ("project_name", none, F.col("p_brand")), (None, F.lit("3"), F.when(k % 16 == 7, none).otherwise("2")),
+    ]
+    pick = lambda i: F.coalesce(*(F.when(k % 8 == n, F.lit(c[i]) if i == 0 else c[i]) for n, c in enumerate(cases)), F.lit(None).cast("string"))
+    field = F.when(k % 8 == 7, F.when(k % 16 == 7, "intervals").otherwise("thickness_m")).otherwise(pick(0))
+    rows = table(spark, d, "part").select(metrics.error_label(field, pick(1), pick(2)).alias("label"))
     return metrics.error_distribution(rows).withColumn("rate", F.round("rate", 9))
 
 
@@ -256,12 +261,11 @@ def threshold_curve(spark: SparkSession, d: str) -> DataFrame:
     return c.select("threshold", "accepted", "correct", F.round("coverage", 9).alias("coverage"), F.round("accuracy", 9).alias("accuracy"))
 
 
-@query(f"""WITH {CASES}, q AS (SELECT floor(p * 100) / 100 AS p, y FROM cases), g AS (SELECT p AS threshold, count(*) AS n, sum(y) AS k FROM q GROUP BY 1),
+@query(f"""WITH {CASES}, g AS (SELECT p AS threshold, count(*) AS n, sum(y) AS k FROM cases GROUP BY 1),
 s AS (SELECT threshold, CAST(sum(n) OVER (ORDER BY threshold DESC) AS BIGINT) AS accepted, CAST(sum(k) OVER (ORDER BY threshold DESC) AS BIGINT) AS correct FROM g)
 SELECT threshold, accepted, correct, round(correct / accepted, 9) AS accuracy FROM s WHERE correct / accepted >= 0.4 ORDER BY accepted DESC, correct / accepted DESC, threshold DESC LIMIT 1""")
 def select_threshold(spark: SparkSession, d: str) -> DataFrame:
-    rows = cases(spark, d).withColumn("p", F.floor(F.col("p") * 100) / 100)
-    return calibration.select_threshold(rows, "p", "y", 0.4).withColumn("accuracy", F.round("accuracy", 9))
+    return calibration.select_threshold(cases(spark, d), "p", "y", 0.4).withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query("""WITH c AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value - floor(value) END AS a, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 100) / 100 END AS b, CASE WHEN event_id % 7 = 0 THEN 1.0 END AS c FROM events)
@@ -378,12 +382,18 @@ def nn_distance(spark: SparkSession, d: str) -> DataFrame:
     return spatial.nearest_distances(points(spark, d, "supplier")).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+#: Ordered pairs of places that are sides of the hull: all others lie to the left, those on the line between them.
+HULL = f"""{PTS}, u AS (SELECT DISTINCT x, y FROM p), sides AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM u a JOIN u b ON a.x <> b.x OR a.y <> b.y WHERE NOT EXISTS (SELECT 1 FROM u c
+  WHERE (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND ((c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y)) > 0)))"""
+
+
+@query(f"WITH {HULL} SELECT sum(ax * b_y - bx * ay) / 2 AS area FROM sides")
 def hull_area(spark: SparkSession, d: str) -> DataFrame:
     return spatial.hull_area(spatial.convex_hull(points(spark, d, "supplier")))
 
 
-@query()
+@query(f"""WITH {HULL}, box AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p), g AS (SELECT CAST(j * 20 + i AS BIGINT) AS qid, x0 + (x1 - x0) * i / 19 AS qx, y0 + (y1 - y0) * j / 19 AS qy FROM box, range(20) a(i), range(20) b(j))
+SELECT qid, qx, qy FROM g WHERE NOT EXISTS (SELECT 1 FROM sides WHERE (bx - ax) * (qy - ay) - (b_y - ay) * (qx - ax) < -1e-9)""")
 def grid_in_hull(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d, "supplier")
     return spatial.inside_hull(spatial.grid(p, 20), spatial.convex_hull(p))
@@ -414,11 +424,20 @@ def per_document(spark: SparkSession, d: str) -> DataFrame:
     return paired(spark, d).groupBy("doc").agg(F.count_if(near).alias("matched"), F.count("pt").alias("predicted"), F.count("*").alias("referred"))
 
 
-@query(f"""{WITH}, {PERDOC}, k AS (SELECT doc, matched, predicted, referred, rep, (('0x' || substr(md5(concat_ws(':', doc, rep)), 1, 8))::BIGINT) / 4294967296.0 AS u FROM per, range(100) r(rep)),
-w AS (SELECT rep, sum(matched * w) AS m, sum(predicted * w) AS p, sum(referred * w) AS r FROM (SELECT *, CAST(u > 0.36787944117144233 AS INT) + CAST(u > 0.7357588823428847 AS INT) + CAST(u > 0.9196986029286058 AS INT) + CAST(u > 0.9810118431238462 AS INT) + CAST(u > 0.9963401531726563 AS INT) + CAST(u > 0.9994058151824183 AS INT) + CAST(u > 0.9999167588507119 AS INT) AS w FROM k) GROUP BY rep),
-f AS (SELECT coalesce(2 * m / nullif(CAST(p + r AS DOUBLE), 0), 0) AS f1 FROM w) SELECT count(*) AS repetitions, round(avg(f1), 6) AS mean_f1, round(quantile_cont(f1, 0.025), 6) AS low_f1, round(quantile_cont(f1, 0.975), 6) AS high_f1 FROM f""")
+#: Resampled documents: how often a document is drawn in a repetition.
+REPETITIONS = 200
+WEIGHTS = (
+    f"s0 AS (SELECT *, CAST(doc % 4294967296 AS BIGINT) AS h0 FROM per), s1 AS (SELECT *, xor(h0 >> 16, h0) * 73244475 % 4294967296 AS h1 FROM s0), s2 AS (SELECT *, xor(h1 >> 16, h1) * 73244475 % 4294967296 AS h2 FROM s1),"
+    f"s3 AS (SELECT *, xor(h2 >> 16, h2) AS h3 FROM s2), k0 AS (SELECT s3.*, rep, (h3 + rep * 2654435761) % 4294967296 AS g0 FROM s3, range({REPETITIONS}) r(rep)), k1 AS (SELECT *, xor(g0 >> 16, g0) * 73244475 % 4294967296 AS g1 FROM k0),"
+    f"k2 AS (SELECT *, xor(g1 >> 16, g1) * 73244475 % 4294967296 AS g2 FROM k1), k3 AS (SELECT *, xor(g2 >> 16, g2) AS u FROM k2),"
+    f"drawn AS (SELECT *, {' + '.join(f'CAST(u > {c * 4294967296.0!r}::DOUBLE AS INT)' for c in statistics.COPIES)} AS w FROM k3)"
+)
+
+
+@query(f"""{WITH}, {PERDOC}, {WEIGHTS}, t AS (SELECT rep, sum(matched * w) AS m, sum(predicted * w) AS p, sum(referred * w) AS r FROM drawn GROUP BY rep),
+f AS (SELECT coalesce(2 * m / nullif(CAST(p + r AS DOUBLE), 0), 0) AS f1 FROM t) SELECT count(*) AS repetitions, round(avg(f1), 6) AS mean_f1, round(quantile_cont(f1, 0.025), 6) AS low_f1, round(quantile_cont(f1, 0.975), 6) AS high_f1 FROM f""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    b = statistics.bootstrap_f1(per_document(spark, d), 100)
+    b = statistics.bootstrap_f1(per_document(spark, d), REPETITIONS)
     return b.select("repetitions", *(F.round(c, 6).alias(c) for c in ("mean_f1", "low_f1", "high_f1")))
 
 
@@ -446,9 +465,14 @@ def repeated_summary(spark: SparkSession, d: str) -> DataFrame:
     return r.select("event_type", "n", *(F.round(c, 5).alias(c) for c in ("mean", "deviation", "low", "high")))
 
 
-@query(f"{WITH}, {PAIRED} SELECT count(*) FILTER (WHERE pt > rt) AS up, count(*) FILTER (WHERE pt < rt) AS down, round((count(*) FILTER (WHERE pt > rt) - count(*) FILTER (WHERE pt < rt)) / sqrt(count(*) FILTER (WHERE pt <> rt)), 6) AS z FROM paired")
+@query(f"""{WITH}, {PAIRED}, e AS (SELECT CAST(abs(rt - pt) AS DOUBLE) AS x, CAST(abs(rb - pb) AS DOUBLE) AS y FROM paired WHERE pt IS NOT NULL), s AS (SELECT count(*) AS n, count(*) FILTER (WHERE x > y) AS better, count(*) FILTER (WHERE x < y) AS worse, count(*) FILTER (WHERE x = y) AS ties,
+avg(x - y) AS mean, 1.96 * stddev_samp(x - y) / sqrt(count(*)) AS half, sum(x - y) / nullif(sum(x), 0) AS relative FROM e),
+tail AS (SELECT least(1.0, 2 * sum(exp(lgamma(better + worse + 1) - lgamma(k + 1) - lgamma(better + worse - k + 1) - (better + worse) * ln(2)))) AS p FROM s, LATERAL (SELECT unnest(range(0, least(better, worse) + 1)) AS k))
+SELECT n, better, worse, ties, round(mean, 6) AS mean, round(mean - half, 6) AS low, round(mean + half, 6) AS high, round(relative, 6) AS relative, round(p, 6) AS p_value FROM s, tail""")
 def sign_test(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.sign_test(paired(spark, d).withColumn("change", F.col("pt") - F.col("rt")), "change").withColumn("z", F.round("z", 6))
+    """Is the error of the bottoms smaller than that of the tops?"""
+    rows = paired(spark, d).select(F.abs(F.col("rt") - F.col("pt")).alias("x"), F.abs(F.col("rb") - F.col("pb")).alias("y"))
+    return statistics.paired_improvement(rows, "x", "y").select("n", "better", "worse", "ties", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high", "relative", "p_value")))
 
 
 @query(f"""{WITH}, e AS (SELECT doc, array_agg(struct_pack(t := CAST(top AS DOUBLE), b := CAST(bottom AS DOUBLE)) ORDER BY seq) AS i FROM ref GROUP BY doc)
@@ -496,7 +520,7 @@ def tabular_provenance(spark: SparkSession, d: str) -> DataFrame:
     return records.provenance_rows(records.nest(ref)).groupBy("document_id").agg(F.count("*").alias("envelopes"))
 
 
-@query()
+@query(f"""WITH {PTS} SELECT '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || x || ',' || y || ']}},"properties":{{"id":' || id || '}}}}' AS feature FROM p""")
 def geojson_points(spark: SparkSession, d: str) -> DataFrame:
     return records.geojson(points(spark, d, "supplier"), "id", "x", "y")
 
@@ -512,6 +536,15 @@ def hash_fold(spark: SparkSession, d: str) -> DataFrame:
 SPLIT = f"SELECT o_orderkey, o_custkey, CASE WHEN {HASH.format(salt='v1', c='o_custkey')} / 4294967296.0 < 0.7 THEN 'train' WHEN {HASH.format(salt='v1', c='o_custkey')} / 4294967296.0 < 0.85 THEN 'validation' ELSE 'test' END AS split FROM orders"
 
 
+@query(f"""WITH RECURSIVE g AS (SELECT o_custkey AS k, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {HASH.format(salt='v1', c='o_custkey')}, o_custkey) AS place FROM orders GROUP BY 1), t AS (SELECT sum(n) AS total FROM g),
+deal AS (SELECT CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS split, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c
+UNION ALL SELECT g.place, g.k, s, a + CASE WHEN s = 'train' THEN n ELSE 0 END, b + CASE WHEN s = 'validation' THEN n ELSE 0 END, c + CASE WHEN s = 'test' THEN n ELSE 0 END
+FROM (SELECT d.*, list_sort([(a - total * 0.7, a, 1, 'train'), (b - total * 0.15, b, 2, 'validation'), (c - total * 0.15, c, 3, 'test')])[1][4] AS s FROM deal d, t) d JOIN g ON g.place = d.place + 1)
+SELECT o_orderkey, o_custkey, split FROM orders JOIN deal ON o_custkey = k""")
+def balanced_split(spark: SparkSession, d: str) -> DataFrame:
+    return splits.balanced_split(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", {"train": 0.7, "validation": 0.15, "test": 0.15}, "v1")
+
+
 @query(SPLIT)
 def group_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.group_split(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", {"train": 0.7, "validation": 0.15, "test": 0.15}, "v1")
@@ -533,7 +566,7 @@ def cohort_exclusion(spark: SparkSession, d: str) -> DataFrame:
     return splits.exclude(table(spark, d, "orders").select("o_orderkey", "o_custkey"), earlier, "o_custkey")
 
 
-@query("SELECT p_partkey, sha256(concat_ws('|', 'p_brand=' || p_brand, 'p_partkey=' || p_partkey, 'p_type=' || p_type)) AS record_hash FROM part")
+@query("""SELECT p_partkey, sha256('{"p_brand":"' || p_brand || '","p_partkey":' || p_partkey || ',"p_type":"' || p_type || '"}') AS record_hash FROM part""")
 def record_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", splits.record_hash(["p_type", "p_partkey", "p_brand"]).alias("record_hash"))
 

@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 from strataframe.functions import text as T
 from strataframe.operators import layout, matching, readiness, sequences, statistics
 from strataframe.plans.catalog import CASES, HASH, PAIRED, PERDOC, PTS, WITH, cases, channels, paired, per_document, query
-from strataframe.plans.fixtures import points, reference_intervals, table
+from strataframe.plans.fixtures import BASE_SQL, points, reference_intervals, table
 from strataframe.streaming import review
 
 
-@query()
+#: Best value of a path to each node in turn, over all nodes before it.
+DECODE = """nodes AS (SELECT doc, list(struct_pack(page := page, y := y, t := t, b := b, s := s) ORDER BY page, y, t, b, s) AS c FROM (
+  SELECT doc, ln % 3 AS page, seq / 10 AS y, CAST(top AS DOUBLE) AS t, CAST(bottom AS DOUBLE) AS b, 1 + (pk % 100) / 100 AS s FROM ref UNION ALL SELECT doc, ln % 3, seq / 10, CAST(top AS DOUBLE), CAST(bottom AS DOUBLE), 1 + (pk % 100) / 100 FROM pa) GROUP BY doc),
+dp AS (SELECT doc, c, 1 AS i, [c[1].s - 0.0005 * c[1].t] AS best FROM nodes UNION ALL SELECT doc, c, i + 1, list_append(best, greatest(c[i + 1].s - 0.0005 * c[i + 1].t, coalesce(list_max(list_transform(range(1, i + 1), lambda j:
+  CASE WHEN (c[i + 1].page > c[j].page OR (c[i + 1].page = c[j].page AND c[i + 1].y > c[j].y)) AND c[i + 1].t >= c[j].t AND c[j].b - c[i + 1].t <= 1.0 THEN best[j] + c[i + 1].s +
+  CASE WHEN abs(c[j].b - c[i + 1].t) <= 0.05 THEN 5.0 WHEN abs(c[j].b - c[i + 1].t) <= 1.0 THEN 2.0 - abs(c[j].b - c[i + 1].t) ELSE -least(6.0, ln(1 + abs(c[j].b - c[i + 1].t))) END END)), -1e18))) FROM dp WHERE i < len(c))"""
+
+
+@query(f"WITH RECURSIVE {BASE_SQL}, {DECODE} SELECT doc, round(list_max(best), 6) AS score FROM dp WHERE i = len(c)")
 def sequence_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Objective of the best path through each document's candidates, taken along the path that was found."""
     ref, a, _ = channels(spark, d)
     nodes = ref.select("doc", "seq", "ln", "pk", "top", "bottom").unionByName(a.select("doc", "seq", "ln", "pk", "top", "bottom"))
     c = nodes.select("doc", (F.col("ln") % 3).alias("page"), (F.col("seq") / 10).alias("y"), "top", "bottom", (1 + F.col("pk") % 100 / 100).alias("node_score"))
-    return sequences.select_sequence(c).groupBy("doc").agg(F.count("*").alias("length"), F.round(F.sum("node_score"), 6).alias("score"))
+    return sequences.select_sequence(c).groupBy("doc").agg(F.round(F.max("path_score"), 6).alias("score"))
 
 
 @query(f"""{WITH}, s AS (SELECT doc, seq, CAST(top AS DOUBLE) AS t, CAST(bottom AS DOUBLE) AS b, lead(top) OVER w - bottom AS gap, lag(seq) OVER w IS NULL AS f, top FROM pa WINDOW w AS (PARTITION BY doc ORDER BY seq))
@@ -27,14 +36,22 @@ def sequence_completeness(spark: SparkSession, d: str) -> DataFrame:
     return sequences.complete(a).withColumn("share", F.round("share", 9))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BASE_SQL}, own AS (SELECT doc, list(struct_pack(t := CAST(top AS DOUBLE), b := CAST(bottom AS DOUBLE)) ORDER BY seq) AS o FROM pa GROUP BY doc),
+new AS (SELECT doc, list(struct_pack(t := CAST(top AS DOUBLE), b := CAST(bottom AS DOUBLE)) ORDER BY (pk % 100) / 100 DESC, top, bottom) AS c FROM pb WHERE (pk % 100) / 100 >= 0.5 GROUP BY doc),
+met AS (SELECT coalesce(own.doc, new.doc) AS doc, coalesce(o, []) AS o, coalesce(c, []) AS c FROM own FULL JOIN new ON own.doc = new.doc),
+fold AS (SELECT doc, CASE WHEN list_bool_or(list_transform(range(1, len(o)), lambda i: o[i + 1].t < o[i].t)) THEN [] ELSE c END AS c, o AS chosen, 0 AS i FROM met
+UNION ALL SELECT doc, c, CASE WHEN len(list_filter(chosen, lambda x: x.t < c[i + 1].b AND c[i + 1].t < x.b)) = 0 THEN list_append(chosen, c[i + 1]) ELSE chosen END, i + 1 FROM fold WHERE i < len(c))
+SELECT doc, CAST(len(chosen) AS BIGINT) AS n, round(list_sum(list_transform(chosen, lambda x: x.b - x.t)), 4) AS depth FROM fold WHERE i = len(c)""")
 def risk_policy_additions(spark: SparkSession, d: str) -> DataFrame:
     _, a, b = channels(spark, d)
     c = b.select("doc", "top", "bottom", (F.col("pk") % 100 / 100).alias("score"))
     return sequences.add_without_overlap(a, c, 0.5).groupBy("doc").agg(F.count("*").alias("n"), F.round(F.sum(F.col("bottom") - F.col("top")), 4).alias("depth"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BASE_SQL}, r AS (SELECT doc, CAST(top AS DOUBLE) AS t, CAST(bottom AS DOUBLE) AS b, row_number() OVER (PARTITION BY doc ORDER BY seq) AS i FROM pa),
+fold AS (SELECT doc, CAST(0 AS BIGINT) AS i, CAST(-1e300 AS DOUBLE) AS e, CAST(0 AS BIGINT) AS kept FROM (SELECT DISTINCT doc FROM pa) UNION ALL
+SELECT f.doc, r.i, CASE WHEN t >= 0 AND b > t AND t >= e - 0.05 THEN b ELSE e END, kept + CASE WHEN t >= 0 AND b > t AND t >= e - 0.05 THEN 1 ELSE 0 END FROM fold f JOIN r ON r.doc = f.doc AND r.i = f.i + 1)
+SELECT doc, max(kept) AS kept FROM fold GROUP BY doc""")
 def monotone_filter(spark: SparkSession, d: str) -> DataFrame:
     _, a, _ = channels(spark, d)
     return sequences.monotone_subset(a).select("doc", F.size("kept").cast("long").alias("kept"))

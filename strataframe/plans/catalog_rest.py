@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import text as T
 from strataframe.operators import metrics, readiness, spatial, splits, statistics
-from strataframe.plans.catalog import CASES, HASH, IDW, PERDOC, PTS, QP, WITH, cases, channels, paired, per_document, query
+from strataframe.plans.catalog import CASES, HASH, IDW, PERDOC, PTS, QP, REPETITIONS, WEIGHTS, WITH, cases, channels, paired, per_document, query
 from strataframe.plans.fixtures import points, queries_points, reference_intervals, table
 
 
@@ -67,13 +67,15 @@ def ablation_matrix(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("variant").agg(F.count("*").alias("n"), F.round(F.avg((F.col("p") - F.col("y")) ** 2), 9).alias("brier"), F.count_if(ok).alias("accepted"), F.count_if(ok & (F.col("y") == 0)).alias("wrong"))
 
 
-@query(f"""{WITH}, {PERDOC}, x AS (SELECT doc, matched - CASE WHEN doc % 2 = 0 THEN 1 ELSE 0 END AS delta, rep, (('0x' || substr(md5(concat_ws(':', doc, rep)), 1, 8))::BIGINT) % 3 AS w FROM per, range(50) r(rep)), s AS (SELECT rep, sum(delta * w) / CAST(sum(w) AS DOUBLE) AS m FROM x GROUP BY rep)
-SELECT count(*) AS repetitions, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive FROM s""")
+@query(f"""{WITH}, {PERDOC}, {WEIGHTS}, t AS (SELECT rep, sum(matched * w) AS m, sum((matched - doc % 2) * w) AS o, sum(predicted * w) AS p, sum(referred * w) AS r FROM drawn GROUP BY rep),
+f AS (SELECT coalesce(2 * m / nullif(CAST(p + r AS DOUBLE), 0), 0) - coalesce(2 * o / nullif(CAST(p + r AS DOUBLE), 0), 0) AS v FROM t)
+SELECT count(*) AS repetitions, round(avg(v), 6) AS mean_delta, round(quantile_cont(v, 0.025), 6) AS low_delta, round(quantile_cont(v, 0.975), 6) AS high_delta, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive FROM f""")
 def bootstrap_delta(spark: SparkSession, d: str) -> DataFrame:
-    x = per_document(spark, d).select("doc", (F.col("matched") - F.when(F.col("doc") % 2 == 0, 1).otherwise(0)).alias("delta")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(49))))
-    w = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc").cast("string"), F.col("rep").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % 3
-    s = x.withColumn("w", w).groupBy("rep").agg((F.sum(F.col("delta") * F.col("w")) / F.sum("w")).alias("m"))
-    return s.agg(F.count("*").alias("repetitions"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"), F.round(F.avg((F.col("m") > 0).cast("double")), 6).alias("positive"))
+    """F1 of the readings against F1 of readings with a match less in every other document, drawn together."""
+    x = per_document(spark, d).withColumn("other", F.col("matched") - F.col("doc") % 2)
+    f1 = lambda c: lambda: statistics.prf(F.col(c), F.col("predicted"), F.col("referred"))[2]
+    b = statistics.bootstrap_delta(x, f1("matched"), f1("other"), ["matched", "other", "predicted", "referred"], REPETITIONS)
+    return b.select("repetitions", *(F.round(c, 6).alias(c) for c in ("mean_delta", "low_delta", "high_delta", "positive")))
 
 
 @query("SELECT o_custkey, count(*) AS n, round(pow(0.99, count(*)), 9) AS p_value FROM orders GROUP BY 1")

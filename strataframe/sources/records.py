@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,13 @@ def envelope(value: Column, page: Column | None = None, method: str = "unknown",
     )
 
 
-def nest(intervals: DataFrame) -> DataFrame:
-    """Records of documents from their interval rows (doc, seq, top, bottom, lithology)."""
-    one = F.struct("seq", envelope(F.col("top")).alias("top_depth_m"), envelope(F.col("bottom")).alias("bottom_depth_m"), envelope(F.col("lithology")).alias("lithology"))
+def nest(intervals: DataFrame, change: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Records of documents from their interval rows (doc, seq, top, bottom, lithology).
+
+    ``change`` may name a column and what becomes of its envelope.
+    """
+    made = {c: (change or {}).get(c, lambda e: e)(envelope(F.col(c))) for c in ("top", "bottom", "lithology")}
+    one = F.struct("seq", made["top"].alias("top_depth_m"), made["bottom"].alias("bottom_depth_m"), made["lithology"].alias("lithology"))
     per = intervals.groupBy("doc").agg(F.array_sort(F.collect_list(one)).alias("i"), F.max("bottom").alias("final"))
     return per.select(F.col("doc").cast("string").alias("document_id"), envelope(F.col("final")).alias("final_depth_m"), F.transform("i", lambda x: x.dropFields("seq")).alias("intervals"))
 

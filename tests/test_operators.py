@@ -95,6 +95,136 @@ def test_splits_keep_groups_together(spark):
     assert splits.leaks(out, "g").count() == 0 and {r["split"] for r in out.select("split").distinct().collect()} == {"a", "b"}
 
 
+def test_balanced_split_meets_its_shares(spark):
+    rows = spark.range(1000).withColumn("g", F.when(F.col("id") < 400, 0).when(F.col("id") < 600, 1).otherwise(F.col("id")))
+    out = splits.balanced_split(rows, "g", {"a": 0.5, "b": 0.3, "c": 0.2}, "s")
+    assert splits.leaks(out, "g").count() == 0
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"a": 500, "b": 300, "c": 200}
+    large, splits.LARGE_GROUPS = splits.LARGE_GROUPS, 20
+    try:  # most groups are dealt by their hash
+        dealt = {r["split"]: r["count"] for r in splits.balanced_split(rows, "g", {"a": 0.5, "b": 0.3, "c": 0.2}, "s").groupBy("split").count().collect()}
+    finally:
+        splits.LARGE_GROUPS = large
+    assert all(abs(dealt[k] - n) < 60 for k, n in {"a": 500, "b": 300, "c": 200}.items())
+    with pytest.raises(ValueError):
+        splits.balanced_split(rows, "g", {"a": 0.5})
+    with pytest.raises(ValueError):
+        splits.balanced_split(rows.withColumn("g", F.lit(None).cast("long")), "g", {"a": 1.0})
+
+
+def test_manifest_hash_is_of_the_records_alone(spark):
+    rows = spark.range(500).withColumn("v", F.col("id") % 7)
+    one, other = splits.manifest_hash(rows, ["id", "v"]).first(), splits.manifest_hash(rows.orderBy(F.desc("id")).repartition(7), ["id", "v"]).first()
+    assert one == other and one["records"] == 500
+    assert splits.manifest_hash(rows.withColumn("v", F.when(F.col("id") == 3, 9).otherwise(F.col("v"))), ["id", "v"]).first()["manifest_sha256"] != one["manifest_sha256"]
+
+
+def test_exact_sign_test(spark):
+    from math import comb
+
+    from strataframe.operators import statistics
+
+    cases = [(0, 0), (1, 0), (3, 9), (12, 12), (40, 70), (500, 520), (9000, 9400)]
+    got = spark.createDataFrame(cases, "a long, b long").select("a", "b", statistics.sign_test_p(F.col("a"), F.col("b")).alias("p")).collect()
+    for r in got:
+        n = r["a"] + r["b"]
+        want = min(1.0, 2 * sum(comb(n, k) for k in range(min(r["a"], r["b"]) + 1)) / 2**n) if n else None
+        assert r["p"] is None if want is None else abs(r["p"] - want) < 1e-7 * max(want, 1e-3)
+
+
+def test_resampling(spark):
+    from strataframe.operators import statistics
+
+    w = statistics.document_weights(np.arange(400), 300)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.15
+    rows = spark.createDataFrame([(k, k % 5, 5, 6) for k in range(300)], "doc long, matched long, predicted long, referred long").repartition(5)
+    sums = {r["rep"]: r["matched"] for r in statistics.resampled_sums(rows, ["matched", "predicted"], 40).collect()}
+    weights = statistics.document_weights(np.arange(300), 40)
+    assert all(sums[r] == (np.arange(300) % 5 * weights[:, r]).sum() for r in range(40))
+    b = statistics.bootstrap_f1(rows, 500).first()
+    assert b["repetitions"] == 500 and b["low_f1"] < 2 * 2 / 11 < b["high_f1"]
+
+
+def test_error_labels(spark):
+    cases = [
+        ("any", "1", "1", None), ("any", None, None, None), ("any", None, "x", "hallucination"), ("intervals", "3", None, "missing_interval"), ("top_depth_m", "1", None, "interval_boundary_error"), ("lithology_normalized", "a", "b", "normalization_error"),
+        ("lithology_raw", "a", None, "lithology_semantic_error"), ("final_depth_m", "12.5", "125", "decimal_point_error"), ("final_depth_m", "12.5", "13.5", "OCR_digit_error"), ("final_depth_m", "12.5", None, "OCR_digit_error"), ("name", "abc", None, None), ("name", "abc", "abd", "OCR_character_error"),
+    ]
+    got = spark.createDataFrame(cases, "f string, r string, p string, want string").select("want", metrics.error_label(F.col("f"), F.col("r"), F.col("p")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)
+    told = {r["label"]: r for r in metrics.error_distribution(spark.createDataFrame([("hallucination",), ("own",), (None,)], "label string")).collect()}
+    assert len(told) == 18 and told["own"]["n"] == 1 and not told["own"]["known"] and told["UNCLASSIFIED"]["n"] == 1 and told["row_merge"]["n"] == 0 and len(metrics.TAXONOMY) == 16
+
+
+def test_stratum_codes(spark):
+    rows = spark.createDataFrame([(1, 0, "①"), (1, 1, "②"), (1, 2, "②"), (1, 3, None), (1, 4, "9"), (2, 0, "-5"), (2, 1, "+6"), (3, 0, " 7 ")], "doc long, seq long, code string")
+    got = {r["doc"]: (r["evaluated"], r["repeats"], r["jumps"], r["status"]) for r in constraints.code_sequence(rows).collect()}
+    assert got == {1: (3, 1, 1, "violated"), 2: (0, 0, 0, "not_evaluated"), 3: (0, 0, 0, "not_evaluated")}
+
+
+def test_thresholds_over_many_scores(spark):
+    rng = np.random.default_rng(6)
+    p = rng.random(3000)
+    y = (rng.random(3000) < p).astype(int)
+    got = calibration.select_threshold(spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y, strict=True)], "p double, y int"), "p", "y", 0.8).first()
+    best = max((int((p >= t).sum()), y[p >= t].mean(), t) for t in p if y[p >= t].mean() >= 0.8)
+    assert (got["accepted"], got["threshold"]) == (best[0], best[2])
+    assert calibration.select_threshold(spark.createDataFrame([], "p double, y int"), "p", "y", 0.8).count() == 0
+
+
+def test_nearest_places_by_brute_force(spark):
+    from strataframe.operators import spatial
+
+    rng = np.random.default_rng(9)
+    xy = np.concatenate([rng.normal(0, 0.01, (60, 2)), rng.normal(50, 5, (40, 2)), [[1000.0, 1000.0], [-500.0, 3.0]]])
+    got = {(r["qx"], r["qy"]): r["distance"] for r in spatial.nearest_distances(spark.createDataFrame([(float(a), float(b)) for a, b in [*xy, xy[0]]], "x double, y double")).collect()}
+    for k, p in enumerate(xy):
+        d = np.hypot(*(np.delete(xy, k, 0) - p).T).min()
+        assert abs(got[tuple(p)] - d) < 1e-9
+    assert spatial.nearest_distances(spark.createDataFrame([(1.0, 1.0)], "x double, y double")).count() == 0 and spatial.nearest_distances(spark.createDataFrame([], "x double, y double")).count() == 0
+
+
+def test_points_in_blocks(spark):
+    from strataframe.operators import spatial
+
+    p = spark.createDataFrame([(k, float(k % 7), float(k % 5), float(k)) for k in range(60)], "id long, x double, y double, z double")
+    q = spark.createDataFrame([(k, k * 0.4, k * 0.3) for k in range(12)], "qid long, qx double, qy double")
+    want = sorted(map(tuple, spatial.idw(q, p).collect()))
+    spatial.BROADCAST_ROWS, whole = 5, spatial.BROADCAST_ROWS
+    try:
+        got = sorted(map(tuple, spatial.idw(q, p).collect()))
+    finally:
+        spatial.BROADCAST_ROWS = whole
+    assert np.allclose(got, want)
+
+
+def test_guards(spark):
+    from strataframe.operators import evaluation, propagation
+
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "doc long, name string")
+    evaluation.require_same_documents(a, a)
+    for other in (a.where("doc = 1"), a.unionByName(a), spark.createDataFrame([(1, "x"), (3, "y")], "doc long, name string")):
+        with pytest.raises(ValueError):
+            evaluation.require_same_documents(a, other)
+    good = (1, 1, 1, "KEEP", 1, True, 0.5, 1, "test", "synthetic")
+    schema = "case_id long, reference long, original long, status string, accepted_value long, needs_review boolean, confidence double, correct int, partition string, truth string"
+    fit = (2, *good[1:8], "calibration", "synthetic")
+    assert evaluation.evaluate_cases(spark.createDataFrame([good, fit], schema), "synthetic").count() == 14
+    for bad in ([good], [good, fit, fit], [good, (*fit[:6], 1.5, *fit[7:])], [good, (*fit[:9], "guess")]):
+        with pytest.raises(ValueError):
+            evaluation.evaluate_cases(spark.createDataFrame(bad, schema), "synthetic")
+    with pytest.raises(ValueError):
+        evaluation.evaluate_ablation(spark.createDataFrame([(*good, "minus_ocr"), (*fit, "minus_ocr")], schema + ", variant string"), "synthetic")
+    records = spark.createDataFrame([(1, 0.0, 0.0, 10.0, [1.0, 2.0, 4.0])], "doc long, x double, y double, collar double, depths array<double>")
+    with pytest.raises(ValueError):
+        propagation.inject(records, "other", 0.1, 1)
+    for error in propagation.ERROR_CLASSES:
+        r = propagation.inject(records, error, 0.5, 1, 1.0).first()
+        assert r["operation"] == error and (len(r["depths"]) == {"merged_layer": 2, "split_layer": 4, "duplicate_boundary": 4}.get(error, 3))
+        assert (error == "coordinate_shift") == (abs(np.hypot(r["x"], r["y"]) - 0.5) < 1e-9)
+        assert propagation.inject(records.limit(0), error, 0.5, 1).count() == 0
+
+
 def test_texts(spark):
     row = spark.createDataFrame([("1,5", "from 2-5 and 3 - 2000 or 7-9", "Silt & Clay", '{"k": "x"}')], "n string, r string, s string, j string")
     got = row.select(T.parse_number(F.col("n")).alias("n"), T.ranges(F.col("r")).alias("r"), T.normalize_name(F.col("s")).alias("s"), T.json_number(F.col("j"), "$.k").alias("j")).first()
@@ -126,21 +256,36 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert spark.table("days").agg(F.sum("n")).first()[0] == events.count()
 
 
-def test_best_path_by_enumeration():
-    from strataframe.operators.sequences import best_path, continuity_edge
+@pytest.mark.parametrize("name", ["monotonic_edge", "continuity_edge", "column_edge"])
+def test_best_path_by_enumeration(name):
+    from strataframe.operators import sequences
 
-    rng = np.random.default_rng(2)
+    rng, edge = np.random.default_rng(2), getattr(sequences, name)
+    fields = ("page", "y", "top", "bottom", "node_score", "x_top", "x_bottom")
     for _ in range(60):
-        nodes = sorted((int(p), float(y), float(t), float(t + h), float(s)) for p, y, t, h, s in zip(rng.integers(0, 2, 6), rng.integers(0, 5, 6), rng.integers(0, 6, 6), rng.integers(1, 3, 6), rng.integers(1, 4, 6), strict=True))
-        best = -np.inf
+        rows = [(int(p), float(y), float(t), float(t + h), float(s), u / 10, v / 10) for p, y, t, h, s, u, v in zip(rng.integers(0, 2, 6), rng.integers(0, 5, 6), rng.integers(0, 6, 6), rng.integers(1, 3, 6), rng.integers(1, 4, 6), rng.integers(0, 4, 6), rng.integers(0, 4, 6), strict=True)]
+        nodes = [dict(zip(fields, r, strict=True)) for r in sorted(rows)]
+        best = (-np.inf, 0)
         for n in range(1, 7):
             for path in itertools.combinations(range(6), n):
-                edges = [continuity_edge(nodes[a], nodes[b]) for a, b in itertools.pairwise(path)]
-                if None not in edges:
-                    best = max(best, sum(edges) + sum(nodes[k][4] for k in path) - 0.0005 * nodes[path[0]][2])
-        path = best_path(nodes)
-        got = sum(continuity_edge(nodes[a], nodes[b]) for a, b in itertools.pairwise(path)) + sum(nodes[k][4] for k in path) - 0.0005 * nodes[path[0]][2]
-        assert abs(got - best) < 1e-6
+                try:
+                    best = max(best, (round(sequences.path_score([nodes[k] for k in path], edge), 9), n))
+                except ValueError:
+                    continue
+        path = sequences.best_path(nodes, edge)
+        assert (round(sequences.path_score([nodes[k] for k in path], edge), 9), len(path)) == best
+    assert sequences.best_path([], edge) == []
+
+
+def test_edges():
+    from strataframe.operators import sequences
+
+    a = {"page": 1, "y": 0.1, "top": 0.0, "bottom": 5.0, "x_top": 0.1, "x_bottom": 0.2}
+    b = lambda **k: {"page": 1, "y": 0.2, "top": 5.0, "bottom": 6.0, "x_top": 0.1, "x_bottom": 0.2} | k
+    assert sequences.continuity_edge(a, b()) == 5.0 and sequences.continuity_edge(a, b(top=5.5)) == 1.5
+    assert abs(sequences.continuity_edge(a, b(top=8.0)) + np.log1p(3.0)) < 1e-12 and sequences.continuity_edge(a, b(top=5000.0)) == -6.0
+    assert sequences.continuity_edge(a, b(y=0.1)) is None and sequences.continuity_edge(a, b(top=3.9)) is None
+    assert abs(sequences.column_edge(a, b(page=4, x_top=0.2)) - (5.0 - 0.4 - 0.3)) < 1e-12
 
 
 def test_policies(spark):
@@ -217,7 +362,7 @@ def test_error_rates_count_every_turn(spark, tmp_path):
     texts = ["Plain text here", "caf\u00e9 \u65e5\u672c \u2713 e 3.5", "\U0001f600 the end", "", None]
     spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "conv_id long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     low = [t.lower() for t in texts if t]
-    got = {r["metric"]: r for name in ("text_error_rates_all_turns", "word_error_rate_all_turns") for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    got = {r["metric"]: r for name in ("text_error_rates", "word_error_rate") for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
     assert (got["cer"]["numerator"], got["cer"]["denominator"]) == (sum(edits(t, t.replace("e", "c")) for t in low), sum(map(len, low)))
     assert (got["wer"]["numerator"], got["wer"]["denominator"]) == (sum(edits(t.split(), t.replace("e", "~").split()) for t in low), sum(len(t.split()) for t in low))
     assert got["numeric_cer"]["denominator"] == 3
