@@ -80,25 +80,31 @@ def _induce_names(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.nd
     """The same for any alphabet, an element at a time."""
     n, size = len(text), np.bincount(text)
     end = np.cumsum(size)
-    chars, is_small, sa = text.tolist(), small.tolist(), [-1] * n
-    tail = end.tolist()
-    for i in reversed(lms.tolist()):
-        c = chars[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
+    # The bucket into which a suffix puts the one before it, -1 for none; the last entry is for places without a suffix.
+    ahead, back = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    ahead[1:n] = np.where(small[:-1], -1, text[:-1])
+    back[1:n] = np.where(small[:-1], text[:-1], -1)
+    into, sa = ahead.tolist(), np.full(n, -1, np.int64)
+    chars = text[lms]
+    by = np.argsort(chars, kind="stable")
+    held = np.bincount(chars, minlength=len(size))
+    first = np.cumsum(held) - held
+    c = chars[by]
+    sa[end[c] - held[c] + np.arange(len(by)) - first[c]] = lms[by]  # at the ends of their buckets, in order
+    sa = sa.tolist()
     head = (end - size).tolist()
     for i in sa:  # sees what it puts ahead of itself
-        if i > 0 and not is_small[i - 1]:
-            c = chars[i - 1]
+        c = into[i]
+        if c >= 0:
             sa[head[c]] = i - 1
             head[c] += 1
-    tail = end.tolist()
+    into, tail = back.tolist(), (end - 1).tolist()
     for at in range(n - 1, -1, -1):
         i = sa[at]
-        if i > 0 and is_small[i - 1]:
-            c = chars[i - 1]
-            tail[c] -= 1
+        c = into[i]
+        if c >= 0:
             sa[tail[c]] = i - 1
+            tail[c] -= 1
     return np.array(sa, np.int64)
 
 
