@@ -58,3 +58,12 @@ def funnel(rows: DataFrame, steps: dict[str, Column], doc: str) -> DataFrame:
         so_far = so_far & F.coalesce(keep, F.lit(False))
         parts.append(F.struct(F.lit(k).alias("step"), F.lit(name).alias("name"), F.count_distinct(F.when(so_far, F.col(doc))).alias("documents"), F.count_if(so_far).alias("rows")))
     return rows.agg(F.array(*parts).alias("s")).select(F.inline("s"))
+
+
+def all_gates(gates: DataFrame) -> DataFrame:
+    """One row of named gates with ``ready``: all of them hold."""
+    held = [F.coalesce(F.col(c), F.lit(False)) for c in gates.columns]
+    out = F.lit(True)
+    for h in held:
+        out = out & h
+    return gates.withColumn("ready", out)
