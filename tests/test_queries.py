@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from strataframe.plans import catalog, catalog_eval, catalog_more, catalog_pages, catalog_rest, catalog_text  # noqa: F401  (registers its queries)
+from strataframe.plans import catalog, catalog_eval, catalog_more, catalog_pages, catalog_policies, catalog_rest, catalog_text  # noqa: F401  (registers its queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
