@@ -136,7 +136,14 @@ def _sort(text: np.ndarray, induce) -> np.ndarray:
     if len(names) and names[-1] < len(names) - 1:
         in_text = np.empty(len(lms), np.int64)
         in_text[number[ordered]] = names
-        ordered = lms[_sort(in_text, _induce_names)]  # the last name is the sentinel's, the least
+        # A comparison ends at the first name that is there once, so names once each after another of that kind are left out.
+        again = np.bincount(in_text)[in_text] > 1
+        used = again.copy()
+        used[1:] |= again[:-1]
+        used[-1] = True  # the last name is the sentinel's, the least
+        rank = np.zeros(len(lms), np.int64)
+        rank[np.flatnonzero(used)[_sort(in_text[used], _induce_names)]] = np.arange(used.sum())
+        ordered = lms[np.lexsort((rank, in_text))]
     return induce(text, small, ordered)
 
 
