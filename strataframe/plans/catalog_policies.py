@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.operators import policies, propagation, sequences, spatial, statistics
+from strataframe.operators import engine, policies, propagation, sequences, spatial, statistics
 from strataframe.plans.catalog import CHECK_SQL, IDW, PERDOC, QP, WITH, channels, counts, query
 from strataframe.plans.catalog_more import DECODE
 from strataframe.plans.fixtures import BASE_SQL, points, queries_points, reference_intervals, table
@@ -191,3 +191,30 @@ def acceptance_groups(spark: SparkSession, d: str) -> DataFrame:
 
     e = paired(spark, d).withColumn("accepted", F.col("doc") % 3 > 0).withColumn("e", F.abs(F.col("rb") - F.col("pb")).cast("double"))
     return e.groupBy("accepted").agg(F.count_distinct("doc").alias("documents"), F.count("*").alias("rows"), F.count("e").alias("read"), F.round(F.avg("e"), 6).alias("mae"))
+
+
+_ALL = f"""{CHECK_SQL}, b AS (SELECT doc, final_depth, CAST(doc % 40 - 2 AS DECIMAL(12,2)) AS water FROM finals), pc AS (SELECT doc, pk % 120 - 10 AS v FROM pa), co AS (SELECT o_orderkey AS doc, o_orderkey % 9 = 0 AS conf, CASE WHEN o_orderkey % 9 = 0 THEN concat(o_orderkey, 'O', o_orderkey) ELSE CAST(o_orderkey * 7 AS VARCHAR) END AS raw FROM orders),
+cd AS (SELECT doc, n, lead(n) OVER (PARTITION BY doc ORDER BY seq) AS nx FROM (SELECT doc, seq, ln AS n FROM pa WHERE pk % 10 > 0)), ty AS (SELECT doc, pk FROM pa),
+e(c, doc, e, v) AS (SELECT 'C1_depth_validity', doc, evaluated, violations FROM counted WHERE "constraint" = 'C1_depth_order' UNION ALL SELECT 'C2_thickness_consistency', doc, evaluated, violations FROM counted WHERE "constraint" = 'C2_thickness'
+UNION ALL SELECT 'C3_interval_continuity', g.doc, g.evaluated, g.violations + o.violations FROM counted g JOIN counted o ON g.doc = o.doc WHERE g."constraint" = 'C3_gap' AND o."constraint" = 'C3_overlap' UNION ALL SELECT 'C4_depth_monotonicity', doc, evaluated, violations FROM counted WHERE "constraint" = 'C4_monotone'
+UNION ALL SELECT 'C5_final_depth_consistency', doc, evaluated, violations FROM counted WHERE "constraint" = 'C5_final_depth' UNION ALL SELECT 'C6_groundwater_reasonableness', doc, 2, CAST(water < 0 AS INT) + CAST(water > final_depth AS INT) FROM b
+UNION ALL SELECT 'C7_percentage_range', doc, count(*), count(*) FILTER (WHERE v NOT BETWEEN 0 AND 100) FROM pc GROUP BY doc UNION ALL SELECT 'C8_coordinate_format', doc, 1, CAST(conf AS INT) + CAST(length(regexp_replace(raw, '[^0-9]', '', 'g')) NOT BETWEEN 4 AND 12 AS INT) FROM co
+UNION ALL SELECT 'C9_stratum_code_sequence', d.doc, count(nx), count(*) FILTER (WHERE nx = n OR nx <> n + 1) FROM (SELECT DISTINCT doc FROM pa) d LEFT JOIN cd ON d.doc = cd.doc GROUP BY 2 UNION ALL SELECT 'C10_field_type_consistency', doc, 2 * count(*), count(*) FILTER (WHERE pk % 8 = 0) + count(*) FILTER (WHERE pk % 6 = 0) FROM ty GROUP BY doc)"""
+
+
+@query(f"""{WITH}, {_ALL} SELECT c AS "constraint", CAST(sum(e) AS BIGINT) AS evaluated, CAST(sum(v) AS BIGINT) AS violations, count(*) FILTER (WHERE e > 0 AND v > 0) AS violated, count(*) FILTER (WHERE e > 0 AND v = 0) AS passed, count(*) FILTER (WHERE e = 0) AS not_evaluated FROM e GROUP BY 1""")
+def engine_scores(spark: SparkSession, d: str) -> DataFrame:
+    """All ten constraints over all documents in one call."""
+    from strataframe.plans.catalog import finals
+
+    ref, a, _ = channels(spark, d)
+    k, pk = F.col("o_orderkey"), F.col("pk")
+    water = (F.col("doc") % 40 - 2).cast("decimal(12,2)")
+    raw = F.when(k % 9 == 0, F.concat(k.cast("string"), F.lit("O"), k.cast("string"))).otherwise((k * 7).cast("string"))
+    tables = {
+        "intervals": a.withColumn("code", F.when(pk % 10 == 0, "x").otherwise(F.col("ln").cast("string"))), "boreholes": finals(spark, d, ref).withColumn("water_depth", water),
+        "coordinates": table(spark, d, "orders").select(k.alias("doc"), F.lit("x_coordinate").alias("field"), F.lit(None).cast("string").alias("value"), raw.alias("raw")), "percentages": a.select("doc", F.lit("rqd_percent").alias("field"), (pk % 120 - 10).alias("value")),
+        "typed": a.select("doc", F.lit("text").alias("kind"), F.when(pk % 8 == 0, "12.5 m").otherwise("clay").alias("value"), F.lit(None).cast("string").alias("raw")).unionByName(a.select("doc", F.lit("number").alias("kind"), F.when(pk % 6 == 0, "fine sand").otherwise("3.5").alias("value"), F.lit(None).cast("string").alias("raw"))),
+    }
+    e = engine.evaluate(tables)
+    return e.groupBy("constraint").agg(F.sum("evaluated").alias("evaluated"), F.sum("violations").alias("violations"), *(F.count_if(F.col("status") == s).alias(s) for s in ("violated", "passed", "not_evaluated")))

@@ -18,8 +18,19 @@ RUN_KEYS = ("experiment_id", "git_commit", "date", "dataset_version", "split_ver
 
 
 def read_interval_table(spark: SparkSession, path: str, encoding: str = "cp1252") -> DataFrame:
-    """A CSV of texts with a header, as it is; numbers are for :func:`~strataframe.operators.manifests.gold_intervals` to judge."""
-    return spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
+    """A CSV of texts with a header, as it is; numbers are for :func:`~strataframe.operators.manifests.gold_intervals` to judge.
+
+    Spark's own reader takes UTF-8 and ISO-8859-1 alike encodings.  Of Windows
+    encodings the letters are the same; their quotes and dashes, which
+    ISO-8859-1 leaves as control characters, are put right afterwards.
+    """
+    windows = encoding.lower() in ("cp1252", "windows-1252")
+    rows = spark.read.option("header", True).option("encoding", "iso-8859-1" if windows else encoding).option("multiLine", True).option("escape", '"').csv(path)
+    if not windows:
+        return rows
+    known = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+    pairs = [(a, b) for a, b in known.items() if b]
+    return rows.select(*(F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)).alias(c) for c in rows.columns))
 
 
 def write_interval_table(intervals: DataFrame, path: str) -> None:

@@ -367,3 +367,92 @@ def test_error_rates_count_every_turn(spark, tmp_path):
     assert (got["wer"]["numerator"], got["wer"]["denominator"]) == (sum(edits(t.split(), t.replace("e", "~").split()) for t in low), sum(len(t.split()) for t in low))
     assert got["numeric_cer"]["denominator"] == 3
     assert 0 < got["similarity"]["value"] < 1
+
+
+def test_engine_takes_complete_configurations_only(spark):
+    from strataframe.operators import engine
+
+    good = engine.default_config()
+    assert [c.name.split("_")[0] for c in engine.engine(good)] == [f"C{k}" for k in range(1, 11)]
+    assert len(engine.engine(good | {"continuity": {"enabled": False, "severity": "error"}})) == 9
+    for bad in ({k: v for k, v in good.items() if k != "continuity"}, good | {"more": {}}, good | {"version": "v2"}, good | {"continuity": {"enabled": True, "severity": "error", "tolerance": 1}}, good | {"continuity": {"enabled": 1, "severity": "error"}}, good | {"coordinate_format": {"enabled": True, "severity": "e", "minimum_digits": 9, "maximum_digits": 3}}, good | {"continuity": {"enabled": True, "severity": "e", "tolerance_m": "-1"}}):
+        with pytest.raises(ValueError):
+            engine.engine(bad)
+
+
+def test_engine_takes_own_constraints(spark):
+    from strataframe.operators import engine
+
+    own = engine.Constraint("C11_few", "info", lambda t: t["intervals"].groupBy("doc").agg(F.lit(1).alias("evaluated"), (F.count("*") < 2).cast("int").alias("violations")))
+    rows = intervals(spark, [(1, 0, 0, 1), (1, 1, 1, 2), (2, 0, 0, 1)]).withColumn("thickness", F.col("bottom") - F.col("top"))
+    got = {(r["doc"], r["constraint"]): r["status"] for r in engine.evaluate({"intervals": rows}, [own, *engine.engine(engine.default_config())]).collect()}
+    assert got[1, "C11_few"] == "passed" and got[2, "C11_few"] == "violated" and got[2, "C3_interval_continuity"] == "not_evaluated" and got[1, "C1_depth_validity"] == "passed"
+
+
+def test_files(spark, tmp_path):
+    from strataframe.operators import manifests
+    from strataframe.sources import files
+
+    (tmp_path / "a.csv").write_bytes("key,top,bottom,text,comments\nw1,0,1.5,Lehm \xe4 \u2013,\nw1,x,2,clay,\nw1,1.5,3, ,\nw1,0,1.5,Lehm \xe4 \u2013,\n".encode("cp1252"))
+    gold = manifests.gold_intervals(files.read_interval_table(spark, str(tmp_path / "a.csv")), "key").collect()
+    assert [(r["top"], r["bottom"], r["text"]) for r in gold] == [(0.0, 1.5, "Lehm ä –")]
+    files.write_interval_table(intervals(spark, [(1, 0, 0, 1)]).withColumn("interval_id", F.lit("I001")), str(tmp_path / "out"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert back.columns == list(files.INTERVAL_COLUMNS) and back.first()["interval_id"] == "I001"
+    (tmp_path / "p.jsonl").write_text('{"item_id": "a", "x": 1}\n\n{"item_id": "b", "x": 2}\n')
+    assert files.read_predictions(spark, str(tmp_path / "p.jsonl"), "item_id string, x long").count() == 2
+    for bad in ('{"item_id": "a"}\n{"item_id": "a"}\n', '{"x": 1}\n'):
+        (tmp_path / "p.jsonl").write_text(bad)
+        with pytest.raises(ValueError):
+            files.read_predictions(spark, str(tmp_path / "p.jsonl"), "item_id string, x long")
+    p = spark.createDataFrame([(1, 1.5, 2.5, "EPSG:4326"), (2, None, 1.0, "EPSG:4326"), (3, -1.0, 0.0, "epsg:4326")], "id long, x double, y double, s string")
+    files.write_geoparquet(p.where("id < 3"), str(tmp_path / "geo"), "x", "y", "s")
+    import json
+    import struct
+
+    row = spark.read.parquet(str(tmp_path / "geo/data")).first()
+    assert struct.unpack("<BIdd", bytes(row["geometry"])) == (1, 1, 1.5, 2.5)
+    assert json.loads(spark.read.text(str(tmp_path / "geo/geo")).first()[0])["columns"]["geometry"]["bbox"] == [1.5, 2.5, 1.5, 2.5]
+    with pytest.raises(ValueError):
+        files.write_geoparquet(p, str(tmp_path / "geo2"), "x", "y", "s")
+    files.write_feature_collection(p, str(tmp_path / "f"), "id", "x", "y", "s")
+    assert json.loads(spark.read.text(str(tmp_path / "f/collection")).first()[0])["coordinate_systems"] == ["EPSG:4326", "epsg:4326"] and spark.read.text(str(tmp_path / "f/features")).count() == 2
+    meta = dict.fromkeys(files.RUN_KEYS, "x") | {"date": "2024-02-03", "experiment_id": "run_1"}
+    assert files.create_run(spark, str(tmp_path / "runs"), meta).endswith("2024-02-03/run_1")
+    for bad in (meta, meta | {"experiment_id": "a b"}, meta | {"date": "today"}, {"date": "2024-01-01"}):
+        with pytest.raises(Exception):
+            files.create_run(spark, str(tmp_path / "runs"), bad)
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h/one.txt").write_bytes(b"abc")
+    import hashlib
+
+    assert tuple(files.file_hashes(spark, str(tmp_path / "h")).first()) == ("one.txt", 3, hashlib.sha256(b"abc").hexdigest())
+    places, triangles = files.surface_grid([0.0, 1.0, 2.0], [0.0, 5.0])
+    assert len(places) == 6 and triangles == [(0, 1, 3), (1, 4, 3), (1, 2, 4), (2, 5, 4)]
+    with pytest.raises(ValueError):
+        files.surface_grid([0.0, 0.0], [0.0, 1.0])
+
+
+def test_longest_runs_and_clusters(spark):
+    from strataframe.operators import positions
+
+    def brute(v):
+        best = []
+        for n in range(len(v), 0, -1):
+            runs = [c for c in itertools.combinations(v, n) if all(a < b for a, b in itertools.pairwise(c))]
+            if runs:
+                return n, max(r[-1] for r in runs)
+        return 0, None
+
+    rng = np.random.default_rng(1)
+    rows = [[float(x) for x in rng.integers(0, 8, rng.integers(0, 9))] for _ in range(60)]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(rows)], "k long, v array<double>").select("v", positions.longest_increasing(F.col("v")).alias("r")).collect()
+    for r in got:
+        assert all(a < b for a, b in itertools.pairwise(r["r"])) and (len(r["r"]), r["r"][-1] if r["r"] else None) == brute(r["v"])
+    points = [(1, 0.1, 10.0 * k, float(k), 0.9) for k in range(8)] + [(1, 0.1, 31.0, 99.0, 0.1), (1, 0.5, 5.0, 7.0, 0.9), (1, 0.5, 50.0, 3.0, 0.9), (2, 0.3, 5.0, 1.0, 0.5)]
+    scored = positions.cluster_scores(positions.numeric_clusters(spark.createDataFrame(points, "page long, x double, y double, value double, confidence double")))
+    best = positions.best_clusters(scored).where("rank = 1").collect()
+    assert len(best) == 1 and best[0]["values"] == [float(k) for k in range(8)]
+    assert abs(best[0]["score"] - (8 + 6 + 3 * np.log1p(0.7) + 2 + 2)) < 1e-9
+    peaks = spark.createDataFrame([([0.1, 0.9, 0.2, 0.8, 0.1, 0.1, 0.7],)], "v array<double>").select(positions.peaks(F.col("v"), 0.5, 3).alias("p")).first()["p"]
+    assert peaks == [1, 6]
