@@ -6,7 +6,6 @@ and read again, so a lost executor repeats one stage at most.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strataframe.llm import decontamination, near_dedup, packing, quality_classifier, secret_scan
@@ -35,6 +34,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their token ids and places in sequences."""
+    import public_tokenizers  # where the vocabulary files lie; needed by this stage alone
+
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
