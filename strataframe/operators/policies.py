@@ -186,3 +186,105 @@ def drawn_coverage(source: DataFrame, drawn: DataFrame) -> DataFrame:
     s, d = source.select("drawing", "id").distinct().withColumn("_s", F.lit(1)), drawn.select("drawing", "id").distinct().withColumn("_d", F.lit(1))
     both = s.join(d, ["drawing", "id"], "full_outer").groupBy("drawing").agg(F.count("_s").alias("source"), F.count_if(F.col("_s").isNotNull() & F.col("_d").isNotNull()).alias("drawn"), F.count_if(F.col("_s").isNull()).alias("extra"))
     return both.withColumn("share", ratio(F.col("drawn"), F.col("source")))
+
+
+def silver_values(a: DataFrame, b: DataFrame, c: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """keys, field, value, status, confidence of records that two readers have, with a third one's support.
+
+    Keys that only one of the two has are left out; the third may lack any.
+    The value is the agreed or supported one, the one that is there, or null
+    where the readers differ.
+    """
+    from strataframe.operators import fusion
+
+    side = lambda df, n: df.select(*keys, *(F.col(f).cast("string").alias(f"{n}_{f}") for f in fields))
+    both = side(a, "a").join(side(b, "b"), keys).join(side(c, "c"), keys, "left")
+    parts = []
+    for f in fields:
+        x, y, z = (F.col(f"{n}_{f}") for n in "abc")
+        s = fusion.adjudicate(x, y, z)
+        value = F.when(s.isin("AGREEMENT", "CORROBORATED_A", "SINGLE_SOURCE_A"), x).when(s.isin("CORROBORATED_B", "SINGLE_SOURCE_B"), y)
+        parts.append(F.struct(F.lit(f).alias("field"), value.alias("value"), s.alias("status"), fusion.status_confidence(s).alias("confidence")))
+    return both.select(*keys, F.inline(F.array(*parts)))
+
+
+def random_cohorts(rows: DataFrame, key: str, seeds: int, size: int) -> DataFrame:
+    """seed and ``rows`` of as many random cohorts of a size: those of least hash under each seed."""
+    h = lambda s: F.sha2(F.concat_ws(":", F.lit(s), F.col(key).cast("string")).cast("binary"), 256)
+    out = None
+    for s in range(seeds):
+        one = rows.withColumn("_h", h(s)).orderBy("_h").limit(size).drop("_h").withColumn("seed", F.lit(s))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def all_bins(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
+    """Every equal-width bin with n, mean confidence and accuracy; empty ones have n 0 and nulls."""
+    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
+    found = rows.groupBy(b.alias("f_bin")).agg(F.count("*").alias("n"), F.avg(p).alias("confidence"), F.avg(F.col(y).cast("double")).alias("accuracy"))
+    every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(found, F.col("bin") == F.col("f_bin"), "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "confidence", "accuracy")
+
+
+def signature(parts: list[Column]) -> Column:
+    """Categories of a row as one text, missing ones told."""
+    return F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("none")) for p in parts))
+
+
+def json_intervals(payloads: DataFrame, scale_to_m: float) -> tuple[DataFrame, DataFrame]:
+    """(doc, place, top, bottom, lithology) of well-formed intervals of JSON answers, and (doc, valid, invalid).
+
+    Depths have to be numbers, not texts or truth values, the top at least 0
+    and above the bottom.
+    """
+    items = payloads.select("doc", F.posexplode(F.try_variant_get(F.try_parse_json("payload"), "$.intervals", "array<variant>")).alias("place", "i"))
+    number = lambda f: F.when(F.schema_of_variant(F.try_variant_get("i", f"$.{f}", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), F.try_variant_get("i", f"$.{f}", "double"))
+    rows = items.select("doc", "place", number("top_depth_source").alias("top"), number("bottom_depth_source").alias("bottom"), F.nullif(F.trim(F.try_variant_get("i", "$.lithology_raw", "string")), F.lit("")).alias("lithology"))
+    ok = F.coalesce((F.col("top") >= 0) & (F.col("bottom") > F.col("top")), F.lit(False))
+    counts = rows.groupBy("doc").agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
+    return rows.where(ok).withColumns({"top": F.col("top") * scale_to_m, "bottom": F.col("bottom") * scale_to_m}), counts
+
+
+def metres_of(metres: Column, feet: Column) -> Column:
+    """A depth told in metres or, where it isn't, in feet."""
+    return F.coalesce(metres.cast("double"), feet.cast("double") * 0.3048)
+
+
+def text_intervals(texts: DataFrame, pattern: str, open_pattern: str, final: str) -> DataFrame:
+    """doc, top, bottom, name of all intervals a text tells, each once, in feet; open ones end at the final depth.
+
+    ``pattern`` has groups top, bottom, name; ``open_pattern`` top, name.
+    """
+    pick = lambda p, k: F.regexp_extract_all("text", F.lit(p), k)
+    closed = F.transform(F.arrays_zip(pick(pattern, 1).alias("a"), pick(pattern, 2).alias("b"), pick(pattern, 3).alias("n")), lambda x: F.struct(x["a"].cast("double").alias("top"), x["b"].cast("double").alias("bottom"), F.lower(x["n"]).alias("name")))
+    ended = F.transform(F.arrays_zip(pick(open_pattern, 1).alias("a"), pick(open_pattern, 2).alias("n")), lambda x: F.struct(x["a"].cast("double").alias("top"), F.col(final).cast("double").alias("bottom"), F.lower(x["n"]).alias("name")))
+    rows = texts.select("doc", F.inline(F.concat(closed, ended)))
+    return rows.where("bottom > top").distinct()
+
+
+def public_pools(candidates: DataFrame, key: str, salt: str) -> DataFrame:
+    """record_key, pool: each record's candidates in order, rounded to six decimals, under a name that hides the record."""
+    name = F.substring(F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")).cast("binary"), 256), 1, 20)
+    one = F.struct("page", "y", F.round(F.col("top").cast("double"), 6).alias("top"), F.round(F.col("bottom").cast("double"), 6).alias("bottom"), F.round("node_score", 6).alias("node_score"))
+    return candidates.groupBy(name.alias("record_key")).agg(F.array_sort(F.collect_list(one)).alias("pool"))
+
+
+def index_readiness(rows: DataFrame, formal: tuple[str, ...]) -> DataFrame:
+    """eligibility, n, formal: entries of an index by eligibility, missing ones told."""
+    e = F.coalesce("eligibility", F.lit("missing"))
+    return rows.groupBy(e.alias("eligibility")).agg(F.count("*").alias("n")).withColumn("formal", F.col("eligibility").isin(*formal))
+
+
+def field_at(provenance: DataFrame, paths: list[str]) -> DataFrame:
+    """document_id and one column for each path (``borehole.x``, ``intervals[2].y``) of records told in long form."""
+    return provenance.where(F.col("field_path").isin(*paths)).groupBy("document_id").agg(*(F.max(F.when(F.col("field_path") == p, F.col("value"))).alias(p) for p in paths))
+
+
+def chosen_rows(rows: DataFrame, equal: dict[str, str], prefix: dict[str, str]) -> DataFrame:
+    """Rows whose columns are the given texts or begin with them; nulls are neither."""
+    ok = F.lit(True)
+    for c, v in equal.items():
+        ok = ok & F.coalesce(F.col(c) == v, F.lit(False))
+    for c, v in prefix.items():
+        ok = ok & F.coalesce(F.col(c).startswith(v), F.lit(False))
+    return rows.where(ok)

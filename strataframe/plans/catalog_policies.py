@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.operators import engine, policies, propagation, sequences, spatial, statistics
-from strataframe.plans.catalog import CHECK_SQL, IDW, PERDOC, QP, WITH, channels, counts, query
+from strataframe.plans.catalog import CHECK_SQL, IDW, PERDOC, QP, REPETITIONS, WEIGHTS, WITH, channels, counts, query
 from strataframe.plans.catalog_more import DECODE
 from strataframe.plans.fixtures import BASE_SQL, points, queries_points, reference_intervals, table
 from strataframe.sources import records
@@ -218,3 +218,99 @@ def engine_scores(spark: SparkSession, d: str) -> DataFrame:
     }
     e = engine.evaluate(tables)
     return e.groupBy("constraint").agg(F.sum("evaluated").alias("evaluated"), F.sum("violations").alias("violations"), *(F.count_if(F.col("status") == s).alias(s) for s in ("violated", "passed", "not_evaluated")))
+
+
+_SILVER = "CASE WHEN a = b THEN 'AGREEMENT' WHEN a = c THEN 'CORROBORATED_A' WHEN b = c THEN 'CORROBORATED_B' ELSE 'DISAGREEMENT_UNRESOLVED' END"
+
+
+@query(f"""{WITH}, j AS (SELECT a.doc, a.seq, f, CASE f WHEN 'top' THEN a.top ELSE a.bottom END AS a, CASE f WHEN 'top' THEN b.top ELSE b.bottom END AS b, CASE f WHEN 'top' THEN c.top ELSE c.bottom END AS c FROM pa a JOIN pb b ON a.doc = b.doc AND a.seq = b.seq LEFT JOIN (SELECT * FROM ref WHERE pk % 19 > 0) c ON a.doc = c.doc AND a.seq = c.seq, (VALUES ('top'), ('bottom')) t(f))
+SELECT f AS field, {_SILVER} AS status, count(*) AS n, round(sum(CAST(CASE WHEN a = b OR a = c THEN a WHEN b = c THEN b END AS DOUBLE)), 2) AS total FROM j GROUP BY ALL""")
+def silver_values(spark: SparkSession, d: str) -> DataFrame:
+    ref, a, b = channels(spark, d)
+    v = policies.silver_values(a, b, ref.where("pk % 19 > 0"), ["doc", "seq"], ["top", "bottom"])
+    return v.groupBy("field", "status").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total"))
+
+
+@query(f"""{WITH}, {PERDOC}, g AS (SELECT substr(sha256(CAST(doc % 50 AS VARCHAR)), 1, 8) AS content, matched, predicted, referred FROM per) SELECT content, count(*) AS documents, round(coalesce(sum(matched) / nullif(CAST(sum(predicted) AS DOUBLE), 0), 0), 9) AS "precision", round(coalesce(sum(matched) / nullif(CAST(sum(referred) AS DOUBLE), 0), 0), 9) AS recall FROM g GROUP BY 1""")
+def content_groups(spark: SparkSession, d: str) -> DataFrame:
+    from strataframe.plans.catalog import per_document
+
+    g = per_document(spark, d).withColumn("content", F.substring(F.sha2((F.col("doc") % 50).cast("string").cast("binary"), 256), 1, 8))
+    s = g.groupBy("content").agg(F.count("*").alias("documents"), *(F.sum(c).alias(c) for c in ("matched", "predicted", "referred")))
+    return s.select("content", "documents", *statistics.prf(F.col("matched"), F.col("predicted"), F.col("referred"))[:2]).select("content", "documents", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query(f"""{WITH}, {PERDOC}, r AS (SELECT seed, per.*, row_number() OVER (PARTITION BY seed ORDER BY sha256(seed || ':' || doc)) AS k FROM per, range(5) s(seed)), f AS (SELECT seed, 2.0 * sum(matched) / (sum(predicted) + sum(referred)) AS f1 FROM r WHERE k <= 300 GROUP BY seed) SELECT count(*) AS n, round(avg(f1), 9) AS mean, round(stddev_samp(f1), 9) AS deviation, round(min(f1), 9) AS least, round(max(f1), 9) AS most FROM f""")
+def random_cohorts(spark: SparkSession, d: str) -> DataFrame:
+    """F1 over five random cohorts of 300 documents (the feature is the sample)."""
+    from strataframe.plans.catalog import per_document
+
+    c = policies.random_cohorts(per_document(spark, d), "doc", 5, 300).groupBy("seed").agg(*(F.sum(x).alias(x) for x in ("matched", "predicted", "referred")))
+    f = c.select(statistics.prf(F.col("matched"), F.col("predicted"), F.col("referred"))[2])
+    return f.agg(F.count("*").alias("n"), *(F.round(x("f1"), 9).alias(n) for x, n in ((F.avg, "mean"), (F.stddev_samp, "deviation"), (F.min, "least"), (F.max, "most"))))
+
+
+@query("""WITH c AS (SELECT (value - floor(value)) * 0.6 AS p, CAST(event_type = 'click' AS INT) AS y FROM events), b AS (SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS n, avg(p) AS c, avg(CAST(y AS DOUBLE)) AS a FROM c GROUP BY 1) SELECT CAST(r.k AS INT) AS bin, coalesce(n, 0) AS n, round(c, 9) AS confidence, round(a, 9) AS accuracy FROM range(10) r(k) LEFT JOIN b ON b.bin = r.k""")
+def calibration_bins(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(((F.col("value") - F.floor("value")) * 0.6).alias("p"), (F.col("event_type") == "click").cast("int").alias("y"))
+    return policies.all_bins(e, "p", "y").select("bin", "n", F.round("confidence", 9).alias("confidence"), F.round("accuracy", 9).alias("accuracy"))
+
+
+@query("SELECT concat_ws('|', o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN 'none' ELSE CAST(o_orderkey % 3 AS VARCHAR) END) AS signature, count(*) AS n FROM orders GROUP BY 1")
+def signatures(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    return table(spark, d, "orders").groupBy(policies.signature([F.col("o_orderstatus"), F.when(k != 0, k)]).alias("signature")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS valid, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 3 END AS invalid, round((o_orderkey % 9 + 3) * 0.3048 + CASE WHEN o_orderkey % 2 = 0 THEN 2.5 * 0.3048 ELSE 0 END, 6) AS depth FROM orders""")
+def json_interval_counts(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    p = F.concat(F.lit('{"intervals": [{"top_depth_source": 0, "bottom_depth_source": '), (k % 9 + 3).cast("string"), F.lit("}, {\"top_depth_source\": 1, \"bottom_depth_source\": "), F.when(k % 2 == 0, "2.5").otherwise('"2.5"'), F.lit('}, {"top_depth_source": true, "bottom_depth_source": 3}, 5]}'))
+    rows, n = policies.json_intervals(table(spark, d, "orders").select(k.alias("doc"), p.alias("payload")), 0.3048)
+    depth = rows.groupBy(F.col("doc").alias("r_doc")).agg(F.round(F.sum("bottom"), 6).alias("depth"))
+    return n.join(depth, F.col("doc") == F.col("r_doc")).select("doc", "valid", "invalid", "depth")
+
+
+@query("SELECT p_partkey, round(CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) WHEN p_partkey % 3 > 0 THEN p_size * 0.3048 END, 6) AS metres FROM part")
+def unit_references(spark: SparkSession, d: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", F.round(policies.metres_of(F.when(k % 2 == 0, s), F.when(k % 3 > 0, s)), 6).alias("metres"))
+
+
+@query("""WITH t AS (SELECT o_custkey AS doc, CAST(o_orderkey % 30 AS DOUBLE) AS top, CAST(o_orderkey % 30 + o_orderkey % 4 AS DOUBLE) AS bottom, CASE WHEN o_orderkey % 2 = 0 THEN 'basalt' ELSE 'sediment' END AS name FROM orders UNION SELECT DISTINCT o_custkey, 25.0, 40.0, 'basalt' FROM orders) SELECT doc, count(*) AS n, round(sum(bottom - top), 4) AS depth FROM (SELECT DISTINCT * FROM t WHERE bottom > top) GROUP BY 1""")
+def told_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals told in prose, one of them open downwards."""
+    k = F.col("o_orderkey")
+    line = F.concat((k % 30).cast("string"), F.lit(" to "), (k % 30 + k % 4).cast("string"), F.lit(" ft "), F.when(k % 2 == 0, "Basalt").otherwise("Sediment"))
+    t = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc")).agg(F.concat(F.array_join(F.collect_list(line), "; "), F.lit("; 25 ft to bottom Basalt")).alias("text")).withColumn("final", F.lit(40.0))
+    r = policies.text_intervals(t, r"([0-9.]+) to ([0-9.]+) ft ([A-Za-z]+)", r"([0-9.]+) ft to bottom ([A-Za-z]+)", "final")
+    return r.groupBy("doc").agg(F.count("*").alias("n"), F.round(F.sum(F.col("bottom") - F.col("top")), 4).alias("depth"))
+
+
+@query(f"""{WITH}, n AS (SELECT doc, count(*) AS n, sum(CAST(bottom AS DOUBLE)) AS b FROM ref GROUP BY doc) SELECT substr(sha256('freeze' || doc), 1, 20) AS record_key, n, round(b, 4) AS bottoms FROM n""")
+def public_pools(spark: SparkSession, d: str) -> DataFrame:
+    p = policies.public_pools(reference_intervals(spark, d).select("doc", (F.col("ln") % 3).alias("page"), (F.col("seq") / 10).alias("y"), "top", "bottom", F.lit(1.0).alias("node_score")), "doc", "freeze")
+    return p.select("record_key", F.size("pool").cast("long").alias("n"), F.round(F.aggregate("pool", F.lit(0.0), lambda a, x: a + x["bottom"]), 4).alias("bottoms"))
+
+
+@query("SELECT coalesce(CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END, 'missing') AS eligibility, count(*) AS n, coalesce(CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END, 'missing') IN ('1-URGENT', '2-HIGH') AS formal FROM orders GROUP BY 1, 3")
+def index_readiness(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderpriority")).alias("eligibility"))
+    return policies.index_readiness(o, ("1-URGENT", "2-HIGH"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND starts_with(c_name, 'Customer')")
+def chosen_rows(spark: SparkSession, d: str) -> DataFrame:
+    return policies.chosen_rows(table(spark, d, "customer"), {"c_mktsegment": "BUILDING"}, {"c_name": "Customer"}).select("c_custkey")
+
+
+@query(f"""{WITH}, {PERDOC}, e AS (SELECT r.doc, sum(abs(CAST(r.top - p.top AS DOUBLE))) AS err, count(p.top) AS n FROM ref r LEFT JOIN pa p ON r.doc = p.doc AND r.seq = p.seq GROUP BY r.doc), per2 AS (SELECT doc, coalesce(err, 0) AS matched, n AS predicted, 0 AS referred FROM e), {{weights}}, t AS (SELECT rep, sum(matched * w) / sum(predicted * w) AS v FROM drawn GROUP BY rep)
+SELECT count(*) AS repetitions, round(avg(v), 6) AS mean_mae, round(quantile_cont(v, 0.025), 6) AS low_mae, round(quantile_cont(v, 0.975), 6) AS high_mae FROM t""".replace("{weights}", WEIGHTS.replace("FROM per)", "FROM per2)")))
+def bootstrap_mae(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of the mean error over resampled documents."""
+    from strataframe.plans.catalog import paired
+
+    p = paired(spark, d).groupBy("doc").agg(F.coalesce(F.sum(F.abs(F.col("rt") - F.col("pt")).cast("double")), F.lit(0.0)).alias("err"), F.count("pt").alias("n"))
+    s = statistics.resampled_sums(p, ["err", "n"], REPETITIONS)
+    b = statistics.interval(s, F.try_divide("err", "n"), "mae")
+    return b.select("repetitions", *(F.round(c, 6).alias(c) for c in ("mean_mae", "low_mae", "high_mae")))
