@@ -484,3 +484,13 @@ def test_longest_runs_and_clusters(spark):
     assert abs(best[0]["score"] - (8 + 6 + 3 * np.log1p(0.7) + 2 + 2)) < 1e-9
     peaks = spark.createDataFrame([([0.1, 0.9, 0.2, 0.8, 0.1, 0.1, 0.7],)], "v array<double>").select(positions.peaks(F.col("v"), 0.5, 3).alias("p")).first()["p"]
     assert peaks == [1, 6]
+
+
+def test_field_access(spark):
+    from strataframe.operators import policies
+
+    rows = spark.createDataFrame([("a", "borehole.x", "1"), ("a", "intervals[2].y", "2"), ("b", "borehole.x", None), ("c", "other", "9")], "document_id string, field_path string, value string")
+    got = {r["document_id"]: (r["borehole.x"], r["intervals[2].y"]) for r in policies.field_at(rows, ["borehole.x", "intervals[2].y"]).collect()}
+    assert got == {"a": ("1", "2"), "b": (None, None)}
+    told = {r["field"]: (r["records"], r["present"]) for r in policies.presence(rows).collect()}
+    assert told == {"borehole.x": (2, 1), "intervals.y": (1, 1), "other": (1, 1)}
