@@ -288,3 +288,58 @@ def chosen_rows(rows: DataFrame, equal: dict[str, str], prefix: dict[str, str])
     for c, v in prefix.items():
         ok = ok & F.coalesce(F.col(c).startswith(v), F.lit(False))
     return rows.where(ok)
+
+
+def engine_table(rows: DataFrame, doc: str, a: Column, b: Column) -> DataFrame:
+    """doc (null: all), both, only_a, only_b, neither: where two engines agree, per document and over all."""
+    return rows.select(F.col(doc).alias("doc"), F.coalesce(a, F.lit(False)).alias("a"), F.coalesce(b, F.lit(False)).alias("b")).rollup("doc").agg(
+        F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(~F.col("a") & F.col("b")).alias("only_b"), F.count_if(~F.col("a") & ~F.col("b")).alias("neither"),
+    )
+
+
+def certificate(per: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Actions and documents of a group without a wrong action, with upper bounds of both error rates; a group with errors is refused.
+
+    ``per`` has name, actions and errors of each document.
+    """
+    wrong = per.groupBy("name").agg(F.sum("errors").alias("e")).where("e > 0").limit(3).collect()
+    if wrong:
+        raise ValueError(f"groups with errors: {[r['name'] for r in wrong]}")
+    bound = lambda n: F.when(F.col(n) > 0, 1 - F.pow(F.lit(alpha), F.lit(1.0) / F.col(n)))
+    s = per.groupBy("name").agg(F.sum("actions").alias("actions"), F.count_if(F.col("actions") > 0).alias("documents"))
+    return s.withColumns({"action_bound": bound("actions"), "document_bound": bound("documents")})
+
+
+def without_sources(candidates: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
+    """``candidates`` once for every variant, without the sources that it leaves out."""
+    v = F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), F.array(*map(F.lit, out)).cast("array<string>").alias("out")) for n, out in variants.items())))
+    return candidates.withColumn("_v", v).where(~F.array_contains("_v.out", F.col("source"))).withColumn("variant", F.col("_v.variant")).drop("_v")
+
+
+def routed(expert: DataFrame, baseline: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value, route: the expert's value where it has one, else the baseline's."""
+    e = expert.select(F.col(key).alias("e_key"), F.col(value).alias("e_value"))
+    both = baseline.join(e, F.col(key) == F.col("e_key"), "left")
+    return both.select(key, F.coalesce("e_value", value).alias(value), F.when(F.col("e_value").isNotNull(), "expert").otherwise("baseline").alias("route"))
+
+
+def fold_summary(rows: DataFrame, value: str) -> DataFrame:
+    """Mean of a measure over folds, and how many are over 0."""
+    return rows.agg(F.count("*").alias("folds"), F.avg(value).alias("mean"), F.count_if(F.col(value) > 0).alias("positive"), F.min(value).alias("least"))
+
+
+def role_evidence(rows: DataFrame, roles: list[str]) -> DataFrame:
+    """``rows`` (candidates: an array of structs with provenance, an array of texts) with how many have evidence of a role."""
+    wanted = F.array(*map(F.lit, roles))
+    return rows.withColumn("role_evidence", F.size(F.filter("candidates", lambda c: F.arrays_overlap(c["provenance"], wanted))))
+
+
+def dataset_records(answers: DataFrame) -> DataFrame:
+    """doi, title, publisher, year, rights of a metadata service's JSON answers (doc, answer): first titles, sorted distinct rights."""
+    j = F.try_parse_json("answer")
+    text = lambda path: F.try_variant_get(j, path, "string")
+    rights = F.try_variant_get(j, "$.attributes.rightsList", "array<struct<rightsIdentifier: string>>")
+    return answers.select(
+        "doc", F.lower(F.coalesce(text("$.attributes.doi"), text("$.id"), F.lit(""))).alias("doi"), F.coalesce(text("$.attributes.titles[0].title"), F.lit("")).alias("title"), text("$.attributes.publisher").alias("publisher"), F.try_variant_get(j, "$.attributes.publicationYear", "int").alias("year"),
+        F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(rights, F.array().cast("array<struct<rightsIdentifier: string>>")), lambda r: r["rightsIdentifier"]), lambda r: r.isNotNull()))).alias("rights"),
+    )

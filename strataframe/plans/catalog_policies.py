@@ -314,3 +314,53 @@ def bootstrap_mae(spark: SparkSession, d: str) -> DataFrame:
     s = statistics.resampled_sums(p, ["err", "n"], REPETITIONS)
     b = statistics.interval(s, F.try_divide("err", "n"), "mae")
     return b.select("repetitions", *(F.round(c, 6).alias(c) for c in ("mean_mae", "low_mae", "high_mae")))
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS doc, o_orderkey % 3 = 0 AS a, o_orderkey % 4 = 0 AS b FROM orders) SELECT doc, count(*) FILTER (WHERE a AND b) AS "both", count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE NOT a AND b) AS only_b, count(*) FILTER (WHERE NOT a AND NOT b) AS neither FROM t GROUP BY ROLLUP (doc)""")
+def engine_agreement(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return policies.engine_table(table(spark, d, "orders"), "o_orderpriority", k % 3 == 0, k % 4 == 0)
+
+
+@query("""SELECT CAST(c_nationkey AS VARCHAR) AS name, CAST(sum(c_custkey % 4) AS BIGINT) AS actions, count(*) FILTER (WHERE c_custkey % 4 > 0) AS documents, round(1 - pow(0.05, 1.0 / nullif(sum(c_custkey % 4), 0)), 9) AS action_bound, round(1 - pow(0.05, 1.0 / nullif(count(*) FILTER (WHERE c_custkey % 4 > 0), 0)), 9) AS document_bound FROM customer GROUP BY 1""")
+def risk_certificates(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("name"), (F.col("c_custkey") % 4).alias("actions"), F.lit(0).alias("errors"))
+    return policies.certificate(c).withColumns({n: F.round(n, 9) for n in ("action_bound", "document_bound")})
+
+
+@query("""WITH c AS (SELECT o_custkey, concat('s', o_orderkey % 3) AS source FROM orders), v(variant, out_) AS (VALUES ('full', ''), ('minus_a', 's0'), ('minus_b', 's1')) SELECT variant, count(*) AS candidates, count(DISTINCT o_custkey) AS cases FROM c, v WHERE source <> out_ GROUP BY 1""")
+def source_ablation(spark: SparkSession, d: str) -> DataFrame:
+    from strataframe.plans.catalog import candidates
+
+    v = policies.without_sources(candidates(spark, d), {"full": [], "minus_a": ["s0"], "minus_b": ["s1"]})
+    return v.groupBy("variant").agg(F.count("*").alias("candidates"), F.count_distinct("case_id").alias("cases"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal, CASE WHEN s_suppkey % 3 = 0 THEN 'expert' ELSE 'baseline' END AS route FROM supplier")
+def routed_values(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return policies.routed(s.where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 1), s, "s_suppkey", "s_acctbal")
+
+
+@query("WITH f AS (SELECT n_nationkey AS k, avg(s_acctbal) - 4000 AS v FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1) SELECT count(*) AS folds, round(avg(v), 6) AS mean, count(*) FILTER (WHERE v > 0) AS positive, round(min(v), 6) AS least FROM f")
+def fold_summaries(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "supplier").groupBy("s_nationkey").agg((F.avg("s_acctbal") - 4000).alias("v"))
+    return policies.fold_summary(f, "v").select("folds", F.round("mean", 6).alias("mean"), "positive", F.round("least", 6).alias("least"))
+
+
+@query("SELECT o_custkey, count(*) FILTER (WHERE o_orderkey % 3 < 2) AS role_evidence FROM orders GROUP BY 1")
+def role_evidence(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    p = F.array(F.lit("text"), F.element_at(F.array(*map(F.lit, ("graphic_log", "core", "other"))), (k % 3 + 1).cast("int")))
+    c = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(k.alias("id"), p.alias("provenance"))).alias("candidates"))
+    return policies.role_evidence(c, ["graphic_log", "core"]).select("o_custkey", F.col("role_evidence").cast("long").alias("role_evidence"))
+
+
+@query("""SELECT s_suppkey AS doc, concat('10.1/s', s_suppkey) AS doi, CASE WHEN s_suppkey % 3 > 0 THEN concat('Title ', s_suppkey) ELSE '' END AS title, CAST(2000 + s_suppkey % 20 AS INT) AS year, CASE WHEN s_suppkey % 2 = 0 THEN 'cc-by,cc0' ELSE 'cc0' END AS rights FROM supplier""")
+def dataset_records(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    title = F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit('{"title": "Title '), k, F.lit('"}, {"title": "other"}'))).otherwise("")
+    more = F.when(F.col("s_suppkey") % 2 == 0, ', {"rightsIdentifier": "cc-by"}').otherwise(', {"other": 1}')
+    a = F.concat(F.lit('{"id": "x", "attributes": {"doi": "10.1/S'), k, F.lit('", "titles": ['), title, F.lit('], "publicationYear": '), (2000 + F.col("s_suppkey") % 20).cast("string"), F.lit(', "rightsList": [{"rightsIdentifier": "cc0"}, {"rightsIdentifier": "cc0"}'), more, F.lit("]}}"))
+    r = policies.dataset_records(table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc"), a.alias("answer")))
+    return r.select("doc", "doi", "title", "year", F.array_join("rights", ",").alias("rights"))

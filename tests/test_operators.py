@@ -494,3 +494,30 @@ def test_field_access(spark):
     assert got == {"a": ("1", "2"), "b": (None, None)}
     told = {r["field"]: (r["records"], r["present"]) for r in policies.presence(rows).collect()}
     assert told == {"borehole.x": (2, 1), "intervals.y": (1, 1), "other": (1, 1)}
+
+
+def test_logistic_against_gradient_descent(spark):
+    from strataframe.operators import logistic
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(2.0, 3.0, (400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 0.5 * x[:, 1] - 1)))).astype(int)
+    rows = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0, 1.0, 1)], "a double, b double, c double, y int").repartition(4)
+    for balanced in (False, True):
+        model = logistic.fit(rows, ["a", "b", "c"], "y", 0.08, balanced)
+        z = np.concatenate([np.ones((400, 1)), (x - x.mean(0)) / x.std(0)], axis=1)
+        w, c = np.zeros(4), np.where(y == 1, max(1.0, (y == 0).sum() / (y == 1).sum()), 1.0) if balanced else np.ones(400)
+        for _ in range(20_000):
+            g = z.T @ ((1 / (1 + np.exp(-z @ w)) - y) * c) / c.sum()
+            w -= 0.2 * (g + 0.08 * np.array([0, *w[1:]]))
+        assert np.allclose(model.weights, w, atol=1e-6)
+    p = rows.dropna().select(model.probability().alias("p")).toPandas().p
+    assert p.between(0, 1).all()
+    assert logistic.fit(rows.where("y = 1"), ["a"], "y").weights[1] == 0 and logistic.fit(rows.limit(0), ["a"], "y").weights == (0.0, 0.0)
+
+
+def test_certificates_refuse_errors(spark):
+    from strataframe.operators import policies
+
+    with pytest.raises(ValueError):
+        policies.certificate(spark.createDataFrame([("a", 3, 0), ("b", 2, 1)], "name string, actions long, errors long"))
