@@ -56,9 +56,9 @@ def merge_records(rows: DataFrame, key: str, order: str, scalars: list[str], lis
     )
 
 
-def preferred_inventory(inventories: DataFrame, key: str, preferred: str) -> DataFrame:
-    """Of each key the inventory that answered, then has most files, then comes from the preferred source."""
-    rank = F.struct((F.coalesce("http_status", F.lit(0)) == 200).alias("a"), F.coalesce("file_count", F.lit(-1)).alias("b"), F.coalesce(F.col("source") == preferred, F.lit(False)).alias("c"))
+def preferred_inventory(inventories: DataFrame, key: str, preferred: str, order: str) -> DataFrame:
+    """Of each key the inventory that answered, then has most files, then comes from the preferred source, then is first in ``order`` (a number)."""
+    rank = F.struct((F.coalesce("http_status", F.lit(0)) == 200).alias("a"), F.coalesce("file_count", F.lit(-1)).alias("b"), F.coalesce(F.col("source") == preferred, F.lit(False)).alias("c"), (-F.col(order)).alias("d"))
     best = inventories.groupBy(key).agg(F.max_by(F.struct(*[c for c in inventories.columns if c != key]), rank).alias("_b"))
     return best.select(key, "_b.*")
 

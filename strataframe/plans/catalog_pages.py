@@ -281,11 +281,11 @@ def merged_records(spark: SparkSession, d: str) -> DataFrame:
     return manifests.merge_records(o, "o_custkey", "o_orderkey", ["title"], ["formats"]).select("o_custkey", "title", F.array_join("formats", ",").alias("formats"))
 
 
-@query("""SELECT o_custkey, arg_max(o_orderkey, (o_orderkey % 3 = 0, coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey END, -1), o_orderkey % 2 = 0)) AS inventory FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey, arg_max(o_orderkey, (o_orderkey % 3 = 0, coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey END, -1), o_orderkey % 2 = 0, -o_orderkey)) AS inventory FROM orders GROUP BY 1""")
 def preferred_inventories(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    o = table(spark, d, "orders").where("o_orderkey % 5 > 0 or o_orderkey % 5 = 0").select("o_custkey", k.alias("inventory"), F.when(k % 3 == 0, 200).otherwise(404).alias("http_status"), F.when(k % 5 > 0, k).alias("file_count"), F.when(k % 2 == 0, "api").otherwise("page").alias("source"))
-    return manifests.preferred_inventory(o, "o_custkey", "api").select("o_custkey", "inventory")
+    o = table(spark, d, "orders").select("o_custkey", k.alias("inventory"), F.when(k % 3 == 0, 200).otherwise(404).alias("http_status"), F.when(k % 5 > 0, k).alias("file_count"), F.when(k % 2 == 0, "api").otherwise("page").alias("source"))
+    return manifests.preferred_inventory(o, "o_custkey", "api", "inventory").select("o_custkey", "inventory")
 
 
 _GOLD = "gold AS (SELECT DISTINCT doc AS key, CAST(top AS DOUBLE) AS top, CAST(bottom AS DOUBLE) AS bottom, concat('t', pk) AS text FROM ref WHERE pk % 31 > 0 AND pk % 37 > 0)"
