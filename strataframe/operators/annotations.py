@@ -151,3 +151,42 @@ def blinded_tracks(items: DataFrame, tracks: list[str], salt: str) -> DataFrame:
     """Each item once for every track, under a name that tells neither the item nor the track."""
     t = F.explode(F.array(*map(F.lit, tracks)))
     return items.withColumn("track", t).withColumn("blind_id", F.substring(F.sha2(F.concat_ws(":", F.lit(salt), "track", F.col("item").cast("string")).cast("binary"), 256), 1, 16))
+
+
+def revision_faults(revisions: DataFrame, attestations: DataFrame) -> DataFrame:
+    """``revisions`` (annotation_id, annotator_id, role, status, record_sha256, revision, previous) with what is wrong with each.
+
+    A revision of a status a person gives attests its record.  For a double
+    verification another person must have attested the same record, and an
+    expert verification needs an expert.
+    """
+    others = attestations.select(F.col("annotation_id").alias("o_id"), F.col("record_sha256").alias("o_hash"), F.col("annotator_id").alias("o_who"))
+    met = revisions.join(others, (F.col("annotation_id") == F.col("o_id")) & (F.col("record_sha256") == F.col("o_hash")) & (F.col("annotator_id") != F.col("o_who")), "left")
+    seen = met.groupBy(F.col("annotation_id").alias("s_id"), F.col("revision").alias("s_revision")).agg(F.count("o_who").alias("others"))
+    both = revisions.join(seen, (F.col("annotation_id") == F.col("s_id")) & (F.col("revision") == F.col("s_revision")), "left")
+    return both.withColumn("faults", reasons({
+        "UNSUPPORTED_STATUS": ~F.coalesce(F.col("status").isin("auto", *HUMAN_STATUSES), F.lit(False)), "MISSING_ANNOTATOR": F.coalesce(F.trim("annotator_id"), F.lit("")) == "", "REVISION_CONFLICT": F.col("revision") != F.col("previous") + 1,
+        "NEEDS_TWO_ANNOTATORS": (F.col("status") == "double_verified") & (F.coalesce("others", F.lit(0)) < 1), "NEEDS_EXPERT": (F.col("status") == "expert_verified") & ~F.coalesce(F.col("role") == "expert", F.lit(False)),
+    })).drop("s_id", "s_revision", "others")
+
+
+def track_progress(items: DataFrame, done: DataFrame) -> DataFrame:
+    """track, items, verified, open, foreign: how far each track of an assignment is; items nobody gave out are foreign.
+
+    ``items`` has track and item, ``done`` track, item and status.
+    """
+    have = done.groupBy(F.col("track").alias("d_track"), F.col("item").alias("d_item")).agg(F.bool_or(F.col("status").isin(*HUMAN_STATUSES)).alias("ok"))
+    both = items.select("track", "item").distinct().join(have, (F.col("track") == F.col("d_track")) & (F.col("item") == F.col("d_item")), "full_outer")
+    ok = F.coalesce("ok", F.lit(False))
+    return both.groupBy(F.coalesce("track", "d_track").alias("track")).agg(F.count("item").alias("items"), F.count_if(F.col("item").isNotNull() & ok).alias("verified"), F.count_if(F.col("item").isNotNull() & ~ok).alias("open"), F.count_if(F.col("item").isNull()).alias("foreign"))
+
+
+def compare_tracks(first: DataFrame, second: DataFrame, fields: list[str]) -> DataFrame:
+    """item, field, first, second of fields in which two tracks of different people differ; a person in both is refused.
+
+    Each side has item, annotator_id and the fields.
+    """
+    if not first.select("annotator_id").distinct().join(second.select("annotator_id").distinct(), "annotator_id", "left_semi").isEmpty():
+        raise ValueError("somebody annotated in both tracks")
+    side = lambda df, n: df.select("item", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias(n)) for f in fields))))
+    return side(first, "first").join(side(second, "second"), ["item", "field"]).where(~F.col("first").eqNullSafe(F.col("second")))

@@ -8,6 +8,7 @@ kind: text or number, value, raw).  A table that isn't there has no cases.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from decimal import Decimal
@@ -166,3 +167,11 @@ def evaluate(tables: Tables, constraints_: list[Constraint] | None = None) -> Da
     if out is None:
         raise ValueError("no constraint has a table to look at")
     return out.withColumns({"score": constraints.score(F.col("evaluated"), F.col("violations")), "status": constraints.status(F.col("evaluated"), F.col("violations"))})
+
+
+def load_config(text: str) -> list[Constraint]:
+    """The constraints of a configuration told in JSON."""
+    config = json.loads(text)
+    if not isinstance(config, dict):
+        raise ValueError("the configuration must be a mapping")
+    return engine(config)

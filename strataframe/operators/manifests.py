@@ -119,3 +119,32 @@ def statuses(text: Column, rules: list[tuple[str, str]], other: str) -> Column:
     for words, name in reversed(rules):
         out = F.when(F.contains(F.lower(text), F.lit(words)), name).otherwise(out)
     return out
+
+
+def told_numbers(texts: DataFrame, checks: list[tuple[str, str, int]], sources: DataFrame) -> DataFrame:
+    """check, text, observed, expected, passed: numbers that texts tell against those of a source.
+
+    A check is a name, a pattern whose first group is the number and the
+    decimals to which it is told; ``texts`` has text_id and text, ``sources``
+    check and value.  A pattern that doesn't match once fails.
+    """
+    parts = F.array(*(F.struct(F.lit(n).alias("check"), F.regexp_extract_all("text", F.lit(p), 1).alias("hits"), F.lit(d).alias("decimals")) for n, p, d in checks))
+    told = texts.select("text_id", F.inline(parts))
+    both = told.join(F.broadcast(sources.select(F.col("check").alias("s_check"), F.col("value").cast("double").alias("value"))), F.col("check") == F.col("s_check"), "left")
+    one = F.when(F.size("hits") == 1, F.get("hits", F.lit(0)).try_cast("double"))
+    scale = F.pow(F.lit(10.0), F.col("decimals"))
+    same = F.coalesce(F.bround(F.col("value") * scale, 0) / scale == one, F.lit(False))
+    return both.select("check", "text_id", one.alias("observed"), F.col("value").alias("expected"), same.alias("passed"))
+
+
+def table_assertions(rows: DataFrame, expected_rows: int, distinct: dict[str, int]) -> DataFrame:
+    """assertion, observed, expected, passed of a table's number of rows and of distinct values of columns."""
+    one = rows.agg(F.count("*").alias("n"), *(F.count_distinct(c).alias(f"d_{c}") for c in distinct))
+    parts = [("rows", F.col("n"), expected_rows), *((f"distinct:{c}", F.col(f"d_{c}"), n) for c, n in distinct.items())]
+    long = one.select(F.inline(F.array(*(F.struct(F.lit(a).alias("assertion"), o.alias("observed"), F.lit(e).cast("long").alias("expected")) for a, o, e in parts))))
+    return long.withColumn("passed", F.col("observed") == F.col("expected"))
+
+
+def same_content(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """content_sha256, n, first of contents that more than one row has (text or binary)."""
+    return rows.groupBy(F.sha2(F.col(content).cast("binary"), 256).alias("content_sha256")).agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")

@@ -25,10 +25,11 @@ def f1(precision: Column, recall: Column) -> Column:
 def band_pairs(reference: DataFrame, prediction: DataFrame, tolerance: str) -> DataFrame:
     """Pairs of one document whose tops and bottoms both lie within the tolerance (inclusive)."""
     tol = F.lit(Decimal(tolerance))
-    # Depths meet by cells of the tolerance's width, so a document's intervals aren't all held against each other.
-    width = float(tolerance) * 1.01 or 0.01
-    cell = lambda c: F.floor(F.col(c).cast("double") / width)
-    p = prediction.select(F.col("doc").alias("p_doc"), F.col("seq").alias("p_seq"), F.col("top").alias("p_top"), F.col("bottom").alias("p_bottom"), F.explode(F.sequence(cell("top") - 1, cell("top") + 1)).alias("p_cell"))
+    # Depths meet by cells, so a document's intervals aren't all held against each other; a prediction that lies
+    # within the tolerance of a cell's edge is in both cells.
+    reach = float(tolerance) * 1.001 + 1e-9
+    cell = lambda c, by=0.0: F.floor((F.col(c).cast("double") + by) / max(20 * reach, 0.5))
+    p = prediction.select(F.col("doc").alias("p_doc"), F.col("seq").alias("p_seq"), F.col("top").alias("p_top"), F.col("bottom").alias("p_bottom"), F.explode(F.array_distinct(F.array(cell("top", -reach), cell("top", reach)))).alias("p_cell"))
     near = (F.col("doc") == F.col("p_doc")) & (cell("top") == F.col("p_cell")) & (F.abs(F.col("top") - F.col("p_top")) <= tol) & (F.abs(F.col("bottom") - F.col("p_bottom")) <= tol)
     return reference.join(p, near).select("doc", F.col("seq").alias("r_seq"), "p_seq", (F.abs(F.col("top") - F.col("p_top"))).alias("top_error"), (F.abs(F.col("bottom") - F.col("p_bottom"))).alias("bottom_error"))
 

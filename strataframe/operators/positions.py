@@ -253,3 +253,48 @@ def peaks(values: Column, threshold: float, separation: int) -> Column:
     ranked = F.reverse(F.array_sort(high))
     kept = F.aggregate(ranked, F.array().cast("array<int>"), lambda acc, p: F.when(F.exists(acc, lambda k: F.abs(k + p["i"]) < separation), acc).otherwise(F.concat(acc, F.array(-p["i"]))))
     return F.array_sort(kept)
+
+
+#: Words of the headings of printed depth columns, the first that fits first.
+COLUMN_HEADINGS = (
+    ("cumulative_depth", r"(?i)depth\s*interval|teufen?intervall|intervalle?\s+de\s+profondeur|\bmetres?\b|\bmeter\b|\btiefe\b|\bteufe\b|\bprofondeur\b"),
+    ("thickness", r"(?i)\bthickness\b|\bm(?:ä|ae)chtigkeit\b|\b(?:é|e)paisseur\b"),
+)
+
+
+def block_headings(words: DataFrame) -> DataFrame:
+    """page, block, role, x, text: blocks of words (page, block, line, x, text) that name a column, a row for each role."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "x", "text"))), lambda w: w["text"]), " ")
+    per = words.groupBy("page", "block").agg(text.alias("text"), F.avg("x").alias("x"))
+    roles = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), r) for r, p in COLUMN_HEADINGS)))
+    return per.select("page", "block", F.explode(roles).alias("role"), "x", "text")
+
+
+def surface_depth_column(rows: DataFrame) -> DataFrame:
+    """page, x0, y0, x1, y1 in pixels of the column under a heading of ``depth`` beside ``surface``; none without both.
+
+    ``rows`` has page, width, height, x, y (centres), bottom, text, confidence.
+    The surest pair within 0.12 of the width and 0.08 of the height counts.
+    """
+    named = lambda w: rows.where(F.col("text").rlike(rf"(?i)\b{w}\b"))
+    right = named("surface").select(F.col("page").alias("r_page"), F.col("x").alias("r_x"), F.col("y").alias("r_y"), F.col("bottom").alias("r_bottom"), F.coalesce("confidence", F.lit(0.0)).alias("r_c"))
+    near = (F.col("page") == F.col("r_page")) & (F.abs(F.col("x") - F.col("r_x")) <= F.col("width") * 0.12) & (F.abs(F.col("y") - F.col("r_y")) <= F.col("height") * 0.08)
+    pairs = named("depth").join(right, near)
+    sure = F.struct((F.coalesce("confidence", F.lit(0.0)) + F.col("r_c")).alias("c"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))
+    best = pairs.groupBy("page", "width", "height").agg(F.max_by(F.struct(((F.col("x") + F.col("r_x")) / 2).alias("centre"), F.greatest("bottom", "r_bottom").alias("below")), sure).alias("b"))
+    whole = lambda c: F.floor(c).cast("int")
+    box = best.select(
+        "page", F.greatest(F.lit(0), whole(F.col("b.centre") - F.col("width") * 0.115)).alias("x0"), F.greatest(F.lit(0), whole(F.col("b.below") + F.col("height") * 0.02)).alias("y0"),
+        F.least(F.col("width").cast("int"), whole(F.col("b.centre") + F.col("width") * 0.115)).alias("x1"), F.least(F.col("height").cast("int"), whole(F.col("height") * 0.96)).alias("y1"),
+    )
+    return box.where("x1 > x0 and y1 > y0")
+
+
+def to_pixels(box: list[Column], matrix: list[Column], clip: list[Column], width: Column, height: Column) -> list[Column]:
+    """A box in a page's points through its rotation matrix (a, b, c, d, e, f) into the pixels of a clipped rendering."""
+    a, b, c, d, e, f = matrix
+    corner = lambda x, y: (a * x + c * y + e, b * x + d * y + f)
+    (x0, y0), (x1, y1) = corner(box[0], box[1]), corner(box[2], box[3])
+    sx, sy = width / (clip[2] - clip[0]), height / (clip[3] - clip[1])
+    turned = [(F.least(x0, x1) - clip[0]) * sx, (F.least(y0, y1) - clip[1]) * sy, (F.greatest(x0, x1) - clip[0]) * sx, (F.greatest(y0, y1) - clip[1]) * sy]
+    return [F.greatest(F.lit(0.0), v) for v in turned]

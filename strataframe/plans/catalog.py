@@ -425,7 +425,7 @@ def per_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Resampled documents: how often a document is drawn in a repetition.
-REPETITIONS = 200
+REPETITIONS = 2000
 WEIGHTS = (
     f"s0 AS (SELECT *, CAST(doc % 4294967296 AS BIGINT) AS h0 FROM per), s1 AS (SELECT *, xor(h0 >> 16, h0) * 73244475 % 4294967296 AS h1 FROM s0), s2 AS (SELECT *, xor(h1 >> 16, h1) * 73244475 % 4294967296 AS h2 FROM s1),"
     f"s3 AS (SELECT *, xor(h2 >> 16, h2) AS h3 FROM s2), k0 AS (SELECT s3.*, rep, (h3 + rep * 2654435761) % 4294967296 AS g0 FROM s3, range({REPETITIONS}) r(rep)), k1 AS (SELECT *, xor(g0 >> 16, g0) * 73244475 % 4294967296 AS g1 FROM k0),"

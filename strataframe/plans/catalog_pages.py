@@ -359,3 +359,82 @@ def feature_systems(spark: SparkSession, d: str) -> DataFrame:
 def project_ready(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "customer").agg(F.every(F.col("c_custkey") > 0).alias("customers_ok"))
     return readiness.all_gates(a.join(table(spark, d, "orders").agg((F.count("*") > 0).alias("orders_ok"))))
+
+
+@query("""SELECT c_custkey AS annotation_id, array_to_string(list_filter([CASE WHEN c_custkey % 6 = 5 THEN 'UNSUPPORTED_STATUS' END, CASE WHEN c_custkey % 7 = 0 THEN 'REVISION_CONFLICT' END, CASE WHEN c_custkey % 6 = 2 AND c_custkey % 5 = 0 THEN 'NEEDS_TWO_ANNOTATORS' END, CASE WHEN c_custkey % 6 = 3 AND c_custkey % 4 > 0 THEN 'NEEDS_EXPERT' END], lambda x: x IS NOT NULL), ';') AS faults FROM customer""")
+def revision_faults(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    status = F.element_at(F.array(*map(F.lit, ("auto", "single_verified", "double_verified", "expert_verified", "auto", "other"))), (k % 6 + 1).cast("int"))
+    c = table(spark, d, "customer")
+    revisions = c.select(k.alias("annotation_id"), F.lit("a").alias("annotator_id"), F.when(k % 4 == 0, "expert").otherwise("reviewer").alias("role"), status.alias("status"), F.lit("h").alias("record_sha256"), F.when(k % 7 == 0, 5).otherwise(2).alias("revision"), F.lit(1).alias("previous"))
+    earlier = c.select(k.alias("annotation_id"), F.when(k % 5 == 0, "a").otherwise("b").alias("annotator_id"), F.lit("h").alias("record_sha256"))
+    return annotations.revision_faults(revisions, earlier).select("annotation_id", F.array_join("faults", ";").alias("faults"))
+
+
+@query("""WITH i AS (SELECT DISTINCT concat('t', o_orderkey % 3) AS track, o_custkey AS item FROM orders), d AS (SELECT concat('t', o_orderkey % 3) AS track, o_custkey AS item, bool_or(o_orderkey % 2 = 0) AS ok FROM orders WHERE o_orderkey % 5 > 0 GROUP BY ALL UNION ALL SELECT 't0', -1, true)
+SELECT coalesce(i.track, d.track) AS track, count(i.item) AS items, count(*) FILTER (WHERE i.item IS NOT NULL AND ok) AS verified, count(*) FILTER (WHERE i.item IS NOT NULL AND NOT coalesce(ok, false)) AS "open", count(*) FILTER (WHERE i.item IS NULL) AS "foreign" FROM i FULL JOIN d ON i.track = d.track AND i.item = d.item GROUP BY 1""")
+def track_progress(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").withColumn("track", F.concat(F.lit("t"), (k % 3).cast("string")))
+    done = o.where("o_orderkey % 5 > 0").select("track", F.col("o_custkey").alias("item"), F.when(k % 2 == 0, "single_verified").otherwise("auto").alias("status"))
+    extra = spark.createDataFrame([("t0", -1, "single_verified")], "track string, item long, status string")
+    return annotations.track_progress(o.select("track", F.col("o_custkey").alias("item")), done.select("track", F.col("item").cast("long").alias("item"), "status").unionByName(extra))
+
+
+@query("SELECT s_suppkey AS item, 'depth' AS field, CAST(s_nationkey AS VARCHAR) AS \"first\", CAST(s_nationkey + 1 AS VARCHAR) AS \"second\" FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'name', s_name, NULL FROM supplier WHERE s_suppkey % 4 = 0")
+def track_differences(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("int")
+    s = table(spark, d, "supplier")
+    a = s.select(k.alias("item"), F.lit("a").alias("annotator_id"), n.alias("depth"), F.col("s_name").alias("name"))
+    b = s.select(k.alias("item"), F.lit("b").alias("annotator_id"), F.when(k % 3 == 0, n + 1).otherwise(n).alias("depth"), F.when(k % 4 != 0, F.col("s_name")).alias("name"))
+    return annotations.compare_tracks(a, b, ["depth", "name"])
+
+
+_PLACES = ("Tiefe in", "Mächtigkeit", "depth interval", "no heading", "épaisseur et profondeur")
+
+
+@query("""WITH w AS (SELECT p_partkey % 30 AS page, p_partkey % 150 AS block, p_partkey * 7 % 100 / 100 AS x, p_partkey % 5 AS k FROM part), b AS (SELECT page, block, min(k) AS k, avg(x) AS x FROM w GROUP BY ALL), r AS (SELECT page, block, x, unnest(CASE k WHEN 0 THEN ['cumulative_depth'] WHEN 1 THEN ['thickness'] WHEN 2 THEN ['cumulative_depth'] WHEN 4 THEN ['cumulative_depth', 'thickness'] ELSE [] END) AS role FROM b)
+SELECT page, block, role, round(x, 6) AS x FROM r""")
+def block_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of a word each, or several of one kind."""
+    k = F.col("p_partkey")
+    w = table(spark, d, "part").select((k % 30).alias("page"), (k % 150).alias("block"), k.alias("line"), (k * 7 % 100 / 100).alias("x"), F.element_at(F.array(*map(F.lit, _PLACES)), (k % 5 + 1).cast("int")).alias("text"))
+    return positions.block_headings(w).select("page", "block", "role", F.round("x", 6).alias("x"))
+
+
+@query("""SELECT s_suppkey AS page, CAST(greatest(0, floor(500 + s_suppkey % 100 - 230)) AS INT) AS x0, CAST(floor(120 + 60) AS INT) AS y0, CAST(least(2000, floor(500 + s_suppkey % 100 + 230)) AS INT) AS x1, 2880 AS y1 FROM supplier WHERE s_suppkey % 5 > 0 AND s_suppkey % 7 > 0""")
+def surface_depth_columns(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    s = table(spark, d, "supplier")
+    row = lambda x, y, bottom, text, c: s.select(k.alias("page"), F.lit(2000).alias("width"), F.lit(3000).alias("height"), x.cast("double").alias("x"), F.lit(float(y)).alias("y"), F.lit(float(bottom)).alias("bottom"), text.alias("text"), F.lit(c).alias("confidence"))
+    depth = row(F.lit(480) + k % 100, 90, 100, F.when(k % 7 > 0, "Depth from").otherwise("Time"), 0.9)
+    surface = row(F.lit(520) + k % 100, 110, 120, F.when(k % 5 > 0, "SURFACE").otherwise("sea"), 0.8)
+    far = row(F.lit(1900) + k % 50, 100, 130, F.lit("surface"), 0.99)
+    return positions.surface_depth_column(depth.unionByName(surface).unionByName(far))
+
+
+@query("SELECT s_suppkey, (800.0 - 300 - s_suppkey % 10 - 50) * 2 AS x0, (20.0 - 10) * 3 AS y0, (800.0 - 100 - 50) * 2 AS x1, greatest(0.0, (s_suppkey % 40 - 10) * 3.0) AS y1 FROM supplier WHERE s_suppkey % 40 >= 20")
+def boxes_in_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of a page turned by a quarter, in the pixels of a clipped rendering."""
+    k = F.col("s_suppkey")
+    lit = lambda *v: [F.lit(float(x)) for x in v]
+    box = [F.lit(20.0), F.lit(100.0), (k % 40).cast("double"), (300 + k % 10).cast("double")]
+    px = positions.to_pixels(box, lit(0, 1, -1, 0, 800, 0), lit(50, 10, 850, 610), F.lit(1600.0), F.lit(1800.0))
+    return table(spark, d, "supplier").where("s_suppkey % 40 >= 20").select("s_suppkey", *(c.alias(n) for c, n in zip(px, ("x0", "y0", "x1", "y1"), strict=True)))
+
+
+@query("""SELECT 'share' AS "check", s_suppkey AS text_id, CASE WHEN s_suppkey % 4 > 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 0.13 ELSE 0.12 END END AS observed, 0.125 AS expected, s_suppkey % 4 > 0 AND s_suppkey % 3 > 0 AS passed FROM supplier""")
+def told_numbers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("a share of "), F.when(k % 3 == 0, "0.13").otherwise("0.12"), F.when(k % 4 == 0, " or a share of 0.2").otherwise(""))
+    return manifests.told_numbers(table(spark, d, "supplier").select(k.alias("text_id"), text.alias("text")), [("share", r"share of ([0-9.]+)", 2)], spark.createDataFrame([("share", 0.125)], "check string, value double"))
+
+
+@query("SELECT 'rows' AS assertion, (SELECT count(*) FROM nation) AS observed, CAST(25 AS BIGINT) AS expected, (SELECT count(*) FROM nation) = 25 AS passed UNION ALL SELECT 'distinct:n_regionkey', (SELECT count(DISTINCT n_regionkey) FROM nation), 4, (SELECT count(DISTINCT n_regionkey) FROM nation) = 4")
+def table_assertions(spark: SparkSession, d: str) -> DataFrame:
+    return manifests.table_assertions(table(spark, d, "nation"), 25, {"n_regionkey": 4})
+
+
+@query("SELECT sha256(text) AS content_sha256, count(*) AS n, min(doc_id) AS \"first\" FROM documents GROUP BY 1 HAVING count(*) > 1")
+def same_content(spark: SparkSession, d: str) -> DataFrame:
+    return manifests.same_content(table(spark, d, "documents"), "doc_id", "text")

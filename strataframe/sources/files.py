@@ -110,3 +110,13 @@ def surface_grid(xs: list[float], ys: list[float]) -> tuple[list[tuple[int, floa
     places = [(j * len(xs) + i, x, y) for j, y in enumerate(ys) for i, x in enumerate(xs)]
     corners = [j * len(xs) + i for j in range(len(ys) - 1) for i in range(len(xs) - 1)]
     return places, [t for c in corners for t in ((c, c + 1, c + len(xs)), (c + 1, c + len(xs) + 1, c + len(xs)))]
+
+
+def read_word_table(spark: SparkSession, path: str) -> DataFrame:
+    """Words of a recogniser's TSV: page, line (of its block and paragraph), box, text and confidence; rows without a word are left out."""
+    t = spark.read.option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    n = lambda c: F.col(c).try_cast("double")
+    words = t.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return words.select(
+        n("page_num").cast("int").alias("page"), F.concat_ws("/", "block_num", "par_num", "line_num").alias("line"), n("left").alias("x0"), n("top").alias("y0"), (n("left") + n("width")).alias("x1"), (n("top") + n("height")).alias("y1"), "text", n("conf").alias("confidence"),
+    )

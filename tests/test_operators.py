@@ -521,3 +521,22 @@ def test_certificates_refuse_errors(spark):
 
     with pytest.raises(ValueError):
         policies.certificate(spark.createDataFrame([("a", 3, 0), ("b", 2, 1)], "name string, actions long, errors long"))
+
+
+def test_word_table(spark, tmp_path):
+    from strataframe.operators import layout
+    from strataframe.sources import files
+
+    (tmp_path / "w.tsv").write_text('level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n5\t1\t1\t1\t1\t1\t10\t20\t30\t8\t90\tTo"p\n5\t1\t1\t1\t1\t2\t50\t21\t20\t8\t80\tclay\n4\t1\t1\t1\t2\t0\t0\t0\t9\t9\t-1\t\n5\t1\t1\t1\t2\t1\t5\t40\t9\t9\t-1\tx\n')
+    lines = {r["line"]: r for r in layout.lines_of_words(files.read_word_table(spark, str(tmp_path / "w.tsv"))).collect()}
+    assert len(lines) == 2 and lines["1/1/1"]["text"] == 'To"p clay' and (lines["1/1/1"]["x0"], lines["1/1/1"]["x1"]) == (10, 70) and abs(lines["1/1/1"]["confidence"] - 0.85) < 1e-9 and lines["1/1/2"]["confidence"] is None
+
+
+def test_configuration_of_text(spark):
+    import json
+
+    from strataframe.operators import engine
+
+    assert len(engine.load_config(json.dumps(engine.default_config()))) == 10
+    with pytest.raises(ValueError):
+        engine.load_config("[1]")
