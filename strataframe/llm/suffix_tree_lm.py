@@ -39,8 +39,6 @@ from strataframe.llm._text import HashIndex, Tally, Texts, mix, segment_sums, sl
 ENTRY = 1e-6
 #: Least counts of a context, and of a listed token after it.
 LEAST_CONTEXT, LEAST_ENTRY = 10, 3
-#: Depths at which texts without a context that deep are put aside; bears on the work alone.
-NARROWED = (3, 6, 12, 24, 48, 96)
 #: Bits of the filter that spares the shuffles most keys they don't need; any key it lets through is judged by a join.
 FILTER_BITS = 27
 #: Taken from each listed count for tokens that aren't listed.
@@ -269,23 +267,6 @@ class Filter:
         return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _still_followed(train: DataFrame, d: int, filters) -> DataFrame:
-    """The texts that have a tried context of depth ``d``; no other one has a deeper context."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tried, open_, _ = filters.value
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for at, to, texts in slices(batch.column(0)):
-                keys, first = tokens(texts)
-                found = next(islice(context_keys(keys, first, tried, open_), d - 1, None), None)
-                if found is not None:
-                    keep[at + np.unique(np.searchsorted(first, found[0], "right") - 1)] = True
-            yield batch.filter(pa.array(keep))
-
-    return train.mapInArrow(run, "text string")
-
-
 def _pairs(train: DataFrame, d: int, filters) -> DataFrame:
     """key, ctx, below, n of the pairs of a context of depth ``d`` and a next token seen often enough."""
 
@@ -332,8 +313,6 @@ def learn(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int | None
         d += 1
         known.add(contexts.select(F.col("ctx").alias("key")))
         filters = sc.broadcast((known, open_, Filter(below)))
-        if d in NARROWED:
-            train = materialize(_still_followed(train, d, filters), f"suffix-tree-texts-{d}")
         listed = _pairs(train, d, filters).join(contexts, "ctx").join(below.select(F.col("key").alias("below"), F.col("p").alias("q")), "below")
         listed = materialize(listed.select("key", "ctx", "below", "n", "total", ((F.col("n") - DISCOUNT) / F.col("total")).alias("p"), "q"), f"suffix-tree-listed-{d}")
         filters.destroy()
