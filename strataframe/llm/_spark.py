@@ -8,12 +8,12 @@ cuts the lineage, which ``localCheckpoint`` would not.
 
 from __future__ import annotations
 
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataframe.operators._workers import ship_package  # noqa: F401  (the operators take it from here)
+
 #: Used only by a local session that names no shared folder (tests).
 LOCAL_DIR = "/tmp/checkpoints"
 #: Bytes of an Arrow batch after which it is handed on.
@@ -65,7 +65,10 @@ def discard(spark: SparkSession) -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches small, in rows and in bytes: texts can be very long."""
+    """Keep Arrow batches small, in rows and in bytes: texts can be very long.
+
+    The session keeps the setting, as results are lazy and need it later.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
@@ -74,14 +77,3 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers on this host import the package from where it lies.
-
-    On a cluster the package is given to executors as usual (``--py-files``).
-    """
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))

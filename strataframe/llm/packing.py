@@ -176,7 +176,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     and offset (gapless from 0 in its sequence).  A null or empty text is its
     end id alone; repeated rows are packed each; a null key stays null; other
     columns are ignored; an empty table gives no pieces.  Sequence ids are
-    unique over all tasks; a task run again gives the same ones.
+    unique over all tasks.  Equal remainders are placed in the order in which
+    a task reads them, so a task that runs again gives the same sequences if
+    it reads the same rows in the same order, as it does from files; from
+    other sources write ``docs`` first.
     """
     spark = docs.sparkSession
     ship_package(spark)
