@@ -182,7 +182,7 @@ def injected_errors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{WITH}, {_REC}, c AS (SELECT doc, unnest(range(1, len(d) + 1)) AS i, d FROM rec), f AS (SELECT doc, i, d[i] - 0.5 > CASE WHEN i = 1 THEN 0 ELSE d[i - 1] END AS up, i = len(d) OR d[i] + 0.5 < d[i + 1] AS down, concat(doc, '/', i - 1) AS k FROM c),
 g AS (SELECT *, ('0x' || substr(sha256('7:pick:' || k), 1, 8))::BIGINT AS h, (('0x' || substr(sha256('7:side:' || k), 1, 8))::BIGINT) / 4294967296.0 AS u FROM f WHERE up OR down), p AS (SELECT * FROM g ORDER BY h, k LIMIT (SELECT CAST(round_even(count(*) * 0.1, 0) AS BIGINT) FROM g))
-SELECT doc, count(*) AS moved, round(sum(CASE WHEN up AND down THEN CASE WHEN u < 0.5 THEN -0.5 ELSE 0.5 END WHEN up THEN -0.5 ELSE 0.5 END), 4) AS shift FROM p GROUP BY doc""")
+SELECT doc, count(*) AS moved, round(CAST(sum(CASE WHEN up AND down THEN CASE WHEN u < 0.5 THEN -0.5 ELSE 0.5 END WHEN up THEN -0.5 ELSE 0.5 END) AS DOUBLE), 4) AS shift FROM p GROUP BY doc""")
 def shifted_boundaries(spark: SparkSession, d: str) -> DataFrame:
     """A tenth of the boundaries that have room, half a metre up or down."""
     r = _records(spark, d)

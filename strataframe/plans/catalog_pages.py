@@ -413,7 +413,7 @@ def surface_depth_columns(spark: SparkSession, d: str) -> DataFrame:
     return positions.surface_depth_column(depth.unionByName(surface).unionByName(far))
 
 
-@query("SELECT s_suppkey, (800.0 - 300 - s_suppkey % 10 - 50) * 2 AS x0, (20.0 - 10) * 3 AS y0, (800.0 - 100 - 50) * 2 AS x1, greatest(0.0, (s_suppkey % 40 - 10) * 3.0) AS y1 FROM supplier WHERE s_suppkey % 40 >= 20")
+@query("SELECT s_suppkey, CAST((800 - 300 - s_suppkey % 10 - 50) * 2 AS DOUBLE) AS x0, CAST((20 - 10) * 3 AS DOUBLE) AS y0, CAST((800 - 100 - 50) * 2 AS DOUBLE) AS x1, CAST(greatest(0, (s_suppkey % 40 - 10) * 3) AS DOUBLE) AS y1 FROM supplier WHERE s_suppkey % 40 >= 20")
 def boxes_in_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of a page turned by a quarter, in the pixels of a clipped rendering."""
     k = F.col("s_suppkey")
@@ -423,7 +423,7 @@ def boxes_in_pixels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").where("s_suppkey % 40 >= 20").select("s_suppkey", *(c.alias(n) for c, n in zip(px, ("x0", "y0", "x1", "y1"), strict=True)))
 
 
-@query("""SELECT 'share' AS "check", s_suppkey AS text_id, CASE WHEN s_suppkey % 4 > 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 0.13 ELSE 0.12 END END AS observed, 0.125 AS expected, s_suppkey % 4 > 0 AND s_suppkey % 3 > 0 AS passed FROM supplier""")
+@query("""SELECT 'share' AS "check", s_suppkey AS text_id, CAST(CASE WHEN s_suppkey % 4 > 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 0.13 ELSE 0.12 END END AS DOUBLE) AS observed, CAST(0.125 AS DOUBLE) AS expected, s_suppkey % 4 > 0 AND s_suppkey % 3 > 0 AS passed FROM supplier""")
 def told_numbers(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     text = F.concat(F.lit("a share of "), F.when(k % 3 == 0, "0.13").otherwise("0.12"), F.when(k % 4 == 0, " or a share of 0.2").otherwise(""))

@@ -160,7 +160,7 @@ def monotonic_decode(spark: SparkSession, d: str) -> DataFrame:
     return sequences.select_sequence(_paths(spark, d), sequences.monotonic_edge).groupBy("doc").agg(F.round(F.max("path_score"), 6).alias("score"))
 
 
-@query(f"WITH RECURSIVE {BASE_SQL}, {DECODE.replace('0.0005', '0.05')} SELECT 0.05 AS penalty, count(*) AS documents, round(avg(list_max(best)), 5) AS mean_score FROM dp WHERE i = len(c)")
+@query(f"WITH RECURSIVE {BASE_SQL}, {DECODE.replace('0.0005', '0.05')} SELECT CAST(0.05 AS DOUBLE) AS penalty, count(*) AS documents, round(avg(list_max(best)), 5) AS mean_score FROM dp WHERE i = len(c)")
 def start_penalty_scores(spark: SparkSession, d: str) -> DataFrame:
     """Mean objective where a deep start costs a hundred times as much."""
     s = sequences.select_sequence(_paths(spark, d), start_penalty=0.05).groupBy("doc").agg(F.max("path_score").alias("s"))
@@ -169,7 +169,7 @@ def start_penalty_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def _protocol_sql(m: float, rep: int) -> str:
     moved = f"(SELECT x, y, z + CASE WHEN (('0x' || substr(sha256('{rep}:side:' || id), 1, 8))::BIGINT) / 4294967296.0 < 0.5 THEN -{m} ELSE {m} END AS z FROM pts)"
-    return f"SELECT {m} AS magnitude, {rep} AS rep, avg(abs(b.z - a.z)) AS mae FROM ({IDW.format(q='q', p='pts')}) a JOIN ({IDW.format(q='q', p=moved)}) b USING (qid)"
+    return f"SELECT CAST({m} AS DOUBLE) AS magnitude, {rep} AS rep, avg(abs(b.z - a.z)) AS mae FROM ({IDW.format(q='q', p='pts')}) a JOIN ({IDW.format(q='q', p=moved)}) b USING (qid)"
 
 
 @query(f"WITH {QP}, pts AS (SELECT s_suppkey AS id, CAST((s_suppkey * 37) % 101 AS DOUBLE) AS x, CAST((s_suppkey * 53) % 97 AS DOUBLE) AS y, s_acctbal AS z FROM supplier), r AS (" + " UNION ALL ".join(_protocol_sql(m, rep) for m in (0.5, 2.0) for rep in (1, 2, 3)) + ") SELECT magnitude, count(*) AS n, round(avg(mae), 6) AS mean, round(stddev_samp(mae), 6) AS deviation FROM r GROUP BY 1")
@@ -262,7 +262,7 @@ def signatures(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(policies.signature([F.col("o_orderstatus"), F.when(k != 0, k)]).alias("signature")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS valid, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 3 END AS invalid, round((o_orderkey % 9 + 3) * 0.3048 + CASE WHEN o_orderkey % 2 = 0 THEN 2.5 * 0.3048 ELSE 0 END, 6) AS depth FROM orders""")
+@query("""SELECT o_orderkey AS doc, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS valid, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 3 END AS BIGINT) AS invalid, round(CAST((o_orderkey % 9 + 3) * 0.3048 + CASE WHEN o_orderkey % 2 = 0 THEN 2.5 * 0.3048 ELSE 0 END AS DOUBLE), 6) AS depth FROM orders""")
 def json_interval_counts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     p = F.concat(F.lit('{"intervals": [{"top_depth_source": 0, "bottom_depth_source": '), (k % 9 + 3).cast("string"), F.lit("}, {\"top_depth_source\": 1, \"bottom_depth_source\": "), F.when(k % 2 == 0, "2.5").otherwise('"2.5"'), F.lit('}, {"top_depth_source": true, "bottom_depth_source": 3}, 5]}'))
