@@ -78,27 +78,44 @@ def engine(config: Mapping[str, Any]) -> list[Constraint]:
     return out
 
 
-def _of_intervals(check: str, *more: str) -> Callable[[Mapping[str, Any]], Callable[[Tables], DataFrame | None]]:
+def _of_intervals(*checks: str) -> Callable[[Mapping[str, Any]], Callable[[Tables], DataFrame | None]]:
     def make(c: Mapping[str, Any]) -> Callable[[Tables], DataFrame | None]:
         tolerance = Decimal(str(c.get("tolerance_m", "0.05")))
         if tolerance < 0:
             raise ValueError("a tolerance must not be negative")
+        return IntervalCount(checks, tolerance)
 
-        def count(tables: Tables) -> DataFrame | None:
-            if "intervals" not in tables:
-                return None
-            rows = constraints.with_neighbours(tables["intervals"])
-            finals = tables.get("boreholes")
-            rows = rows.join(finals.select(F.col("doc").alias("f_doc"), "final_depth"), F.col("doc") == F.col("f_doc"), "left") if finals is not None else rows.withColumn("final_depth", F.lit(None).cast("decimal(12,2)"))
-            checks = constraints.interval_checks(tolerance)
-            looked, violated = checks[check]
-            for other in more:
-                violated = F.coalesce(violated, F.lit(False)) | F.coalesce(checks[other][1], F.lit(False))
-            return _sums(rows, looked, looked & violated)
+    return make
 
-        return count
 
-    return make
+@dataclass(frozen=True)
+class IntervalCount:
+    """A constraint on neighbouring intervals: looked at where the first check is, violated where any is."""
+
+    checks: tuple[str, ...]
+    tolerance: Decimal
+
+    def columns(self) -> tuple[Column, Column]:
+        every = constraints.interval_checks(self.tolerance)
+        looked, violated = F.coalesce(every[self.checks[0]][0], F.lit(False)), F.lit(False)
+        for name in self.checks:
+            violated = violated | F.coalesce(every[name][1], F.lit(False))
+        return looked, looked & violated
+
+    def __call__(self, tables: Tables) -> DataFrame | None:
+        rows = _neighbours(tables)
+        return None if rows is None else _sums(rows, *self.columns())
+
+
+def _neighbours(tables: Tables) -> DataFrame | None:
+    """The one window over (document, position) that all constraints on intervals read."""
+    if "intervals" not in tables:
+        return None
+    rows = constraints.with_neighbours(tables["intervals"])
+    finals = tables.get("boreholes")
+    if finals is None:
+        return rows.withColumn("final_depth", F.lit(None).cast("decimal(12,2)"))
+    return rows.join(finals.select(F.col("doc").alias("f_doc"), "final_depth"), F.col("doc") == F.col("f_doc"), "left")
 
 
 def _water(c: Mapping[str, Any]) -> Callable[[Tables], DataFrame | None]:
@@ -155,12 +172,22 @@ _COUNTS: dict[str, Callable[[Mapping[str, Any]], Callable[[Tables], DataFrame |
 def evaluate(tables: Tables, constraints_: list[Constraint] | None = None) -> DataFrame:
     """doc, constraint, severity, evaluated, violations, score, status over all constraints, their order in ``place``.
 
-    The interval constraints read the same window over (document, position);
-    Spark reuses its exchange.
+    Constraints on intervals are counted together, in one pass over one
+    window.
     """
+    asked = constraints_ or engine(default_config())
     out = None
-    for place, c in enumerate(constraints_ or engine(default_config())):
-        counted = c.count(tables)
+    joint = [(place, c) for place, c in enumerate(asked) if isinstance(c.count, IntervalCount)]
+    rows = _neighbours(tables) if joint else None
+    if rows is not None:
+        sums, told = [], []
+        for place, c in joint:
+            looked, violated = c.count.columns()
+            sums += [F.sum(looked.cast("long")).alias(f"e{place}"), F.sum(violated.cast("long")).alias(f"v{place}")]
+            told.append(F.struct(F.lit(place).alias("place"), F.lit(c.name).alias("constraint"), F.lit(c.severity).alias("severity"), F.col(f"e{place}").alias("evaluated"), F.col(f"v{place}").alias("violations")))
+        out = rows.groupBy("doc").agg(*sums).select("doc", F.inline(F.array(*told)))
+    for place, c in enumerate(asked):
+        counted = None if isinstance(c.count, IntervalCount) else c.count(tables)
         if counted is not None:
             one = counted.select("doc", F.lit(place).alias("place"), F.lit(c.name).alias("constraint"), F.lit(c.severity).alias("severity"), F.col("evaluated").cast("long").alias("evaluated"), F.col("violations").cast("long").alias("violations"))
             out = one if out is None else out.unionByName(one)
