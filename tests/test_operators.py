@@ -112,6 +112,24 @@ def test_balanced_split_meets_its_shares(spark):
         splits.balanced_split(rows.withColumn("g", F.lit(None).cast("long")), "g", {"a": 1.0})
 
 
+@pytest.mark.parametrize("block", [100, 10_000])
+def test_balanced_split_places_small_groups_one_by_one(spark, monkeypatch, block):
+    import hashlib
+    from fractions import Fraction
+
+    monkeypatch.setattr(splits, "LARGE_GROUPS", block)
+    sizes = {g: 4000 if g == 7 else 900 if g < 9 else 1 + g % 3 for g in range(12_000)}  # most hold less than a 10,000th of the rows
+    rows = spark.range(len(sizes)).select(F.col("id").alias("g"), F.explode(F.sequence(F.lit(1), F.when(F.col("id") == 7, 4000).when(F.col("id") < 9, 900).otherwise(1 + F.col("id").cast("int") % 3))).alias("i"))
+    for shares in ({"a": 0.7, "b": 0.15, "c": 0.15}, {"a": 0.25, "b": 0.25, "c": 0.5}, {"a": 0.0, "b": 1.0}):
+        total, counts, want = sum(sizes.values()), dict.fromkeys(shares, 0), {}
+        for g in sorted(sizes, key=lambda g: (-sizes[g], int(hashlib.sha256(f"s{g}".encode()).hexdigest()[:8], 16), g)):
+            want[g] = min(shares, key=lambda s: (counts[s] - total * Fraction(str(shares[s])), counts[s]))
+            counts[want[g]] += sizes[g]
+        out = splits.balanced_split(rows, "g", shares, "s")
+        assert out.count() == total
+        assert {r["g"]: r["split"] for r in out.select("g", "split").distinct().collect()} == want
+
+
 def test_manifest_hash_is_of_the_records_alone(spark):
     rows = spark.range(500).withColumn("v", F.col("id") % 7)
     one, other = splits.manifest_hash(rows, ["id", "v"]).first(), splits.manifest_hash(rows.orderBy(F.desc("id")).repartition(7), ["id", "v"]).first()
