@@ -402,6 +402,37 @@ def edits(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("rows_a_task", [1, 200_000])
+def test_depth_pairs_are_those_of_all_pairs(spark, monkeypatch, rows_a_task):
+    import random
+
+    from strataframe.operators import layout
+
+    monkeypatch.setattr(layout, "CELL_ROWS", rows_a_task)
+    rng, inf, nan = random.Random(3), float("inf"), float("nan")
+    rows = [(rng.choice("ab"), float(rng.randrange(-300, 300)), float(rng.randrange(-90, 90)), float(rng.randrange(12))) for _ in range(900)]
+    rows += rows[:20] + [("a", -1e-20, 0.0, 1.0), ("a", 140.0, 0.0, 2.0), ("c", 0.0, 0.0, 1.0), ("c", 12.0, 40.0, nan), ("c", 1e300, 0.0, 5.0), ("c", inf, 0.0, 9.0), ("c", nan, 0.0, 9.0), (None, 0.0, 0.0, 1.0), (None, 20.0, 0.0, 2.0), ("d", 0.0, 0.0, None)]
+    larger = lambda a, b: a == a and (b != b or a < b)
+    for least, most in ((12, 140), (-30, 5)):
+        want = {}
+        for p, x, y, v in set(rows):
+            near = [(bx - x, abs(by - y), b) for q, bx, by, b in rows if None not in (p, v, b) and p == q and least <= bx - x <= most and abs(by - y) <= 40 and larger(v, b)]
+            if near:
+                want[p, x, y, v] = str(min(near)[2])
+        got = layout.depth_pairs(spark.createDataFrame(rows, "page string, cx double, cy double, value double"), least, most, 40).collect()
+        assert len(got) == len(want)
+        assert {(r["page"], r["cx"], r["cy"], r["top"]): str(r["bottom"]) for r in got} == want
+
+
+def test_depth_pairs_make_no_pair_in_vain(spark):
+    from strataframe.operators import layout
+
+    alike = spark.range(40_000).select(F.lit(1).alias("page"), (F.col("id") % 400 / 4).alias("cx"), (F.col("id") / 2000).alias("cy"), F.lit(7.5).alias("value"))
+    got = layout.depth_pairs(alike, 12, 140, 40)
+    assert got.count() == 0
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_error_rates_count_every_turn(spark, tmp_path):
     from strataframe.plans import catalog
 
