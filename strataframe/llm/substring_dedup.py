@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm._spark import bounded_batches, fresh_names, materialize, ship_package
+from strataframe.llm._spark import bounded_batches, fresh_names, materialize, release, ship_package
 from strataframe.llm._text import Texts, mix, slices, string_buffers
 from strataframe.llm.suffix_array import permuted_prefixes, suffix_array
 
@@ -285,11 +285,14 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int =
     same = ["name", "content", "windows", "distance"]
     contents = materialize(pieces.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("cid", "first")).alias("at")), "contents")
     copied = pieces.join(contents.where("n > 1").select(*same), same, "left_semi").select("cid", "first", (F.col("first") + F.col("windows")).alias("past"))
+    copied = materialize(copied, "copied")
     several = contents.groupBy("name").agg(F.count("*").alias("d")).where("d > 1").select(F.col("name").alias("s_name"))
     several = materialize(several, "names-of-several")
     heads = contents.join(several, F.col("name") == F.col("s_name"), "left_semi").select(F.col("at.cid").alias("h_cid"), F.col("at.first").alias("h_first"))
     apart = pieces.join(heads, (F.col("cid") == F.col("h_cid")) & (F.col("first") == F.col("h_first")), "left_semi").withColumnRenamed("name", "group")
-    small, ranges = _cut(materialize(apart, "apart"), width, group)
+    apart = materialize(apart, "apart")
+    release(shared, pieces, contents, several)  # what follows reads their pieces from the written ones
+    small, ranges = _cut(apart, width, group)
     ranges = [copied, _shard_repeats(small, width), *ranges]
     found = ranges[0]
     for x in ranges[1:]:

@@ -18,6 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataframe.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, queries, secret_scan, sharding, substring_dedup, suffix_tree_lm, token_counts
+from strataframe.llm import _spark
 from strataframe.llm._spark import materialize, release
 from strataframe.llm.components import components
 
@@ -514,6 +515,18 @@ def test_repeated_strings(docs, rows, empty, group):
         assert substring_dedup.repeats(empty).count() == 0
 
 
+def test_repeats_keep_no_spent_tables(spark):
+    """Tables with the bytes of all pieces are gone before the suffix arrays' rows are shuffled."""
+    passage = "".join(chr(97 + k * k % 23) for k in range(240))
+    docs = spark.createDataFrame([(k, f"{k} {passage} {'xy'[k % 2]}{passage[:210]} {k}") for k in range(4)], "doc_id long, text string")
+    before = list(_spark._written)
+    found = substring_dedup.repeats(docs)
+    left = {x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in _spark._written[len(before) :]}
+    assert {"copied", "apart"} <= left and not left & {"shared-names", "pieces", "contents", "names-of-several"}
+    want = brute_repeats([tuple(r) for r in docs.collect()], 200)
+    assert {r["doc_id"]: r["kept_sha256"] for r in found.collect()} == {k: w[2] for k, w in enumerate(want)}
+
+
 def test_repeats_are_cut_out(spark):
     passage = "é" * 30 + "".join(chr(97 + k % 23) for k in range(240))
     docs = spark.createDataFrame([(1, "one " + passage + " end"), (2, "other " + passage + "!"), (3, "alone")], "doc_id long, text string")
